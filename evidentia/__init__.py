@@ -1 +1,8 @@
 """Evidence extraction, fusion and search as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions for Python workers travel with the job, so executors need not have this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
