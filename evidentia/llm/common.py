@@ -70,3 +70,11 @@ def in_bitmap(df: DataFrame, key: Column, bitmap: DataFrame, flag: str, bits: in
     words = F.broadcast(bitmap.select(F.col("word").alias("__ev_word"), F.col("mask").alias("__ev_mask")))
     hit = F.expr("coalesce(shiftright(__ev_mask, cast(__ev_at % 32 as int)) & 1L, 0L) = 1L")
     return df.join(words, (F.col("__ev_at") / 32).cast("int") == F.col("__ev_word"), "left").withColumn(flag, hit).drop("__ev_at", "__ev_word", "__ev_mask")
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in the column id of ids; rows that are certain to stay are not shuffled."""
+    gone = materialize(ids.select(F.col("id").alias("__ev_gone")).distinct(), "gone")
+    marked = in_bitmap(docs, F.col(id_col), bitmap_of(gone, F.col("__ev_gone")), "__ev_maybe")
+    kept = marked.filter("__ev_maybe").join(gone, F.col(id_col) == F.col("__ev_gone"), "left_anti")
+    return kept.union(marked.filter("not __ev_maybe")).drop("__ev_maybe")

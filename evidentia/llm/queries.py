@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, mixing, simhash, substring
+from . import chat, decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, simhash, substring, warc
 
 QUERIES, SQL = {}, {}
 
@@ -149,3 +149,31 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     docs = table(spark, sf_dir, "documents")
     return substring.strip(docs, substring.removals(docs), kept_text=False)
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score; rejected follows."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every metadata and conversion record of the pages' responses."""
+    found = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", "block", "block_digest", "payload_digest", "content_length", F.to_json("headers").alias("headers"))
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, cosine, lcs, answer, start: the documents that hold benchmark passages, and which."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
