@@ -48,7 +48,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     """The rows of docs with text_col rebuilt from its kept lines, and n_dropped; untouched texts are not shuffled."""
     bitmaps = materialize(bitmaps, "keep-bitmaps").withColumnRenamed("n_dropped", "__ev_n").withColumnRenamed("keep", "__ev_keep").withColumnRenamed(id_col, "__ev_bid")
     flagged = in_bitmap(docs, F.col(id_col), bitmap_of(bitmaps, F.col("__ev_bid")), "__ev_hit")
-    hit = flagged.filter("__ev_hit").drop("__ev_hit").join(bitmaps, F.col(id_col) == F.col("__ev_bid"), "left")
+    # Bitmaps grow with the corpus, so they are never broadcast, whatever their size here.
+    hit = flagged.filter("__ev_hit").drop("__ev_hit").join(bitmaps.hint("merge"), F.col(id_col) == F.col("__ev_bid"), "left")
     bit = "coalesce(try_element_at(__ev_map, cast(i div 64 as int)), -1L)"
     hit = hit.withColumn("__ev_map", F.map_from_entries("__ev_keep"))
     kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> getbit({bit}, i % 64) = 1), '\\n')")
