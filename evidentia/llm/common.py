@@ -76,5 +76,5 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     """docs without the rows whose id is in the column id of ids; rows that are certain to stay are not shuffled."""
     gone = materialize(ids.select(F.col("id").alias("__ev_gone")).distinct(), "gone")
     marked = in_bitmap(docs, F.col(id_col), bitmap_of(gone, F.col("__ev_gone")), "__ev_maybe")
-    kept = marked.filter("__ev_maybe").join(gone, F.col(id_col) == F.col("__ev_gone"), "left_anti")
+    kept = marked.filter("__ev_maybe").join(gone.hint("merge"), F.col(id_col) == F.col("__ev_gone"), "left_anti")
     return kept.union(marked.filter("not __ev_maybe")).drop("__ev_maybe")
