@@ -112,6 +112,8 @@ def _fold(rows: list[np.ndarray]) -> pd.DataFrame:
     h, ctx, ids, start, n = (np.concatenate(x) for x in zip(*rows, strict=True))
     order = np.lexsort((start, ids, ctx, h))
     h, ctx, ids, start, n = h[order], ctx[order], ids[order], start[order], n[order]
+    once = np.concatenate([[True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1]) | (ids[1:] != ids[:-1]) | (start[1:] != start[:-1])])
+    h, ctx, ids, start, n = h[once], ctx[once], ids[once], start[once], n[once]  # a repeated row is the same document
     new_h = np.concatenate([[True], h[1:] != h[:-1]])
     first = new_h | np.concatenate([[True], ctx[1:] != ctx[:-1]])
     many = np.add.reduceat(first.astype(np.int64), np.nonzero(new_h)[0])[np.cumsum(new_h) - 1] > 1
@@ -213,9 +215,11 @@ class SubstringIndex:
         for k, (name, _) in enumerate(self.runs):
             other = self._by_anchor(self.spark.table(name), f"e{k}")
             rows = rows.join(other, F.col("b") == F.col(f"b_e{k}"), "left").withColumn("old", F.concat("old", F.coalesce(f"e{k}", before))).drop(f"e{k}", f"b_e{k}")
-        at, order = Window.partitionBy("b"), Window.partitionBy("b").orderBy("ctx", "kind", "id", "start")
+        at, order = Window.partitionBy("b"), Window.partitionBy("b").orderBy("ctx", "id", "start")
         real = F.col("kind").isin(SINGLE, AMBIGUOUS)
-        rows = rows.withColumn("again", F.coalesce(F.lag("ctx").over(order) == F.col("ctx"), F.lit(False)) | F.exists("old", lambda e: (e["ctx"] == F.col("ctx")) & (e["kind"] != MARKER)))
+        # A repeated row is the same document: its entries aren't repeats of themselves, and go on to be verified.
+        same = (F.lag("ctx").over(order) == F.col("ctx")) & ((F.lag("id").over(order) != F.col("id")) | (F.lag("start").over(order) != F.col("start")))
+        rows = rows.withColumn("again", F.coalesce(same, F.lit(False)) | F.exists("old", lambda e: (e["ctx"] == F.col("ctx")) & (e["kind"] != MARKER)))
         rows = rows.withColumn("row", F.row_number().over(order)).withColumn("new", real & ~F.col("again"))
         rows = rows.withColumn("news", F.sum(F.col("new").cast("int")).over(at)).withColumn("marks", F.max((F.col("kind").isin(AMBIGUOUS, MARKER)).cast("int")).over(at))
         doubt = (F.col("news") + F.size("old") > 1) | (F.col("marks") == 1)
