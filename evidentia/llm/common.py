@@ -51,6 +51,18 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of at most BATCH_ROWS rows from now on in its session: whole texts make the default batch too large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = int(df.sparkSession.conf.get(name))
+    if most <= 0 or most > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 BITMAP_BITS = 1 << 22
 
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SIGMA, THRESHOLD, SHARE = 1.0, 0.25, 0.9
 
 # HTML element names by role.
@@ -200,5 +202,5 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
             texts = [reader(h if isinstance(h, str) else None) for h in b["_html"]]
             yield b.drop(columns="_html").assign(text=texts, n_chars=[len(t) for t in texts])
 
-    sent = pages.select(*[F.col(f.name).alias(f"k_{i}") for i, f in enumerate(shown)], F.col(html_col).alias("_html"))
+    sent = small_batches(pages).select(*[F.col(f.name).alias(f"k_{i}") for i, f in enumerate(shown)], F.col(html_col).alias("_html"))
     return sent.mapInPandas(of, schema).select(*[F.col(f"k_{i}").alias(f.name) for i, f in enumerate(shown)], "text", "n_chars")

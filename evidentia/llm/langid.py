@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small_batches
+
 DIMS, PER_LANG, CENTROIDS, ROUNDS = 4096, 1500, 3, 8
 SLACK, TAIL = 0.25, 0.01
 LENGTHS = (40, 200, 1000)
-_CHUNK = 600_000
+_CHUNK = 300_000
 
 
 def _letters() -> np.ndarray:
@@ -99,7 +101,7 @@ def _cluster(v: np.ndarray, k: int, rounds: int) -> np.ndarray:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, centroids: int = CENTROIDS,
         slack: float = SLACK, tail: float = TAIL) -> Model:
     """A model of labelled rows; rows with a null label count for nothing."""
-    rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = small_batches(docs).filter(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def document_frequency(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters, total, n = _letters(), np.zeros(DIMS), 0
@@ -148,7 +150,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     schema = T.StructType([*[T.StructField(f"k_{i}", f.dataType) for i, f in enumerate(shown)], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     names = [f.name for f in shown]
     at_text = f"k_{names.index(text_col)}" if text_col in names else "_text"
-    sent = docs.select(*[F.col(f.name).alias(f"k_{i}") for i, f in enumerate(shown)], *([] if text_col in names else [F.col(text_col).alias("_text")]))
+    sent = small_batches(docs).select(*[F.col(f.name).alias(f"k_{i}") for i, f in enumerate(shown)], *([] if text_col in names else [F.col(text_col).alias("_text")]))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters, langs = _letters(), np.array([*model.langs, "und"], object)

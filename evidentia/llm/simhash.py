@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .components import components
 
 MAX_BITS, SHINGLE, BUCKET = 2, 3, 512
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "fp": [fingerprint(t if isinstance(t, str) else None, shingle) for t in b["text"]]})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(of, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bitmap_of, discard, in_bitmap, materialize, work_dir
+from .common import bitmap_of, discard, in_bitmap, materialize, small_batches, work_dir
 
 WINDOW, GRAM = 20, 6
 SINGLE, AMBIGUOUS, MARKER, KNOWN = 0, 1, 2, 3
@@ -46,7 +46,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a fixed number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -160,7 +160,7 @@ def entries(docs: DataFrame, window: int, gram: int) -> DataFrame:
         if rows:
             yield from _slices(_fold(rows))
 
-    return docs.mapInPandas(of, ENTRY)
+    return small_batches(docs).mapInPandas(of, ENTRY)
 
 
 class SubstringIndex:
@@ -297,7 +297,7 @@ def strip(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: s
     """(id, n_words, n_removed, kept_sha256[, kept]) for each row, without the words of its spans; kept words are joined by one space."""
     spans = materialize(spans, "substring-spans")
     per_doc = spans.groupBy("id").agg(F.collect_list(F.struct("start", "length")).alias("spans")).withColumnRenamed("id", "i")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = in_bitmap(rows, F.col("id").cast("bigint"), bitmap_of(spans, F.col("id")), "maybe")
     hit = marked.filter("maybe").join(per_doc, F.col("id").cast("bigint") == F.col("i"), "left").select("id", "text", "spans")
     kind = "array<struct<start:int,length:int>>"

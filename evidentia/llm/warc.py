@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .html_extract import all_text
 
 DATE = "2024-01-01T00:00:00Z"
@@ -66,7 +67,7 @@ def _texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def derive(source: DataFrame) -> DataFrame:
     """The metadata and conversion records of response records, in the columns COLUMNS."""
     text = F.pandas_udf(_texts, "string")
-    kept = source.select("page_id", "target_uri", "date", "http", F.col("record_id").alias("of"), F.col("payload_digest").alias("source_digest"),
+    kept = small_batches(source).select("page_id", "target_uri", "date", "http", F.col("record_id").alias("of"), F.col("payload_digest").alias("source_digest"),
                          F.col("block_digest").alias("source_block"), text("payload").alias("text"))
     kept = kept.withColumn("own", F.explode(F.array(F.lit("conversion"), F.lit("metadata"))))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
