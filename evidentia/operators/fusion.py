@@ -40,8 +40,8 @@ def review_queue(occ: DataFrame, finals: DataFrame) -> DataFrame:
 
 def overrides(finals: DataFrame, manual: DataFrame) -> DataFrame:
     """Finals with manual values laid over: reference-own, then reference, then own, then the last entry; the document's value stays beside."""
-    order = Window.partitionBy("building", "field").orderBy((F.col("is_reference") & F.col("is_own")).desc(), F.col("is_reference").desc(), F.col("is_own").desc(), F.col("seq").desc())
-    best = manual.withColumn("_row", F.row_number().over(order)).filter("_row = 1").select("building", "field", F.col("value").alias("manual_value"))
+    order = F.struct((F.col("is_reference") & F.col("is_own")).alias("a"), F.col("is_reference").alias("b"), F.col("is_own").alias("c"), F.col("seq").alias("d"))
+    best = manual.groupBy("building", "field").agg(F.max_by("value", order).alias("manual_value"))
     j = finals.select("building", "field", F.col("value").alias("doc_value")).join(best, ["building", "field"], "full")
     return j.withColumn("value", F.coalesce("manual_value", "doc_value"))
 

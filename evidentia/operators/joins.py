@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,9 +29,30 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, a: str, b: str,
     return j.groupBy(*left.columns).agg(F.min_by(F.struct(tie, b), F.struct(F.abs(F.col(a) - F.col(b)).alias("d"), F.col(tie).alias("t"))).alias("near")).select(*left.columns, "near.*")
 
 
+def _without(c: Column, most: Column) -> Column:
+    """The text and every text with up to most (0 to 2) of its characters left out."""
+    once = lambda t: F.when(F.char_length(t) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1))), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))).otherwise(F.array().cast("array<string>"))
+    one = F.when(most >= 1, once(c)).otherwise(F.array().cast("array<string>"))
+    two = F.when(most >= 2, F.flatten(F.transform(once(c), once))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(c), one, two))
+
+
+def near_names(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """(name, other, distance) for distinct texts within one edit (other of five characters or more) or two (eleven or more), of equal first letters.
+
+    Texts meet where they agree after leaving out as many characters as they may differ in, so equal keys replace a comparison of
+    all pairs; each meeting is then verified. Repeated texts enter once; nulls and empty texts meet nothing.
+    """
+    x = left.select(F.col(a).alias("name")).filter("name <> ''").distinct()
+    y = right.select(F.col(b).alias("other")).filter("other <> ''").distinct()
+    depth = lambda c, two, one: F.when(F.char_length(c) >= two, 2).when(F.char_length(c) >= one, 1).otherwise(0)
+    x = x.select("name", F.substring("name", 1, 1).alias("letter"), F.explode(_without(F.col("name"), depth("name", 9, 4))).alias("key"))
+    y = y.select("other", F.substring("other", 1, 1).alias("letter"), F.explode(_without(F.col("other"), depth("other", 11, 5))).alias("key"))
+    met = x.join(y, ["letter", "key"]).select("name", "other").distinct().withColumn("distance", F.levenshtein(F.col("name"), F.col("other"), 2))
+    return met.filter((F.col("distance") >= 0) & (F.col("distance") <= depth("other", 11, 5)))
+
+
 def edit_join(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs within one edit (five characters or more) or two (eleven or more), of equal first letters."""
-    first = F.substring(F.col(a), 1, 1) == F.substring(F.col(b), 1, 1)
-    most = F.when(F.char_length(b) >= 11, 2).when(F.char_length(b) >= 5, 1).otherwise(0)
-    j = left.join(right, first & (F.abs(F.char_length(a) - F.char_length(b)) <= 2)).withColumn("distance", F.levenshtein(F.col(a), F.col(b), 2))
-    return j.filter((F.col("distance") >= 0) & (F.col("distance") <= most))
+    """Rows of left and right whose texts are near_names, with their distance."""
+    pairs = near_names(left, right, a, b).select(F.col("name").alias("_name"), F.col("other").alias("_other"), "distance")
+    return left.join(pairs, F.col(a) == F.col("_name")).join(right, F.col("_other") == F.col(b)).drop("_name", "_other")

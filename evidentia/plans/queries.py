@@ -107,12 +107,12 @@ def review_queue(spark, sf_dir):
 
 @register("override_priority", f"""WITH {OCC_SQL}, manual AS (
   SELECT 'B' || (o_custkey % 25) AS building, CASE o_orderkey % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'signup' END AS field, o_totalprice AS value,
-    o_orderstatus = 'F' AS is_reference, o_orderkey % 2 = 0 AS is_own, o_orderkey AS seq FROM orders WHERE o_orderkey % 50 = 0),
+    o_orderstatus = 'F' AS is_reference, o_orderkey % 2 = 0 AS is_own, o_orderkey AS seq FROM orders),
 best AS (SELECT * FROM manual QUALIFY row_number() OVER (PARTITION BY building, field ORDER BY (is_reference AND is_own) DESC, is_reference DESC, is_own DESC, seq DESC) = 1)
 SELECT coalesce(f.building, b.building) AS building, coalesce(f.field, b.field) AS field, f.value AS doc_value, b.value AS manual_value, coalesce(b.value, f.value) AS value
 FROM finals f FULL JOIN best b ON f.building = b.building AND f.field = b.field""")
 def override_priority(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0")
+    o = table(spark, sf_dir, "orders")
     manual = o.select(F.concat(F.lit("B"), (F.col("o_custkey") % 25).cast("string")).alias("building"), F.when(F.col("o_orderkey") % 3 == 0, "click").when(F.col("o_orderkey") % 3 == 1, "view").otherwise("signup").alias("field"),
                       F.col("o_totalprice").alias("value"), (F.col("o_orderstatus") == "F").alias("is_reference"), (F.col("o_orderkey") % 2 == 0).alias("is_own"), F.col("o_orderkey").alias("seq"))
     return fusion.overrides(finals(spark, sf_dir), manual).select("building", "field", "doc_value", "manual_value", "value")
@@ -214,12 +214,14 @@ def global_fallback_union(spark, sf_dir):
     return j.groupBy("building").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_global").alias("n_global"))
 
 
-@register("bounded_edit_join", """SELECT a.p_partkey, b.p_partkey AS other, levenshtein(a.p_name, b.p_name) AS distance FROM part a JOIN part b ON substr(a.p_name, 1, 1) = substr(b.p_name, 1, 1) AND a.p_partkey < b.p_partkey
-WHERE a.p_partkey <= 200 AND b.p_partkey <= 200 AND levenshtein(a.p_name, b.p_name) <= CASE WHEN length(b.p_name) >= 11 THEN 2 WHEN length(b.p_name) >= 5 THEN 1 ELSE 0 END""")
+@register("bounded_edit_join", """WITH n AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1)
+SELECT a.p_name, b.p_name AS other, levenshtein(a.p_name, b.p_name) AS distance, a.n AS n_rows, b.n AS n_other FROM n a JOIN n b ON substr(a.p_name, 1, 1) = substr(b.p_name, 1, 1) AND a.p_name < b.p_name
+WHERE levenshtein(a.p_name, b.p_name) <= CASE WHEN length(b.p_name) >= 11 THEN 2 WHEN length(b.p_name) >= 5 THEN 1 ELSE 0 END""")
 def bounded_edit_join(spark, sf_dir):
-    p = table(spark, sf_dir, "part").filter("p_partkey <= 200")
-    a, b = p.select("p_partkey", F.col("p_name").alias("a")), p.select(F.col("p_partkey").alias("other"), F.col("p_name").alias("b"))
-    return joins.edit_join(a, b, "a", "b").filter("p_partkey < other").select("p_partkey", "other", F.col("distance").cast("bigint").alias("distance"))
+    n = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
+    near = joins.near_names(n, n, "p_name", "p_name").filter("name < other")
+    own, others = n.select("p_name", F.col("n").alias("n_rows")), n.select(F.col("p_name").alias("other"), F.col("n").alias("n_other"))
+    return near.withColumnRenamed("name", "p_name").join(own, "p_name").join(others, "other").select("p_name", "other", F.col("distance").cast("bigint").alias("distance"), "n_rows", "n_other")
 
 
 @register("reconcile_status", """WITH s AS (SELECT l_orderkey, round(sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)), 2) AS v, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1)

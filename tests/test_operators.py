@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from evidentia.functions.text import fold, value_key
 from evidentia.operators import fusion, joins, routing
@@ -31,6 +32,31 @@ def test_last_before_takes_marks_at_the_same_place(spark):
     assert sorted((r.line, r.name) for r in joins.last_before(p, m, ["doc"], ["line"], "name").collect()) == [(1, None), (3, "A"), (5, "A")]
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_near_names_agree_with_all_pairs(spark):
+    rng = random.Random(5)
+    names = {"".join(rng.choice("ab") for _ in range(rng.randint(0, 14))) for _ in range(150)} | {"été", "étés", "a", "ab"}
+    df = spark.createDataFrame([(n,) for n in names] + [(None,), ("ab",)], "n string")
+    most = lambda n: 2 if len(n) >= 11 else 1 if len(n) >= 5 else 0
+    want = {(x, y, _edits(x, y)) for x in names for y in names if x and y and x[0] == y[0] and _edits(x, y) <= most(y)}
+    assert sorted(tuple(r) for r in joins.near_names(df, df, "n", "n").collect()) == sorted(want)
+
+
+def test_overrides_prefer_reference_then_own_then_last(spark):
+    finals = spark.createDataFrame([("b", "f", 1.0), ("b", "g", 2.0)], "building string, field string, value double")
+    manual = [("b", "f", 3.0, False, True, 9), ("b", "f", 4.0, True, False, 1), ("b", "f", 5.0, True, False, 2), ("c", "f", 6.0, None, None, 1), ("c", "f", 7.0, None, False, 0)]
+    m = spark.createDataFrame(manual, "building string, field string, value double, is_reference boolean, is_own boolean, seq int")
+    assert sorted((r.building, r.field, r.value) for r in fusion.overrides(finals, m).collect()) == [("b", "f", 5.0), ("b", "g", 2.0), ("c", "f", 7.0)]
+
+
 def test_empty_inputs(spark):
     occ = spark.createDataFrame([], "building string, field string, value double, doc_id string, tier string, source_rank int, confidence double, study_date timestamp, seq int")
     assert fusion.winners(occ).count() == 0
