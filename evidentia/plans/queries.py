@@ -214,14 +214,13 @@ def global_fallback_union(spark, sf_dir):
     return j.groupBy("building").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_global").alias("n_global"))
 
 
-@register("bounded_edit_join", """WITH n AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1)
-SELECT a.p_name, b.p_name AS other, levenshtein(a.p_name, b.p_name) AS distance, a.n AS n_rows, b.n AS n_other FROM n a JOIN n b ON substr(a.p_name, 1, 1) = substr(b.p_name, 1, 1) AND a.p_name < b.p_name
-WHERE levenshtein(a.p_name, b.p_name) <= CASE WHEN length(b.p_name) >= 11 THEN 2 WHEN length(b.p_name) >= 5 THEN 1 ELSE 0 END""")
+@register("bounded_edit_join", """WITH a AS (SELECT DISTINCT unnest(string_split_regex(lower(strip_accents(text)), '[^a-z0-9]+')) AS word FROM benchmark), b AS (SELECT DISTINCT unnest(string_split_regex(lower(strip_accents(text)), '[^a-z0-9]+')) AS other FROM documents)
+SELECT word, other, levenshtein(word, other) AS distance FROM a JOIN b ON substr(word, 1, 1) = substr(other, 1, 1) AND abs(length(word) - length(other)) <= 2
+WHERE word <> '' AND levenshtein(word, other) <= CASE WHEN length(other) >= 11 THEN 2 WHEN length(other) >= 5 THEN 1 ELSE 0 END""")
 def bounded_edit_join(spark, sf_dir):
-    n = table(spark, sf_dir, "part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"))
-    near = joins.near_names(n, n, "p_name", "p_name").filter("name < other")
-    own, others = n.select("p_name", F.col("n").alias("n_rows")), n.select(F.col("p_name").alias("other"), F.col("n").alias("n_other"))
-    return near.withColumnRenamed("name", "p_name").join(own, "p_name").join(others, "other").select("p_name", "other", F.col("distance").cast("bigint").alias("distance"), "n_rows", "n_other")
+    words = lambda t, name: table(spark, sf_dir, t).select(F.explode(tokens(F.col("text"))).alias(name)).distinct()
+    near = joins.near_names(words("benchmark", "word"), words("documents", "other"), "word", "other")
+    return near.select(F.col("name").alias("word"), "other", F.col("distance").cast("bigint").alias("distance"))
 
 
 @register("reconcile_status", """WITH s AS (SELECT l_orderkey, round(sum(l_extendedprice * (1 + l_tax) * (1 - l_discount)), 2) AS v, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1)
