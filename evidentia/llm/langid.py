@@ -118,7 +118,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    likely = rows.withColumn("draw", draw).join(sizes, "lang").filter(F.col("draw") < F.lit(float(1 << 30)) * 1.5 * per_lang / F.col("size"))
+    # One row for each language, less than the model that every task gets anyway; without the hint all texts would be shuffled by language.
+    likely = rows.withColumn("draw", draw).join(F.broadcast(sizes), "lang").filter(F.col("draw") < F.lit(float(1 << 30)) * 1.5 * per_lang / F.col("size"))
     order = Window.partitionBy("lang").orderBy("draw", "id", "text")
     sample = likely.withColumn("row", F.row_number().over(order)).filter(F.col("row") <= per_lang).select("lang", "text")
 
