@@ -9,13 +9,13 @@ from pyspark.sql.window import Window
 PERCENTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 
 
-def describe(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, min, mean, max and five interpolated percentiles, two decimals."""
+def describe(rows: DataFrame, by: list[str], value: str, digits: int = 2) -> DataFrame:
+    """n, min, mean, max and five interpolated percentiles, rounded."""
     v = F.col(value).cast("double")
     p = F.percentile(v, F.array(*map(F.lit, PERCENTILES)))
     out = rows.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("v_min"), F.avg(v).alias("v_mean"), F.max(v).alias("v_max"), p.alias("p"))
-    shown = [F.round("v_min", 2).alias("v_min"), F.round("v_mean", 2).alias("v_mean"), F.round("v_max", 2).alias("v_max")]
-    return out.select(*by, "n", *shown, *[F.round(F.col("p")[i], 2).alias(f"p{round(100 * x)}") for i, x in enumerate(PERCENTILES)])
+    shown = [F.round("v_min", digits).alias("v_min"), F.round("v_mean", digits).alias("v_mean"), F.round("v_max", digits).alias("v_max")]
+    return out.select(*by, "n", *shown, *[F.round(F.col("p")[i], digits).alias(f"p{round(100 * x)}") for i, x in enumerate(PERCENTILES)])
 
 
 def dominant_share(rows: DataFrame, by: list[str], label: str, amount: str, hybrid: float = 0.30) -> DataFrame:
