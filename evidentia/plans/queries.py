@@ -6,7 +6,7 @@ are facts with reference totals, names of nations and suppliers are entities.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,25 +46,27 @@ finals AS (
 """
 
 
-def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as occurrences."""
+def occurrences(spark: SparkSession, sf_dir: str, building: Column | None = None) -> DataFrame:
+    """Events as occurrences; building is an expression on events, one of twenty buildings unless given."""
+    if building is None:
+        building = F.concat(F.lit("B"), (F.col("user_id") % 20).cast("string"))
     k = F.get_json_object("props", "$.k").cast("bigint")
     e = table(spark, sf_dir, "events")
     value = 5 * F.floor(F.col("value") / 5).cast("double")
     return e.select(
-        F.col("event_type").alias("field"), F.concat(F.lit("B"), (F.col("user_id") % 20).cast("string")).alias("building"), value.alias("value"), value_key(value, F.lit(None)).alias("value_key"),
+        F.col("event_type").alias("field"), building.alias("building"), value.alias("value"), value_key(value, F.lit(None)).alias("value_key"),
         F.concat(F.lit("T"), (k % 6).cast("string")).alias("doc_type"), F.concat(F.lit("D"), k.cast("string")).alias("doc_id"), (F.col("event_id") % 3).alias("page"),
         F.concat(F.lit("x"), (F.col("event_id") % 2).cast("string")).alias("excerpt"), (F.lit(0.8) + (F.col("event_id") % 20) / F.lit(100.0)).alias("confidence"), F.col("ts").alias("study_date"), F.col("event_id").alias("seq"),
     )
 
 
-def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def routed(spark: SparkSession, sf_dir: str, building: Column | None = None) -> DataFrame:
     rules = spark.createDataFrame([(f, *r) for f in FIELDS for r in RULES], "field string, doc_type string, tier string, rank int")
-    return routing.route(occurrences(spark, sf_dir), rules)
+    return routing.route(occurrences(spark, sf_dir, building), rules)
 
 
-def agreed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = routed(spark, sf_dir)
+def agreed(spark: SparkSession, sf_dir: str, building: Column | None = None) -> DataFrame:
+    r = routed(spark, sf_dir, building)
     return routing.with_agreement(r.withColumn("confidence", routing.tier_confidence(F.col("tier"), F.col("confidence"))))
 
 
@@ -97,11 +99,16 @@ def flagship_wide(spark, sf_dir):
     return fusion.wide(finals(spark, sf_dir), FIELDS)
 
 
-@register("review_queue", f"""WITH {OCC_SQL} SELECT building, field, value, seq FROM (
+# The same readings of many small buildings, so that some fields have doubtful readings only.
+SMALL_SQL = OCC_SQL.replace("'B' || (user_id % 20)", "'B' || user_id || '-' || (event_id % 40)")
+
+
+@register("review_queue", f"""WITH {SMALL_SQL} SELECT building, field, value, seq FROM (
   SELECT * FROM deduped d WHERE tier <> 'forbidden' AND confidence >= 0.65 AND confidence < 0.9 AND NOT EXISTS (SELECT 1 FROM finals f WHERE f.building = d.building AND f.field = d.field))
   QUALIFY row_number() OVER (PARTITION BY building, field ORDER BY source_rank, confidence DESC, seq) = 1""")
 def review_queue(spark, sf_dir):
-    occ = routing.dedup(agreed(spark, sf_dir))
+    small = F.concat(F.lit("B"), F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 40).cast("string"))
+    occ = routing.dedup(agreed(spark, sf_dir, small))
     return fusion.review_queue(occ, fusion.winners(occ)).select("building", "field", "value", "seq")
 
 
@@ -135,14 +142,14 @@ def lines_folded(spark, sf_dir):
 
 @register("context_windows", f"""WITH {LINES_SQL} SELECT doc_id, idx, string_agg(text, ' | ') OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS context FROM lines""")
 def context_windows(spark, sf_dir):
-    return with_context(lines(table(spark, sf_dir, "documents")), 2, 2).select("doc_id", "idx", "context")
+    return with_context(table(spark, sf_dir, "documents"), 2, 2).select("doc_id", "idx", "context")
 
 
 @register("sentence_blocks", f"""WITH {LINES_SQL}, n AS (SELECT *, lag(text) OVER w AS p, lead(text) OVER w AS nx FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
 SELECT doc_id, idx, CASE WHEN p IS NOT NULL AND rtrim(p, ' ') LIKE '%:' THEN p || ' ' || text
   WHEN NOT regexp_matches(rtrim(text, ' '), '[.:;]$') AND nx IS NOT NULL AND NOT regexp_matches(nx, '^\\s*[0-9]+[.)]') THEN text || ' ' || nx ELSE text END AS block FROM n""")
 def sentence_blocks(spark, sf_dir):
-    return sentence_block(lines(table(spark, sf_dir, "documents"))).select("doc_id", "idx", "block")
+    return sentence_block(table(spark, sf_dir, "documents")).select("doc_id", "idx", "block")
 
 
 QUERY_WORDS = ["thation", "the", "er"]
@@ -196,20 +203,18 @@ def asof_last_heading(spark, sf_dir):
     return joins.last_before(e, marks.select("user_id", "ts", "event_id", "heading"), ["user_id"], ["ts", "event_id"], "heading").select("event_id", F.coalesce("heading", F.lit(-1).cast("long")).alias("heading"))
 
 
-@register("nearest_within_tolerance", """WITH a AS (SELECT p_partkey, p_brand, p_retailprice FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS other, p_brand AS b_brand, p_retailprice AS other_price FROM part WHERE p_partkey % 2 = 1)
-SELECT p_partkey, other, other_price FROM a JOIN b ON p_brand = b_brand AND abs(p_retailprice - other_price) <= 1.5
-QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY abs(p_retailprice - other_price), other) = 1""")
+@register("nearest_within_tolerance", """SELECT c_custkey, s_suppkey, s_acctbal FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= 400
+QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) = 1""")
 def nearest_within_tolerance(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    a = p.filter("p_partkey % 2 = 0").select("p_partkey", "p_brand", "p_retailprice")
-    b = p.filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("other"), "p_brand", F.col("p_retailprice").alias("other_price"))
-    return joins.nearest_within(a, b, "p_brand", "p_retailprice", "other_price", 1.5, "other").select("p_partkey", "other", "other_price")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
+    return joins.nearest_within(c, s, "nation", "c_acctbal", "s_acctbal", 400.0, "s_suppkey").select("c_custkey", "s_suppkey", "s_acctbal")
 
 
-@register("global_fallback_union", """WITH r AS (SELECT l_linenumber, l_orderkey, CASE WHEN l_suppkey % 10 = 0 THEN 'all' ELSE 'S' || (l_suppkey % 10) END AS building FROM lineitem WHERE l_quantity > 45), b AS (SELECT DISTINCT building FROM r WHERE building <> 'all')
+@register("global_fallback_union", """WITH r AS (SELECT l_linenumber, l_orderkey, CASE WHEN l_suppkey % 10 = 0 THEN 'all' ELSE 'S' || (l_suppkey % 10) END AS building FROM lineitem), b AS (SELECT DISTINCT building FROM r WHERE building <> 'all')
 SELECT building, count(*) AS n, count(*) FILTER (g) AS n_global FROM (SELECT building, false AS g FROM r WHERE building <> 'all' UNION ALL SELECT b.building, true FROM r, b WHERE r.building = 'all') GROUP BY building""")
 def global_fallback_union(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select("l_linenumber", "l_orderkey", F.when(F.col("l_suppkey") % 10 == 0, "all").otherwise(F.concat(F.lit("S"), (F.col("l_suppkey") % 10).cast("string"))).alias("building"))
+    r = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", F.when(F.col("l_suppkey") % 10 == 0, "all").otherwise(F.concat(F.lit("S"), (F.col("l_suppkey") % 10).cast("string"))).alias("building"))
     j = joins.global_fallback(r, r.select("building").distinct().filter("building <> 'all'"), "all")
     return j.groupBy("building").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_global").alias("n_global"))
 
@@ -242,17 +247,6 @@ def contract_match_classes(spark, sf_dir):
     return j.select("c_custkey", F.when(F.col("n").isNull(), "missing").when(F.col("gone"), "onlyCancelled").when(F.col("n") > 1, "multiple").otherwise("found").alias("status"))
 
 
-@register("snapshot_diff", """WITH a AS (SELECT o_orderkey AS k, o_totalprice AS s, o_orderdate AS t FROM orders WHERE o_orderkey % 7 <> 0),
-b AS (SELECT o_orderkey AS k, o_totalprice + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS s, o_orderdate + CASE WHEN o_orderkey % 13 = 0 THEN INTERVAL 3 SECOND ELSE INTERVAL 1 SECOND END AS t FROM orders WHERE o_orderkey % 5 <> 0)
-SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'gone' WHEN a.s <> b.s OR abs(epoch(a.t) - epoch(b.t)) > 2 THEN 'changed' ELSE 'same' END AS state FROM a FULL JOIN b ON a.k = b.k""")
-def snapshot_diff(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("s"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("t"))
-    a = o.filter("k % 7 <> 0").select(F.col("k").alias("ka"), F.col("s").alias("sa"), F.col("t").alias("ta"))
-    b = o.filter("k % 5 <> 0").select(F.col("k").alias("kb"), (F.col("s") + F.when(F.col("k") % 11 == 0, 1).otherwise(0)).alias("sb"), (F.col("t") + F.when(F.col("k") % 13 == 0, 3).otherwise(1)).alias("tb"))
-    state = F.when(F.col("ka").isNull(), "added").when(F.col("kb").isNull(), "gone").when((F.col("sa") != F.col("sb")) | (F.abs(F.col("ta") - F.col("tb")) > 2), "changed").otherwise("same")
-    return a.join(b, F.col("ka") == F.col("kb"), "full").select(F.coalesce("ka", "kb").alias("k"), state.alias("state"))
-
-
 @register("lww_merge", "SELECT user_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id % 100000 DESC) = 1")
 def lww_merge(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", F.col("event_id") % 100000)).alias("value"))
@@ -267,12 +261,13 @@ def version_rank(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).cast("bigint").alias("version"), F.coalesce(tie, F.lit(False)).alias("is_ambiguous"))
 
 
-_P = ", ".join(f"round(quantile_cont(CAST(l_extendedprice AS DOUBLE), {p}), 2) AS p{round(100 * p)}" for p in stats.PERCENTILES)
+# Six digits: halves at the second would be rounded either way by the last bit of a sum.
+_P = ", ".join(f"round(quantile_cont(CAST(l_extendedprice AS DOUBLE), {p}), 6) AS p{round(100 * p)}" for p in stats.PERCENTILES)
 
 
-@register("stats_percentiles", f"SELECT l_returnflag, count(l_extendedprice) AS n, round(min(l_extendedprice), 2) AS v_min, round(avg(l_extendedprice), 2) AS v_mean, round(max(l_extendedprice), 2) AS v_max, {_P} FROM lineitem GROUP BY 1")
+@register("stats_percentiles", f"SELECT l_returnflag, count(l_extendedprice) AS n, round(min(l_extendedprice), 6) AS v_min, round(avg(l_extendedprice), 6) AS v_mean, round(max(l_extendedprice), 6) AS v_max, {_P} FROM lineitem GROUP BY 1")
 def stats_percentiles(spark, sf_dir):
-    return stats.describe(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return stats.describe(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", digits=6)
 
 
 @register("multi_grouping_summary", """SELECT l_returnflag, l_linestatus, coalesce(CAST(l_linenumber AS INTEGER), -1) AS l_linenumber, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem
