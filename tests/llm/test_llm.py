@@ -6,7 +6,7 @@ import random
 import re
 
 import pytest
-from evidentia.llm import chat, components, decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, simhash, substring, warc
+from evidentia.llm import chat, components, decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, near_dedup, simhash, substring, warc
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, word int"
@@ -214,3 +214,33 @@ def test_pipeline_keeps_columns_and_empty_tables(spark, texts, tmp_path):
             assert out.columns == d.columns
             d = out
     assert out.count() == d.count() > 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = ["n" + "".join(rng.choices("abcdefg", k=5)) for _ in range(2000)]
+    base = [rng.choices(words, k=rng.randint(60, 200)) for _ in range(40)]
+    crowd = rng.choices(words, k=150)
+    texts = [" ".join(b) for b in base]
+    for b in [*base, *[crowd] * 60]:
+        copy = list(b)
+        for _ in range(rng.randint(1, 6)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(" ".join(copy))
+    texts += [None, "", "a b", "A  b", texts[3]]
+    split = [(t or "").lower().split() for t in texts]
+    sets = [set(zip(*(w[i:] for i in range(min(5, len(w)))))) for w in split]
+    want = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if want[i] != want[j] and (a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j])):
+                want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    docs = docs_of(spark, texts)
+    for bucket in (64, 3):
+        got = {r.doc_id: r.component for r in near_dedup.near_components(docs, bucket=bucket).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(want)
+    assert len(set(want)) < len({frozenset(x) for x in sets})
+    assert near_dedup.near_components(docs.filter("false")).count() == 0
