@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .common import small_batches
 
 DIMS, PER_LANG, CENTROIDS, ROUNDS = 4096, 1500, 3, 8
-SLACK, TAIL = 0.25, 0.01
+SLACK, TAIL = 0.6, 0.01
 LENGTHS = (40, 200, 1000)
 _CHUNK = 300_000
 

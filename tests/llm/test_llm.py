@@ -244,3 +244,16 @@ def test_pipeline_drops_near_copies(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(want)
     assert len(set(want)) < len({frozenset(x) for x in sets})
     assert near_dedup.near_components(docs.filter("false")).count() == 0
+
+
+def test_language_left_out_is_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null")
+    train = docs.filter(~langid.held_out(F.col("doc_id")))
+    rng = random.Random(4)
+    junk = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 10))) for _ in range(rng.randint(20, 200))) for _ in range(100)]
+    every = langid.fit(train)
+    rate = lambda d, model: langid.identify(d, model).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    assert rate(docs, every) <= 0.005
+    assert rate(docs_of(spark, junk), every) >= 0.95
+    for lang in ("en", "fr"):
+        assert rate(docs.filter(F.col("lang") == lang), langid.fit(train.filter(F.col("lang") != lang))) >= 0.95
