@@ -3,8 +3,13 @@
 A page is cut into text nodes, each with its root-to-leaf path of tags (and classes). For every path of a page the text length
 and the punctuation of its nodes are summed and set against their number; the ratios, laid along the page in node order, are smoothed
 with a Gaussian; length and punctuation ratios are fused by product, and paths above a threshold (a share of the page's spread)
-hold content. The smallest element that holds nearly all content text is the article; its blocks are kept in page order but for those under
-elements that are boilerplate by tag, class, id or role. So short paragraphs and headings of the article stay, whatever their ratio.
+hold content. The smallest element that holds nearly all content text is the article; its blocks are kept in page order but for those under elements that are boilerplate by tag, role or name. So short
+paragraphs and headings of the article stay, whatever their ratio.
+
+A class (or the id of a container) names boilerplate when it is made of boilerplate words and words of place or form only
+("cookie-notice", "comments"); such an element is dropped unless it holds the page's article. Where a word is only part of a name
+("overflow-hidden"), may be a topic ("discussion"), or stands in the id of a section of an article, the element is dropped
+only when most of its text lies below the content threshold. Ids of headings and text blocks say nothing.
 
 White space inside a block becomes one space and blocks are joined by an empty line. Null or empty html gives an empty text.
 Broken markup (unclosed or stray tags, a cut-off page) never fails: open elements end with the page. One row for each row.
@@ -36,29 +41,55 @@ DROP_WORDS = set(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer foot header masthead topbar toolbar share sharing social related recommended "
     "comment comments commentlist discussion replies newsletter subscribe subscription signup login popup popups modal overlay widget widgets pagination pager skip hidden".split()
 )
+#: Words of DROP_WORDS that are often topics or parts of layouts, and words that only tell the place or form of what they stand with.
+TOPIC_WORDS = set("discussion notice notices header promotion promotions skip foot widget widgets sharing".split())
+FORM_WORDS = set("list lists container wrapper wrap box block area bar inner outer item items top bottom left right main site page post global form thread links icons slot unit section panel buttons".split())
 KEEP_TAGS = set("html body main article".split())
+TEXT_TAGS = set("p li dd dt blockquote pre td th caption figcaption h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|$)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PUNCT = re.compile(r"[.,;:!?…。、，؛؟]")
 
 
 class _Element:
-    __slots__ = ("tag", "label", "parent", "dropped", "order")
+    __slots__ = ("tag", "label", "parent", "dropped", "order", "named", "holds")
 
     def __init__(self, tag: str, attrs: str, parent: _Element | None, order: int):
-        found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
-        names = re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower())
-        in_article = parent is not None and any(e.tag in ("article", "main") for e in _up(parent))
+        found: dict[str, str] = {}
+        for k, a, b, c in _ATTR.findall(attrs) if attrs else ():
+            found.setdefault(k.lower(), a or b or c)
+        above = list(_up(parent))
+        in_article = any(e.tag in ("article", "main") for e in above)
         own = tag in DROP_TAGS or tag == "header" and not in_article
         own |= found.get("role", "").lower() in DROP_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-        own |= not DROP_WORDS.isdisjoint(names) and not (in_article and "header" in names and "comment" not in names)
-        if tag in KEEP_TAGS and not ({"comment", "comments"} & set(names)):
-            own = False
-        self.tag, self.label, self.parent, self.order = tag, f"{tag}.{found.get('class', '').strip().lower()}", parent, order
+        #: 2: the name says boilerplate; 1: a word of it does.
+        self.named = max([_named(x, in_article) for x in found.get("class", "").lower().split()], default=0)
+        if tag not in TEXT_TAGS and tag not in INLINE:
+            by_id = _named(found.get("id", "").lower(), in_article)
+            self.named = max(self.named, min(by_id, 1) if in_article or tag == "section" else by_id)
+        comments = {"comment", "comments"} & set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
+        if tag in KEEP_TAGS and not comments:
+            own, self.named = False, 0
+            if tag in ("main", "article"):
+                for e in above:
+                    e.holds = True
+        if tag in INLINE:
+            own |= self.named == 2
+            self.named = 0
+        self.tag, self.label, self.parent, self.order, self.holds = tag, f"{tag}.{found.get('class', '').strip().lower()}", parent, order, False
         self.dropped = own or (parent is not None and parent.dropped)
 
 
+def _named(name: str, in_article: bool) -> int:
+    """2 if a class or id is made of boilerplate words, 1 if a word of it is one or may be a topic, else 0."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()]
+    hits = DROP_WORDS.intersection(words)
+    if not hits or in_article and "header" in words and "comment" not in words:
+        return 0
+    return 2 if hits - TOPIC_WORDS and all(w in DROP_WORDS or w in FORM_WORDS for w in words) else 1
+
+
 def _up(e: _Element | None) -> Iterator[_Element]:
     while e is not None:
         yield e
@@ -163,9 +194,26 @@ def content_paths(found: list[tuple[_Element, str]], sigma: float = SIGMA, thres
     return fused >= threshold * max(fused.std(), fused.mean())
 
 
+def _without_named(found: list[tuple[_Element, str]]) -> list[tuple[_Element, str]]:
+    """The blocks outside elements whose names say boilerplate."""
+    content = content_paths(found)
+    chars, held, seen = {}, {}, {}
+    for (x, t), c in zip(found, content, strict=True):
+        for e in _up(x):
+            if e.named:
+                seen[id(e)] = e
+                chars[id(e)] = chars.get(id(e), 0) + len(t)
+                held[id(e)] = held.get(id(e), 0) + len(t) * bool(c)
+    total = sum(len(t) for (_, t), c in zip(found, content, strict=True) if c)
+    kept = lambda k, e: e.holds and 2 * held[k] > total if e.named == 2 else 2 * held[k] >= chars[k]
+    gone = {k for k, e in seen.items() if not kept(k, e)}
+    return [(x, t) for x, t in found if not any(id(e) in gone for e in _up(x))] if gone else found
+
+
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
     clean = [(e, t) for e, t in found if not e.dropped]
+    clean = _without_named(clean) if clean else clean
     if not clean:
         return ""
     content = content_paths(clean)

@@ -266,3 +266,12 @@ def test_mix_tiny_source_beside_huge(spark):
     for r in mixing.mix(docs, block=32, shard_tokens=400, own_shards=True).collect():
         by.setdefault(r.source, [r.target, 0])[1] += r.taken
     assert all(abs(t - n) <= 0.08 * t for t, n in by.values()), by
+
+
+def test_html_words_in_names_keep_article_text():
+    long = "This is a paragraph of the article, with enough words and signs, as one would expect of it. " * 3
+    inner = [f'<h2 id="sharing-files">Sharing files</h2><p class="widget-text">{long}</p>', f'<section id="discussion"><h2>What it means</h2><p>{long}</p></section>',
+             f'<h3 id="related-work">Related work</h3><p data-id="notice">See <a href="/hidden-gems">gems</a> too, {long}</p>', f'<div class="overflow-hidden"><p>{long}</p></div>']
+    page = f"<html><body class='has-sidebar'><nav><a>Site</a></nav><div class='sidebar-wrapper'><article><h1>Head</h1>{''.join(inner)}<p hidden>Gone.</p><div class='comments'><p>{long}</p></div></article></div><div class='ad'>Buy, now.</div></body></html>"
+    s = " ".join(long.split())
+    assert html_extract.main_text(page).split("\n\n") == ["Head", "Sharing files", s, "What it means", s, "Related work", f"See gems too, {s}", s]
