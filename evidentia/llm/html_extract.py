@@ -3,7 +3,8 @@
 A page is cut into text nodes, each with its root-to-leaf path of tags (and classes). For every path of a page the text length
 and the punctuation of its nodes are summed and set against their number; the ratios, laid along the page in node order, are smoothed
 with a Gaussian; length and punctuation ratios are fused by product, and paths above a threshold (a share of the page's spread)
-hold content. The smallest element that holds nearly all content text is the article; its blocks are kept in page order but for those under elements that are boilerplate by tag, role or name. So short
+hold content. The smallest element that holds all content text is the article, or the `article` or `main` around it, or its parents as long as they
+add paragraphs; its blocks are kept in page order but for those under elements that are boilerplate by tag, role or name. So short
 paragraphs and headings of the article stay, whatever their ratio.
 
 A class (or the id of a container) names boilerplate when it is made of boilerplate words and words of place or form only
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-SIGMA, THRESHOLD, SHARE = 1.0, 0.25, 0.9
+SIGMA, THRESHOLD, PARAGRAPH = 1.0, 0.25, 80
 
 # HTML element names by role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -191,7 +192,7 @@ def content_paths(found: list[tuple[_Element, str]], sigma: float = SIGMA, thres
     chars = np.bincount(path, [len(t) for _, t in found]) / nodes
     punct = np.bincount(path, [1 + len(_PUNCT.findall(t)) for _, t in found]) / nodes
     fused = np.sqrt(_smooth(chars[path], sigma) * _smooth(punct[path], sigma) * chars[path] * punct[path])
-    return fused >= threshold * max(fused.std(), fused.mean())
+    return np.isin(path, path[fused >= threshold * max(fused.std(), fused.mean())])
 
 
 def _without_named(found: list[tuple[_Element, str]]) -> list[tuple[_Element, str]]:
@@ -211,27 +212,36 @@ def _without_named(found: list[tuple[_Element, str]]) -> list[tuple[_Element, st
 
 
 def main_text(html: str | None) -> str:
-    found = blocks(html or "")
-    clean = [(e, t) for e, t in found if not e.dropped]
+    clean = [(e, t) for e, t in blocks(html or "") if not e.dropped]
     clean = _without_named(clean) if clean else clean
     if not clean:
         return ""
     content = content_paths(clean)
-    size = np.array([len(t) for _, t in clean]) * content
     chains = [list(_up(e))[::-1] for e, _ in clean]
-    held: dict[int, float] = {}
-    depth: dict[int, int] = {}
-    for chain, n in zip(chains, size, strict=True):
-        for d, e in enumerate(chain):
-            held[id(e)] = held.get(id(e), 0) + n
-            depth[id(e)] = d
-    article = max((k for k, n in held.items() if n >= SHARE * size.sum()), key=lambda k: depth[k])
-    top = next(c[depth[article]] for c in chains if len(c) > depth[article] and id(c[depth[article]]) == article)
-    if top.tag in ("p", "li", "td", "blockquote", "pre") or re.fullmatch("h[1-6]", top.tag):
-        top = top.parent or top
+    common = None
+    for chain, c in zip(chains, content, strict=True):
+        if c:
+            common = chain if common is None else [e for e, f in zip(common, chain) if e is f]
+    top = common[-1]
+    top = next((e for e in _up(top) if e.tag == "article"), None) or next((e for e in _up(top) if e.tag == "main"), None) or _climb(top, clean)
     return "\n\n".join(t for (_, t), c in zip(clean, chains, strict=True) if any(e is top for e in c))
 
 
+def _climb(top: _Element, clean: list[tuple[_Element, str]]) -> _Element:
+    """The highest parent on the way to body that adds paragraphs, and to body itself for paragraphs that stand in it."""
+    if top.parent and (top.tag in INLINE or top.tag in TEXT_TAGS):
+        top = top.parent
+    best = top
+    inside = lambda x, e: any(y is e for y in _up(x))
+    for e in _up(top.parent):
+        out = [x for x, t in clean if len(t) >= PARAGRAPH and _PUNCT.search(t) and inside(x, e) and not inside(x, best)]
+        if e.tag in ("body", "html", "#"):
+            out = [x for x in out if x is e or x.tag in TEXT_TAGS and x.parent is e]
+        if out:
+            best = e
+    return best
+
+
 def all_text(html: str | None) -> str:
     """Every block of visible text, boilerplate too, one on a line."""
     return "\n".join(t for _, t in blocks(html or ""))

@@ -275,3 +275,15 @@ def test_html_words_in_names_keep_article_text():
     page = f"<html><body class='has-sidebar'><nav><a>Site</a></nav><div class='sidebar-wrapper'><article><h1>Head</h1>{''.join(inner)}<p hidden>Gone.</p><div class='comments'><p>{long}</p></div></article></div><div class='ad'>Buy, now.</div></body></html>"
     s = " ".join(long.split())
     assert html_extract.main_text(page).split("\n\n") == ["Head", "Sharing files", s, "What it means", s, "Related work", f"See gems too, {s}", s]
+
+
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ("<div>", "</div>"), ("", "")])
+def test_html_keeps_all_beside_a_long_block(open_, close):
+    short = "A short paragraph, which is part of the article, though little beside the long one stands here."
+    long = "Many words, many signs; and so on, for a long time. " * 200
+    page = lambda body: f"<html><body><nav><a>Site</a></nav>{open_}{body}{close}<footer>Foot, all.</footer></body></html>"
+    for body in (f"<section><p>{long}</p></section><section><h2>Two</h2><p>{short}</p></section>", f"<p>{short}</p><ul><li>{long}</li></ul>", f"<blockquote><p>{long}</p></blockquote><p>{short}</p>"):
+        got = html_extract.main_text(page(body))
+        assert short in got and long.strip() in got and "Site" not in got and "Foot" not in got
+    if open_:
+        assert short in html_extract.main_text(page(f"<div class='lead'><p>{short}</p></div><div><p>{long}</p></div>"))
