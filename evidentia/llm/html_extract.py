@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -60,8 +61,7 @@ class _Element:
         found: dict[str, str] = {}
         for k, a, b, c in _ATTR.findall(attrs) if attrs else ():
             found.setdefault(k.lower(), a or b or c)
-        above = list(_up(parent))
-        in_article = any(e.tag in ("article", "main") for e in above)
+        in_article = parent is not None and any(e.tag in ("article", "main") for e in _up(parent))
         own = tag in DROP_TAGS or tag == "header" and not in_article
         own |= found.get("role", "").lower() in DROP_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         #: 2: the name says boilerplate; 1: a word of it does.
@@ -69,11 +69,11 @@ class _Element:
         if tag not in TEXT_TAGS and tag not in INLINE:
             by_id = _named(found.get("id", "").lower(), in_article)
             self.named = max(self.named, min(by_id, 1) if in_article or tag == "section" else by_id)
-        comments = {"comment", "comments"} & set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
+        comments = tag in KEEP_TAGS and {"comment", "comments"} & set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
         if tag in KEEP_TAGS and not comments:
             own, self.named = False, 0
             if tag in ("main", "article"):
-                for e in above:
+                for e in _up(parent):
                     e.holds = True
         if tag in INLINE:
             own |= self.named == 2
@@ -82,6 +82,7 @@ class _Element:
         self.dropped = own or (parent is not None and parent.dropped)
 
 
+@lru_cache(4096)
 def _named(name: str, in_article: bool) -> int:
     """2 if a class or id is made of boilerplate words, 1 if a word of it is one or may be a topic, else 0."""
     words = [w for w in re.split(r"[^a-z0-9]+", name) if w and not w.isdigit()]
