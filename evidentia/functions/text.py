@@ -10,12 +10,21 @@ from pyspark.sql import functions as F
 _SOURCE = "".join(c for c in map(chr, range(0xC0, 0x180)) if len(unicodedata.normalize("NFD", c)) > 1)
 _TARGET = "".join(unicodedata.normalize("NFD", c)[0] for c in _SOURCE)
 
+#: Quotes and spaces with their plain forms.
+_MARKS, _PLAIN = "\u2018\u2019\u201c\u201d\u00ab\u00bb\u00a0\u202f\u2009", "''\"\"\"\"   "
+
 
 def fold(c: Column) -> Column:
     """Lower case without accents; ligatures and ß stay."""
     return F.lower(F.translate(c, _SOURCE, _TARGET))
 
 
+def normalize(c: Column) -> Column:
+    """Without accents, with plain quotes and single spaces, trimmed; a NUL, as some PDF fonts give for it, becomes fi."""
+    c = F.translate(F.replace(c, F.lit("\0"), F.lit("fi")), _SOURCE + _MARKS, _TARGET + _PLAIN)
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "[\u0300-\u036f]", ""), "\\s+", " "))
+
+
 def tokens(c: Column) -> Column:
     """Distinct folded words of letters and digits."""
     return F.array_distinct(F.filter(F.split(fold(c), "[^a-z0-9]+"), lambda t: t != ""))

@@ -34,11 +34,15 @@ def same_result_groups(spark, sf_dir):
     return entities.groups(entities.same_results(r, "op"), "op", "a", "b")
 
 
-@register("name_match", """SELECT s_name AS name, c_name AS target, CASE WHEN s_suppkey <= 999 THEN '3 core' ELSE '7 last' END AS rule FROM supplier JOIN customer ON s_suppkey = c_custkey""")
+@register("name_match", """WITH v AS (SELECT c_custkey AS k, c_custkey % 6 AS v, 'Bâtiment CUSTOMER#' || lpad(c_custkey::VARCHAR, 9, '0') AS t FROM customer)
+SELECT CASE v WHEN 0 THEN 'Customer#' || lpad(k::VARCHAR, 9, '0') WHEN 1 THEN 'bât. customer ' || k WHEN 2 THEN 'Customer ' || k || ' - 40 lgts' WHEN 3 THEN 'Custommers ' || k WHEN 4 THEN 'Lot n ' || k ELSE 'Mairie ' || k || ' et ' || (k + 1) END AS name,
+  CASE WHEN v < 4 OR v = 4 AND k < 1000 THEN t END AS target, CASE WHEN v = 0 THEN '1 exact' WHEN v = 1 THEN '2 key' WHEN v = 2 THEN '5 prefix' WHEN v = 3 THEN '6 loose' WHEN v = 4 AND k < 1000 THEN '7 end' END AS rule FROM v""")
 def name_match(spark, sf_dir):
-    op = F.lit("op").alias("op")
-    s, c = table(spark, sf_dir, "supplier").select(op, F.col("s_name").alias("name")), table(spark, sf_dir, "customer").select(op, F.col("c_name").alias("target"))
-    return entities.match_names(s, c, "op").select("name", "target", "rule")
+    op, k = F.lit("op").alias("op"), F.col("c_custkey")
+    v = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    c = table(spark, sf_dir, "customer")
+    spelled = F.when(k % 6 == 0, F.col("c_name")).when(k % 6 == 1, v("bât. customer ", k)).when(k % 6 == 2, v("Customer ", k, " - 40 lgts")).when(k % 6 == 3, v("Custommers ", k)).when(k % 6 == 4, v("Lot n ", k)).otherwise(v("Mairie ", k, " et ", k + 1))
+    return entities.match_names(c.select(op, spelled.alias("name")), c.select(op, F.col("c_name").alias("target")), "op").select("name", "target", "rule")
 
 
 @register("perimeter_fan_out", """WITH r AS (SELECT c_nationkey AS building, c_mktsegment AS field, round(sum(c_acctbal), 2) AS value FROM customer WHERE c_acctbal > 9000 GROUP BY 1, 2), t AS (SELECT n_nationkey AS building FROM nation WHERE n_regionkey < 3),

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import html
-import xml.etree.ElementTree as ET
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.numbers import contract_key
 from ..functions.text import fold
@@ -23,15 +24,25 @@ def kind_of(path: Column) -> Column:
     return F.when(ext.isin("xls", "xlsx"), "table").when(ext.isin("pdf", "xml", "csv", "json", "txt"), ext)
 
 
+#: Bytes 128 to 159 of Windows-1252 as Latin-1 reads them, and what they stand for.
+_LATIN_1 = "".join(map(chr, range(0x80, 0xA0)))
+_WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
 def separated(spark: SparkSession, path: str) -> DataFrame:
-    """(path, idx, cells) of text files: UTF-8, else Windows-1252; the separator is the most frequent of ; tab and comma in the first twenty lines. One file is one row, cut up where it is read."""
-    f = spark.read.format("binaryFile").load(path).select("path", "content")
-    raw = F.coalesce(F.expr("try_validate_utf8(cast(content as string))"), F.decode("content", "windows-1252"))
-    lines = f.select("path", F.split(F.regexp_replace(raw, "\r", ""), "\n").alias("lines"))
-    head = F.array_join(F.slice("lines", 1, 20), "\n")
-    count = lambda s: F.char_length(head) - F.char_length(F.replace(head, F.lit(s), F.lit("")))
-    sep = F.array_max(F.array(*[F.struct(count(s).alias("n"), F.lit(-i).alias("first"), F.lit(s).alias("sep")) for i, s in enumerate([";", "\t", ","])]))["sep"]
-    rows = lines.withColumn("sep", sep).select("path", "sep", F.posexplode("lines").alias("idx", "line")).filter("line <> ''")
+    """(path, idx, cells) of text files: UTF-8, else Windows-1252; the separator is the most frequent of ; tab and comma in the first twenty lines.
+
+    Files are read in splits, so none has to fit in a task: a line's number is its place in its split plus the lines of the splits before.
+    """
+    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = t.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.bool_and(F.is_valid_utf8("value")).alias("ok"))
+    file = Window.partitionBy("path")
+    splits = splits.select("path", "start", "first", F.bool_and("ok").over(file).alias("utf8"), (F.sum("n").over(file.orderBy("start")) - F.col("n")).alias("before"))
+    latin = F.translate(F.decode(F.col("value").cast("binary"), "iso-8859-1"), _LATIN_1, _WINDOWS)
+    rows = t.join(splits, ["path", "start"]).select("path", (F.col("before") + F.col("at") - F.col("first")).alias("idx"), F.when(F.col("utf8"), F.col("value")).otherwise(latin).alias("line"))
+    count = lambda s: F.sum(F.char_length("line") - F.char_length(F.replace(F.col("line"), F.lit(s), F.lit(""))))
+    found = F.array_max(F.array(*[F.struct(count(s).alias("n"), F.lit(-i).alias("first"), F.lit(s).alias("sep")) for i, s in enumerate([";", "\t", ","])]))["sep"]
+    rows = rows.filter("line <> ''").join(rows.filter("idx < 20").groupBy("path").agg(found.alias("sep")), "path")
     cells = F.split("line", F.concat(F.col("sep"), F.lit('(?=(?:[^"]*"[^"]*")*[^"]*$)')))
     return rows.select("path", "idx", F.transform(cells, lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"'))).alias("cells"))
 
@@ -49,9 +60,14 @@ def html_cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     return r.select(id_col, "row", F.posexplode(cells).alias("col", "_c")).select(id_col, "row", "col", plain_text(F.col("_c")).alias("text"))
 
 
+#: An anchor up to the end of the value of its href, which may be quoted either way or bare.
+_HREF = """(?is)<a(?=\\s)(?:[^>"']|"[^"]*"|'[^']*')*?\\shref\\s*=\\s*(?:"[^"]*"|'[^']*'|[^\\s>"']+)"""
+
+
 def html_links(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, idx, href) of all links in page order."""
-    return pages.select(F.col(id_col), F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit('<a href="([^"]*)"'), F.lit(1))).alias("idx", "href"))
+    """(id, idx, href) of all links in page order, wherever the href stands in its tag and however it is quoted."""
+    found = pages.select(F.col(id_col), F.posexplode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(_HREF), F.lit(0))).alias("idx", "_a"))
+    return found.select(id_col, "idx", F.regexp_replace(F.regexp_extract("_a", """(?is)\\shref\\s*=\\s*("[^"]*"|'[^']*'|[^\\s>"']+)$""", 1), """^["']|["']$""", "").alias("href"))
 
 
 def plain_text(c: Column) -> Column:
@@ -62,24 +78,48 @@ def plain_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "\\s+", " "))
 
 
-def xml_leaves(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
-    """(id, idx, path, value) of every element without children that has text; XML that does not parse, and null, give nothing."""
+_MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[?!][^>]*(?:>|$)|<(/?)([A-Za-z_][\w.:-]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>|<""", re.S)
+
+
+def _leaves(text: str) -> Iterator[tuple[str, str]]:
+    """(path, value) of elements without children; a closing tag ends what is open inside its element, a stray one nothing, the end of the text all."""
+    open_: list[list] = []  # [name, text, whether it has children]
+
+    def close() -> Iterator[tuple[str, str]]:
+        _, value, parent = open_[-1]
+        if not parent and value.strip():
+            yield "/" + "/".join(o[0] for o in open_), html.unescape(value.strip())
+        open_.pop()
+
+    at = 0
+    for m in _MARKUP.finditer(text):
+        if open_:
+            open_[-1][1] += text[at : m.start()] + (m[1] or "") + ("<" if m[0] == "<" else "")
+        at = m.end()
+        name = (m[3] or "").rsplit(":", 1)[-1]
+        if name and m[2]:
+            if any(o[0] == name for o in open_):
+                while open_[-1][0] != name:
+                    yield from close()
+                yield from close()
+        elif name:
+            if open_:
+                open_[-1][2] = True
+            open_.append([name, "", False])
+            if m[4].endswith("/"):
+                open_.pop()
+    if open_:
+        open_[-1][1] += text[at:]
+    while open_:
+        yield from close()
 
-    def leaves(element: ET.Element, path: str) -> Iterator[tuple[str, str]]:
-        name = f"{path}/{element.tag.rsplit('}', 1)[-1]}"
-        if len(element) == 0 and (element.text or "").strip():
-            yield name, html.unescape(element.text.strip())
-        for child in element:
-            yield from leaves(child, name)
+
+def xml_leaves(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
+    """(id, idx, path, value) of every element without children that has text. Broken XML gives what can be read of it; null gives nothing."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for key, text in zip(b.iloc[:, 0], b.iloc[:, 1]):
-                try:
-                    out += [(key, i, *leaf) for i, leaf in enumerate(leaves(ET.fromstring(text), ""))] if text else []
-                except ET.ParseError:
-                    pass
+            out = [(key, i, *leaf) for key, text in zip(b.iloc[:, 0], b.iloc[:, 1]) if text for i, leaf in enumerate(_leaves(text))]
             yield pd.DataFrame(out, columns=["id", "idx", "path", "value"])
 
     return docs.select(id_col, xml_col).mapInPandas(read, f"id {docs.schema[id_col].dataType.simpleString()}, idx int, path string, value string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_path(spark: SparkSession, tag: str) -> str:
-    """A new path in spark.checkpoint.dir; a temporary folder is set only where none is, as in tests."""
+    """A new path in spark.checkpoint.dir; where none is set, a temporary folder serves a local session, and a cluster raises: its machines share none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

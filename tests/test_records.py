@@ -1,5 +1,7 @@
 import random
 
+import pytest
+from evidentia.functions import names
 from evidentia.operators import checks, economics, entities, learning, measures, versions
 from pyspark.sql import functions as F
 
@@ -38,17 +40,76 @@ def test_groups_of_long_chains(spark):
 
 
 def test_same_results_need_two_equal_and_none_other(spark):
-    rows = [("o", b, f, v) for b, vs in {"a": (1, 2, 3), "b": (1, 2, None), "c": (1, 2, 4), "d": (1, None, None)}.items() for f, v in zip("xyz", vs)]
+    rows = [("o", b, f, v) for b, vs in {"a": (1.0, 2.0, 3.0), "b": (1.0, 2.0, None), "c": (1.0, 2.0, 4.0), "d": (1.0, None, None), "e": (1.00000049999, 2.0, 3.0), "f": (1.00000050001, 2.0, 3.5)}.items() for f, v in zip("xyz", vs)]
     got = {(r.a, r.b) for r in entities.same_results(spark.createDataFrame(rows, "op string, building string, field string, value double"), "op").collect()}
-    assert got == {("a", "b"), ("b", "c")}
+    assert got == {("a", "b"), ("b", "c"), ("a", "e"), ("b", "e"), ("b", "f")}
 
 
-def test_match_takes_the_first_rule_with_one_candidate(spark):
-    names = spark.createDataFrame([("o", n) for n in ("Bât A", "batiment 2", "Les Lilas Nord", "inconnu", None)], "op string, name string")
-    ref = spark.createDataFrame([("o", n) for n in ("A", "Bâtiment B", "Lilas Sud", "Lilas")], "op string, target string")
-    got = {r.name: (r.target, r.rule) for r in entities.match_names(names, ref, "op").collect()}
-    assert got["Bât A"] == ("A", "2 key") and got["batiment 2"] == ("Bâtiment B", "4 letter") and "inconnu" not in got
-    assert got["Les Lilas Nord"][0] != "Lilas Sud" if "Les Lilas Nord" in got else True
+@pytest.mark.parametrize("value", [0.0, 1e-9, 1.0, 12345.678, -7e8])
+def test_same_results_at_cell_borders(spark, value):
+    near, far = value * (1 + 9e-7), value * (1 + 3e-6) + 1e-30
+    rows = [("o", b, f, v) for b, v in (("a", value), ("b", near), ("c", far)) for f in "xy"]
+    got = {(r.a, r.b) for r in entities.same_results(spark.createDataFrame(rows, "op string, building string, field string, value double"), "op").collect()}
+    assert ("a", "b") in got and ("a", "c") not in got
+
+
+REFERENCE = ["A", "Bâtiment B", "Basson I", "Log 5 - 1 lot (T3)", "BEG-3 A 7", "Colectif Nord", "C - Batiment Accession", "Charquemont", "Macrolot G"]
+
+
+@pytest.mark.parametrize(
+    ("name", "target", "rule"),
+    [
+        ("a", "Bâtiment A", "1 exact"), ("Bat-B", "Bâtiment B", "7 end"), ("Basson-I", "Bâtiment BASSON I", "2 key"), ("Bât B (2 zones)", "Bâtiment B", "1 exact"), ("Bât A aile nord", "Bâtiment A", "3 core"), ("A et B", None, None), ("A, B", None, None),
+        ("Basson I - 40 lgts", "Bâtiment BASSON I", "5 prefix"), ("BEG 3-7", "Bâtiment BEG-3 A 7", "5 prefix"), ("Collectifs Nord", "Bâtiment COLECTIF NORD", "6 loose"), ("Accession", "Bâtiment C - BATIMENT ACCESSION", "6 loose"),
+        ("G", "Bâtiment MACROLOT G", "7 end"), ("Charquemon", "Bâtiment CHARQUEMONT", "8 truncated"), ("Charque", None, None), ("inconnu", None, None), ("Les Lilas Nord", None, None),
+    ],
+)
+def test_match_by_each_rule(spark, matched, name, target, rule):
+    got = matched[name]
+    assert got == (target, rule)
+
+
+@pytest.fixture(scope="module")
+def matched(spark):
+    found = [p.values[0] if hasattr(p, "values") else p[0] for m in test_match_by_each_rule.pytestmark for p in m.args[1]]
+    ref = spark.createDataFrame([("o", n) for n in [*REFERENCE, "Lilas Sud", "Lilas"]], "op string, target string")
+    return {r.name: (r.target, r.rule) for r in entities.match_names(spark.createDataFrame([("o", n) for n in found], "op string, name string"), ref, "op").collect()}
+
+
+def test_match_letters_only_buildings_and_manual(spark):
+    ref = spark.createDataFrame([("l", "A"), ("l", "B"), ("n", "1"), ("n", "2"), ("s", "Tilleul"), ("e", "X1")], "op string, target string")
+    found = spark.createDataFrame([("l", "2"), ("l", "30"), ("n", "Bât a"), ("s", "unique"), ("s", "Bât 4"), ("s", "Chênes"), ("e", "X1"), ("e", "Y"), ("e", None), ("zz", "A")], "op string, name string")
+    manual = spark.createDataFrame([("e", "X1", None), ("e", "Y", "x1"), ("s", "Chênes", "Erable")], "op string, name string, target string")
+    got = {(r.op, r.name): (r.target, r.rule) for r in entities.match_names(found, ref, "op", manual=manual).collect()}
+    assert got["l", "2"] == ("Bâtiment B", "4 letter") and got["l", "30"][0] is None and got["n", "Bât a"] == ("Bâtiment 1", "4 letter")
+    assert got["s", "unique"] == ("Bâtiment TILLEUL", "9 only") and got["s", "Bât 4"] == ("Bâtiment TILLEUL", "9 only")
+    assert got["e", "X1"] == (None, "0 manual") and got["e", "Y"] == ("Bâtiment X1", "0 manual") and got["s", "Chênes"] == (None, "0 manual") and got["zz", "A"] == (None, None) and len(got) == 9
+
+
+def test_names(spark):
+    cases = {
+        "canonical": [("  bât. a (2 zones)", "Bâtiment A"), ("Immeuble rue", "Bâtiment RUE"), ("Batiment sur cour", "Bâtiment COUR"), ("principal", "Bâtiment unique"), ("R1 - R2 0 0 7 14 28", "Bâtiment R1 - R2"), ("", "Bâtiment unique"), (None, None)],
+        "core": [("Bât B02 nord", "b2"), ("Les Tilleuls", "les"), ("Tilleul vert", "tilleul vert"), ("007", "7"), (None, "")], "qualified_core": [("Bâtiment 1 Est", "1"), ("A et B", ""), ("1 2", ""), ("Bat A aile nord", "a"), ("A", "")],
+        "is_list": [("A et B", True), ("1, 2", True), ("Bât A", False), ("A nord", False)], "is_ghost": [("Bâtiment 3117.92", True), ("A 14 rue X", True), ("I4 ≤ 0,60", True), ("B BP 30055", True), ("Bâtiment A", False), ("00040", False), (None, False)],
+        "is_garbage": [("Bâtiment ET DES TRAVAUX", True), ("realises sur chantiers.", True), ("Bâtiment A", False), ("Les Tilleuls", False), (None, False)], "is_part": [("Cage 3", True), ("Maisons 2/3", False), ("A/B", True), ("Tilleul", False)],
+        "split_group": [("Bât 2 & 3", ["Bâtiment 2", "Bâtiment 3"]), ("AB", ["AB"]), ("A et Tilleul", ["A et Tilleul"])],
+    }
+    for f, pairs in cases.items():
+        rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(pairs)], "i int, n string").select("i", getattr(names, f)(F.col("n")).alias("v")).orderBy("i").collect()
+        assert [(x, r.v) for r, (x, _) in zip(rows, pairs, strict=True)] == pairs, f
+
+
+def test_ranked_names_and_perimeter(spark):
+    rows = [("o", "Bât A", 5), ("o", "1", 9), ("o", "Cage 3", 20), ("o", "Tilleul", 2), ("o", "unique", 50), ("o", None, 1), ("p", "Chêne", 3), ("p", "Cage 1", 9), ("q", "B", 4), ("q", "C", 1)]
+    found = spark.createDataFrame(rows, "op string, name string, results int")
+    got = [(r.name, r.doubtful) for r in entities.rank_names(found, "op").filter("op = 'o'").orderBy("place").collect()]
+    assert got == [("Bâtiment 1", False), ("Bâtiment TILLEUL", False), ("Bâtiment CAGE 3", True)]
+    top = entities.top_names(found, spark.createDataFrame([("o", 2.0), ("p", None)], "op string, total double"), "op")
+    assert sorted(map(tuple, top.collect())) == [("o", "Bâtiment 1"), ("o", "Bâtiment TILLEUL"), ("p", "Bâtiment CHENE")]
+    named = spark.createDataFrame([("q", "Bât B & D", 1), ("q", "E", 2), ("r", "Z", 1), ("r", "Y", 2)], "op string, name string, seq int")
+    totals = spark.createDataFrame([("o", 2.0), ("q", 4.0), ("r", 1.0)], "op string, total double")
+    got = sorted(map(tuple, entities.reference_perimeter(named, totals, found, "op").collect()))
+    assert got == [("o", "Bâtiment 1", "counted"), ("o", "Bâtiment TILLEUL", "counted"), ("q", "Bâtiment B", "named"), ("q", "Bâtiment C", "found"), ("q", "Bâtiment D", "named"), ("q", "Bâtiment E", "named"), ("r", "Bâtiment Z", "named")]
 
 
 def test_checks(spark):

@@ -98,9 +98,9 @@ def test_context_and_blocks(spark):
 
 def test_separated_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('code;nom\n1;"a;b ""c"""\n'.encode())
-    (tmp_path / "b.csv").write_bytes("nom,ville\nété,Ré\n".encode("cp1252"))
+    (tmp_path / "b.csv").write_bytes("nom,ville\nété,Ré\n€,–\n".encode("cp1252"))
     got = sorted((r.path[-5:], r.idx, r.cells) for r in formats.separated(spark, str(tmp_path)).collect())
-    assert got == [("a.csv", 0, ["code", "nom"]), ("a.csv", 1, ["1", 'a;b "c"']), ("b.csv", 0, ["nom", "ville"]), ("b.csv", 1, ["été", "Ré"])]
+    assert got == [("a.csv", 0, ["code", "nom"]), ("a.csv", 1, ["1", 'a;b "c"']), ("b.csv", 0, ["nom", "ville"]), ("b.csv", 1, ["été", "Ré"]), ("b.csv", 2, ["€", "–"])]
 
 
 def test_tables_and_leaves(spark):
@@ -108,8 +108,23 @@ def test_tables_and_leaves(spark):
     cells = formats.html_cells(spark.createDataFrame([(1, page), (2, None)], "id int, html string"), "id", "html")
     assert sorted((r.row, r.col, r.text) for r in cells.collect()) == [(0, 0, "Code"), (0, 1, "Nom"), (1, 0, "1"), (1, 1, "A & B")]
     assert formats.header_row(cells, ["id"], ("code", "nom")).first().row == 0
-    x = spark.createDataFrame([(1, "<p><a>1</a><b><c> x </c></b></p>"), (2, "<broken"), (3, None)], "id int, xml string")
-    assert [(r.id, r.path, r.value) for r in formats.xml_leaves(x, "id", "xml").collect()] == [(1, "/p/a", "1"), (1, "/p/b/c", "x")]
+    x = spark.createDataFrame([(1, "<?xml version='1.0'?><p><!-- n --><ns:a k='>'>1 &amp; 2</ns:a><b><c> x </c><e/></b></p>"), (2, "<broken"), (3, None), (4, "<p><a>1<b>2</p>"), (5, "</x><p><![CDATA[a<b]]></q></p>")], "id int, xml string")
+    got = [(r.id, r.path, r.value) for r in formats.xml_leaves(x, "id", "xml").collect()]
+    assert got == [(1, "/p/a", "1 & 2"), (1, "/p/b/c", "x"), (4, "/p/a/b", "2"), (5, "/p", "a<b")]
+    links = formats.html_links(spark.createDataFrame([(1, """<a class=x href='a b'>1</a><A HREF = c>2</A><a title="href=n">3</a><abbr href="d"><a href="e">"""), (2, None)], "id int, html string"), "id", "html")
+    assert [(r.idx, r.href) for r in links.orderBy("idx").collect()] == [(0, "a b"), (1, "c"), (2, "e")]
+
+
+def test_separated_files_in_splits(spark, tmp_path):
+    rows = [f"{i};x{i}" for i in range(3000)]
+    (tmp_path / "big.csv").write_text("a;b\n" + "\n".join(rows) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = formats.separated(spark, str(tmp_path)).orderBy("idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.idx for r in got] == list(range(3001)) and got[1].cells == ["0", "x0"] and got[3000].cells == ["2999", "x2999"]
 
 
 def test_items_and_ocr(spark):
