@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,11 @@ def ascii_lower(col: Column) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The shared folder named in spark.checkpoint.dir. Where none is set, a temporary one serves a local session, as in tests; a cluster raises, as its machines share none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = tempfile.mkdtemp(prefix="evidentia-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -37,12 +41,29 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write a table in the shared folder and read it back; cuts the lineage, survives lost executors."""
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, read back, and its path; cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """As written, for tables that stay until the folder is cleaned."""
+    return written(df, tag)[0]
+
+
+@contextmanager
+def by_first_key(spark: SparkSession):
+    """While this holds, joins on several keys take tables dealt out by the first of them as they are, without a new shuffle."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -63,25 +84,31 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-BITMAP_BITS = 1 << 22
+#: Bits for each key, and the most of all: 2**26 bits are 2**20 rows.
+KEY_BITS, MOST_BITS = 16, 1 << 26
 
 
-def bitmap_of(keys: DataFrame, key: Column, bits: int = BITMAP_BITS) -> DataFrame:
-    """A hashed bitmap of keys as rows (word, mask): at most bits/32 rows whatever the input, so it may be broadcast."""
+def bitmap_of(keys: DataFrame, key: Column, most: int = MOST_BITS) -> tuple[DataFrame, int] | None:
+    """A hashed bitmap of the keys of a written table, as rows (word, mask) that may be broadcast, and its bits: KEY_BITS for each
+    key by count, so one in KEY_BITS others is let through. None if that takes more than most bits (some four million keys):
+    then nothing is pruned, and every row goes into the exact join that follows."""
+    bits = 1 << max(12, (KEY_BITS * keys.count()).bit_length())
+    if bits > most:
+        return None
     at = F.pmod(F.xxhash64(key), F.lit(bits))
-    return (
-        keys.select(at.alias("at"))
-        .groupBy((F.col("at") / 32).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("mask"))
-    )
+    rows = keys.select(at.alias("at")).groupBy((F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask"))
+    return rows, bits
 
 
-def in_bitmap(df: DataFrame, key: Column, bitmap: DataFrame, flag: str, bits: int = BITMAP_BITS) -> DataFrame:
+def in_bitmap(df: DataFrame, key: Column, bitmap: tuple[DataFrame, int] | None, flag: str) -> DataFrame:
     """Add the boolean flag: false is certain, true means the key may be there (an exact join has to follow)."""
+    if bitmap is None:
+        return df.withColumn(flag, F.lit(True))
+    rows, bits = bitmap
     df = df.withColumn("__ev_at", F.pmod(F.xxhash64(key), F.lit(bits)))
-    words = F.broadcast(bitmap.select(F.col("word").alias("__ev_word"), F.col("mask").alias("__ev_mask")))
-    hit = F.expr("coalesce(shiftright(__ev_mask, cast(__ev_at % 32 as int)) & 1L, 0L) = 1L")
-    return df.join(words, (F.col("__ev_at") / 32).cast("int") == F.col("__ev_word"), "left").withColumn(flag, hit).drop("__ev_at", "__ev_word", "__ev_mask")
+    words = F.broadcast(rows.select(F.col("word").alias("__ev_word"), F.col("mask").alias("__ev_mask")))
+    hit = F.expr("coalesce(shiftright(__ev_mask, cast(__ev_at % 64 as int)) & 1L, 0L) = 1L")
+    return df.join(words, (F.col("__ev_at") / 64).cast("int") == F.col("__ev_word"), "left").withColumn(flag, hit).drop("__ev_at", "__ev_word", "__ev_mask")
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:

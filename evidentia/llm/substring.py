@@ -9,12 +9,12 @@ Index: each batch of documents, in order of id, writes one immutable run of entr
 windows), bucketed and sorted by anchor hash. A new batch is merge-joined bucket by bucket with the earlier runs; neither side is
 shuffled again. A stretch whose anchor and stretch hash (128 bits on all its words) stand earlier is repeated as a whole. Where
 an anchor stands in different stretches, the entries are ambiguous and are verified window by window: their documents are read again, each window gets a
-128-bit hash, and the earliest of equal windows stays. When there are more than max_runs runs they are compacted by a merge join
-into one that keeps the first entry of each stretch.
+128-bit hash, and the earliest of equal windows stays. Verified windows are runs too, bucketed by hash and merge-joined in the same way. When there
+are more than max_runs runs of a kind they are compacted by a merge join into one that keeps the first entry of each stretch or window.
 
 Skew: each map task folds equal stretches to their first before anything is shuffled, and an anchor that is ambiguous inside the
 task sends its stretches to buckets of their own and a single marker to the anchor's bucket. So one anchor's bucket gets at
-most two rows from a task however common its words are.
+most two rows from a task however common its words are, and the work on them is in proportion to their number.
 
 Null text has no words; texts of fewer than `window` words are never touched. Rows repeated under one id are one document. Rows with a null id are
 neither indexed nor touched. Ids are integers. Texts of any length are processed whole.
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bitmap_of, discard, in_bitmap, materialize, small_batches, work_dir
+from .common import bitmap_of, by_first_key, discard, in_bitmap, materialize, small_batches, work_dir, written
 
 WINDOW, GRAM = 20, 6
 SINGLE, AMBIGUOUS, MARKER, KNOWN = 0, 1, 2, 3
@@ -164,77 +164,115 @@ def entries(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 class SubstringIndex:
-    """The index: runs on shared storage, and the windows that had to be verified."""
+    """The index: runs of entries and runs of verified windows, tables on shared storage until close."""
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, max_runs: int = 2, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, max_runs: int = 1, buckets: int | None = None):
         self.spark, self.window, self.gram, self.max_runs = spark, window, gram, max_runs
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[tuple[str, str]] = []
-        self.verified: DataFrame | None = None
+        self.windows: list[tuple[str, str]] = []
+        self.compactions = 0
 
-    def _write_run(self, rows: DataFrame, dealt: bool = False) -> tuple[str, str]:
+    def _write_run(self, rows: DataFrame, keys: tuple[str, str], dealt: bool = False) -> tuple[str, str]:
         name = f"substring_run_{uuid.uuid4().hex}"
         path = f"{work_dir(self.spark)}/{name}"
-        rows = rows if dealt else rows.repartition(self.buckets, "b")
-        rows.write.format("parquet").bucketBy(self.buckets, "b").sortBy("b", "ctx").option("path", path).saveAsTable(name)
+        rows = rows if dealt else rows.repartition(self.buckets, keys[0])
+        rows.write.format("parquet").bucketBy(self.buckets, keys[0]).sortBy(*keys).option("path", path).saveAsTable(name)
         return name, path
 
-    @staticmethod
-    def _by_anchor(run: DataFrame, col: str) -> DataFrame:
-        """One row for each anchor with its entries, at most two for each map task that wrote them; the run's buckets make it free of shuffles."""
-        entry = F.struct("ctx", "id", "start", "n", "kind")
-        return run.filter(F.col("kind") != KNOWN).groupBy("b").agg(F.collect_list(entry).alias(col)).withColumnRenamed("b", f"b_{col}")
+    def _drop(self, runs: list[tuple[str, str]]) -> None:
+        for name, path in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            discard(self.spark, path)
+
+    def close(self) -> None:
+        """Drop all runs."""
+        self._drop(self.runs + self.windows)
+        self.runs, self.windows = [], []
 
     def _compact(self) -> None:
-        """Merge all runs into one by merge joins on the anchor; of equal stretches the first stays."""
-        merged = self._by_anchor(self.spark.table(self.runs[0][0]), "e0").select(F.col("b_e0").alias("b"), F.col("e0").alias("e"))
-        for k, (name, _) in enumerate(self.runs[1:], 1):
-            other = self._by_anchor(self.spark.table(name), f"e{k}")
-            none = F.array().cast("array<struct<ctx:bigint,id:bigint,start:int,n:int,kind:int>>")
-            merged = merged.join(other, F.col("b") == F.col(f"b_e{k}"), "full").select(F.coalesce("b", f"b_e{k}").alias("b"), F.concat(F.coalesce("e", none), F.coalesce(f"e{k}", none)).alias("e"))
-        flat = merged.select("b", F.inline("e"))
-        firsts = Window.partitionBy("b").orderBy("ctx", "kind", "id", "start")
-        same = (F.lag("ctx").over(firsts) == F.col("ctx")) & (F.lag("kind").over(firsts) == F.col("kind"))
-        run = self._write_run(flat.withColumn("same", F.coalesce(same, F.lit(False))).filter("not same").drop("same"), dealt=True)
-        for name, path in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
-            discard(self.spark, path)
+        """Merge all runs of entries into one by merge joins on the anchor; of equal stretches the first stays."""
+        entry = "array<struct<ctx:bigint,kind:int,id:bigint,start:int,n:int>>"
+        none = F.array().cast(entry)
+        merged = None
+        for k, (name, _) in enumerate(self.runs):
+            per = self.spark.table(name).filter(F.col("kind") != KNOWN).groupBy("b").agg(F.collect_list(F.struct("ctx", "kind", "id", "start", "n")).alias(f"e{k}"))
+            if merged is None:
+                merged = per.select("b", F.col("e0").alias("e"))
+            else:
+                per = per.withColumnRenamed("b", "b_other")
+                merged = merged.join(per, F.col("b") == F.col("b_other"), "full").select(F.coalesce("b", "b_other").alias("b"), F.concat(F.coalesce("e", none), F.coalesce(f"e{k}", none)).alias("e"))
+        merged = merged.withColumn("e", F.array_sort("e"))
+        before = lambda i: F.get("e", i - 1)
+        firsts = F.filter("e", lambda x, i: (i == 0) | (x["ctx"] != before(i)["ctx"]) | (x["kind"] != before(i)["kind"]))
+        run = self._write_run(merged.select("b", F.inline(firsts)).select("b", "ctx", "id", "start", "n", "kind"), ("b", "ctx"), dealt=True)
+        self._drop(self.runs)
         self.runs = [run]
+        self.compactions += 1
+
+    def _compact_windows(self) -> None:
+        """The same for the runs of verified windows."""
+        first = None
+        for k, (name, _) in enumerate(self.windows):
+            per = self._firsts(name, f"f{k}")
+            first = per.withColumnRenamed("f0", "first") if first is None else first.join(per, ["k1", "k2"], "full").select("k1", "k2", F.least("first", f"f{k}").alias("first"))
+        with by_first_key(self.spark):
+            run = self._write_run(first.select("k1", "k2", "first.id", "first.pos", F.lit(2).alias("role")), ("k1", "k2"), dealt=True)
+        self._drop(self.windows)
+        self.windows = [run]
+
+    def _firsts(self, name: str, col: str) -> DataFrame:
+        """(k1, k2, first place) of the windows of a run; the run's buckets make it free of shuffles."""
+        return self.spark.table(name).groupBy("k1", "k2").agg(F.min(F.struct("id", "pos")).alias(col))
 
     def ingest(self, batch: DataFrame, corpus: DataFrame) -> DataFrame:
-        """(id, start, length) spans of repeated words in batch (id, text), whose ids all come after those taken in before.
+        """(id, start, length) spans of repeated words in batch (id, text), whose ids all come after those taken in before; a written table.
 
         corpus (id, text) holds the batch and everything before it; only its documents with ambiguous entries are read again.
         """
         if len(self.runs) > self.max_runs:
             self._compact()
-        run = self._write_run(entries(batch, self.window, self.gram))
-        rows = self.spark.table(run[0])
-        before = F.array().cast("array<struct<ctx:bigint,id:bigint,start:int,n:int,kind:int>>")
-        rows = rows.withColumn("old", before)
+        if len(self.windows) > self.max_runs:
+            self._compact_windows()
+        run = self._write_run(entries(batch, self.window, self.gram), ("b", "ctx"))
+        rows, held, old = self.spark.table(run[0]), F.lit(False), F.lit(0)
         for k, (name, _) in enumerate(self.runs):
-            other = self._by_anchor(self.spark.table(name), f"e{k}")
-            rows = rows.join(other, F.col("b") == F.col(f"b_e{k}"), "left").withColumn("old", F.concat("old", F.coalesce(f"e{k}", before))).drop(f"e{k}", f"b_e{k}")
+            other = self.spark.table(name).filter(F.col("kind") != KNOWN)
+            rows = rows.join(other.filter(F.col("kind") != MARKER).groupBy("b", "ctx").agg(F.count(F.lit(1)).alias(f"c{k}")), ["b", "ctx"], "left")
+            rows = rows.join(other.groupBy("b").agg(F.count(F.lit(1)).alias(f"o{k}")), "b", "left")
+            held, old = held | F.col(f"c{k}").isNotNull(), old + F.coalesce(f"o{k}", F.lit(0))
         at, order = Window.partitionBy("b"), Window.partitionBy("b").orderBy("ctx", "id", "start")
         real = F.col("kind").isin(SINGLE, AMBIGUOUS)
         # A repeated row is the same document: its entries aren't repeats of themselves, and go on to be verified.
         same = (F.lag("ctx").over(order) == F.col("ctx")) & ((F.lag("id").over(order) != F.col("id")) | (F.lag("start").over(order) != F.col("start")))
-        rows = rows.withColumn("again", F.coalesce(same, F.lit(False)) | F.exists("old", lambda e: (e["ctx"] == F.col("ctx")) & (e["kind"] != MARKER)))
+        rows = rows.withColumn("old", old).withColumn("again", F.coalesce(same, F.lit(False)) | held)
         rows = rows.withColumn("row", F.row_number().over(order)).withColumn("new", real & ~F.col("again"))
         rows = rows.withColumn("news", F.sum(F.col("new").cast("int")).over(at)).withColumn("marks", F.max((F.col("kind").isin(AMBIGUOUS, MARKER)).cast("int")).over(at))
-        doubt = (F.col("news") + F.size("old") > 1) | (F.col("marks") == 1)
+        doubt = (F.col("news") + F.col("old") > 1) | (F.col("marks") == 1)
         one = lambda role: F.array(F.struct(F.lit(role).alias("role"), F.col("id"), F.col("start"), F.col("n")))
         none = F.array().cast("array<struct<role:int,id:bigint,start:int,n:int>>")
         own = F.when((F.col("kind") == KNOWN) | real & F.col("again"), one(0)).when(F.col("new") & doubt, one(1)).otherwise(none)
-        earlier = F.transform(F.filter("old", lambda e: e["kind"] == SINGLE), lambda e: F.struct(F.lit(2).alias("role"), e["id"].alias("id"), e["start"].alias("start"), e["n"].alias("n")))
-        touched = (F.col("row") == 1) & (F.size("old") > 0) & ((F.col("news") > 0) | (F.col("marks") == 1))
-        found = materialize(rows.select(F.inline(F.concat(own, F.when(touched, earlier).otherwise(none)))), "substring-found")
+        # Anchors whose earlier single entries have to be verified too: their hash stands in the place of an id.
+        touched = (F.col("row") == 1) & (F.col("old") > 0) & ((F.col("news") > 0) | (F.col("marks") == 1))
+        anchor = F.array(F.struct(F.lit(3).alias("role"), F.col("b").alias("id"), F.lit(0).alias("start"), F.lit(0).alias("n")))
+        with by_first_key(self.spark):
+            found, found_at = written(rows.select(F.inline(F.concat(own, F.when(touched, anchor).otherwise(none)))), "substring-found")
+        doubts = found.filter("role = 1")
+        anchors = found.filter("role = 3").select(F.col("id").alias("b"))
+        for name, _ in self.runs:
+            doubts = doubts.union(self.spark.table(name).filter(F.col("kind") == SINGLE).join(anchors, "b", "left_semi").select(F.lit(2).alias("role"), "id", "start", "n"))
+        doubts, doubts_at = written(doubts, "substring-doubts")
         self.runs.append(run)
-        whole = found.filter("role = 0").select("id", "start", (F.col("n") + self.window - 1).alias("length"))
-        return whole.union(self._verify(found.filter("role > 0"), corpus))
+        spans = found.filter("role = 0").select("id", "start", (F.col("n") + self.window - 1).alias("length"))
+        windows, windows_at = self._verify(doubts, corpus)
+        with by_first_key(self.spark):
+            spans = materialize(spans.union(windows), "substring-spans")
+        for path in (found_at, doubts_at, windows_at):
+            discard(self.spark, path)
+        return spans
 
-    def _verify(self, doubts: DataFrame, corpus: DataFrame) -> DataFrame:
-        """Spans of the windows of new entries in doubt (role 1) that stand earlier in any entry in doubt."""
+    def _verify(self, doubts: DataFrame, corpus: DataFrame) -> tuple[DataFrame, str]:
+        """Spans of the windows of new entries in doubt (role 1) that stand earlier in any entry in doubt, and the path of a work table they read."""
         window = self.window
         per_doc = doubts.groupBy("id").agg(F.collect_list(F.struct("start", "n", "role")).alias("spans")).withColumnRenamed("id", "i")
         hit = in_bitmap(corpus, F.col("id"), bitmap_of(doubts, F.col("id")), "maybe").filter("maybe").drop("maybe")
@@ -267,38 +305,46 @@ class SubstringIndex:
             if parts:
                 yield from fold()
 
-        hashed = materialize(texts.mapInPandas(of, "k1 bigint, k2 bigint, id bigint, pos bigint, role int"), "substring-windows")
-        fresh = hashed.filter("role > 0").select("k1", "k2", "id", "pos")
-        pool = fresh if self.verified is None else fresh.union(self.verified)
-        first = pool.groupBy("k1", "k2").agg(F.min(F.struct("id", "pos")).alias("first")).select("k1", "k2", "first.*")
-        self.verified = materialize(first, "substring-verified")
-        first = self.verified.select(F.col("k1").alias("j1"), F.col("k2").alias("j2"), F.col("id").alias("fid"), F.col("pos").alias("fpos"))
-        later = hashed.filter("role = 1").join(first, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & ((F.col("id") != F.col("fid")) | (F.col("pos") != F.col("fpos"))))
+        hashed, hashed_at = written(texts.mapInPandas(of, "k1 bigint, k2 bigint, id bigint, pos bigint, role int"), "substring-windows")
+        run = self._write_run(hashed.filter("role > 0"), ("k1", "k2"))
+        first = self._firsts(run[0], "first")
+        for k, (name, _) in enumerate(self.windows):
+            first = first.join(self._firsts(name, f"f{k}"), ["k1", "k2"], "left").select("k1", "k2", F.least("first", f"f{k}").alias("first"))
+        self.windows.append(run)
+        later = self.spark.table(run[0]).filter("role = 1").join(first, ["k1", "k2"]).filter((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
         spans = later.select("id", "pos").union(hashed.filter("role = 0").select("id", "pos"))
-        return spans.select("id", F.col("pos").cast("int").alias("start"), F.lit(window).alias("length"))
+        return spans.select("id", F.col("pos").cast("int").alias("start"), F.lit(window).alias("length")), hashed_at
+
 
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, window: int = WINDOW, gram: int = GRAM, max_runs: int = 1, counts: dict | None = None) -> DataFrame:
+    """(id, start, length) word spans to remove from the whole table, taken into a fresh index in `batches` batches by id; a written table.
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(id, start, length) word spans to remove from the whole table, taken into a fresh index in `batches` batches by id."""
+    With more batches than max_runs + 1 the index is compacted on the way; counts, if given, gets their number as "compactions".
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    cuts = sorted(set(rows.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)))
-    index, spans = SubstringIndex(spark, window, gram), None
+    cuts = sorted(set(rows.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
+    index, spans = SubstringIndex(spark, window, gram, max_runs), None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows if low is None else rows.filter(F.col("id") > int(low))
         upto = rows if high is None else rows.filter(F.col("id") <= int(high))
         part = part if high is None else part.filter(F.col("id") <= int(high))
         found = index.ingest(part, upto)
         spans = found if spans is None else spans.union(found)
+    index.close()
+    if counts is not None:
+        counts["compactions"] = index.compactions
     return spans
 
 
 def strip(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept_text: bool = True) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256[, kept]) for each row, without the words of its spans; kept words are joined by one space."""
-    spans = materialize(spans, "substring-spans")
+    """(id, n_words, n_removed, kept_sha256[, kept]) for each row, without the words of its spans; kept words are joined by one space.
+
+    spans are read twice, so they should be a written table, as removals gives.
+    """
     per_doc = spans.groupBy("id").agg(F.collect_list(F.struct("start", "length")).alias("spans")).withColumnRenamed("id", "i")
     rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = in_bitmap(rows, F.col("id").cast("bigint"), bitmap_of(spans, F.col("id")), "maybe")
+    marked = in_bitmap(rows, F.col("id").cast("bigint"), bitmap_of(per_doc, F.col("i")), "maybe")
     hit = marked.filter("maybe").join(per_doc, F.col("id").cast("bigint") == F.col("i"), "left").select("id", "text", "spans")
     kind = "array<struct<start:int,length:int>>"
     rest = marked.filter("not maybe").select("id", "text", F.lit(None).cast(kind).alias("spans"))

@@ -1,9 +1,11 @@
 """The dealt operators on small tables with nulls, empty and repeated rows, against plain Python."""
 
+import gzip
 import hashlib
 import html as H
 import random
 import re
+import zlib
 
 import pytest
 from evidentia.llm import chat, components, decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, near_dedup, simhash, substring, warc
@@ -29,9 +31,14 @@ def texts():
     return out
 
 
-def test_substring(spark, texts):
+@pytest.mark.parametrize("batches, max_runs, compactions", [(1, 1, 0), (3, 1, 1), (6, 2, 2)])
+def test_substring(spark, texts, batches, max_runs, compactions):
     docs = docs_of(spark, texts).union(docs_of(spark, texts[8:10], 8)).union(spark.createDataFrame([(None, texts[8], None, None, None, 1)], SCHEMA))
-    got = {(r.doc_id): (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in substring.strip(docs, substring.removals(docs, batches=3)).collect()}
+    counts = {}
+    spans = substring.removals(docs, batches=batches, max_runs=max_runs, counts=counts)
+    got = {(r.doc_id): (r.n_words, r.n_removed, r.kept_sha256, r.kept) for r in substring.strip(docs, spans).collect()}
+    assert counts["compactions"] == compactions
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("substring_run_")]
     seen = set()
     for i, t in enumerate(texts):
         w = (t or "").split()
@@ -69,6 +76,15 @@ def test_lines(spark, texts):
         assert (got[i] or "") == "\n".join(kept)
 
 
+def test_lines_with_a_hot_line_and_clashing_names(spark):
+    line = "The same line of more than forty code points in all documents"
+    docs = spark.createDataFrame([(i, line if i % 3 else f"x{i}\n{line}\n{line}", i) for i in range(400)], "doc_id long, text string, keep int")
+    got = {r.doc_id: (r.text, r.n_dropped, r["keep"]) for r in line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs)).collect()}
+    assert all(got[i] == (("" if i % 3 else f"x{i}"), 1 if i % 3 else 2, i) for i in range(399)) and got[399] == (f"x399\n{line}\n{line}", 0, 399)
+    with pytest.raises(ValueError, match="n_dropped"):
+        line_dedup.apply_bitmaps(docs.withColumn("n_dropped", F.lit(9)), line_dedup.keep_bitmaps(docs))
+
+
 def test_mix(spark, texts):
     docs = docs_of(spark, texts * 3)
     a, b = (sorted(map(tuple, mixing.mix(docs, block=8, shard_tokens=3000).drop("target").collect()), key=str) for _ in range(2))
@@ -173,17 +189,67 @@ def test_html(spark):
 
 
 def test_warc_round_trip(spark, tmp_path):
-    rows = [(1, "http://a/x y", PAGE), (2, None, None), (2, None, None), (None, "http://b", "<p>é\r\n\r\n</p>")]
+    rng = random.Random(3)
+    noise = [(10 + i, f"http://n/{i}", "".join(chr(rng.randrange(32, 0x2000)) for _ in range(3000))) for i in range(40)]
+    rows = [(1, "http://a/x y", PAGE), (1, "http://a/x y", "<p>later</p>"), (2, None, None), (2, None, None), (None, "http://b", "<p>é\r\n\r\n</p>"), *noise]
     source = warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))
     made = warc.derive(source)
-    warc.write_warc(made.unionByName(source.select(*made.columns)), str(tmp_path / "w"))
-    back = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    whole = made.unionByName(source.select(*made.columns))
+    warc.write_warc(whole.repartition(3), str(tmp_path / "w"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        back = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     ids = {r.record_id for r in source.collect()}
-    assert len(back) == 12
+    assert len(ids) == 44 and len(back) == 3 * 45
+    assert len({r.record_id for r in made.collect()}) == 2 * 44
+    by_id = {r.record_id: r for r in whole.collect()}
     for r in back:
         h = {x.name: x.value for x in r.headers}
         assert h["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest()
         assert h["WARC-Type"] == "response" or h["WARC-Refers-To"].strip("<>") in ids
+        assert by_id[h["WARC-Record-ID"].strip("<>")].block == r.block
+    assert warc.derive(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_warc_members_and_damage(spark, tmp_path):
+    made = warc.responses(spark.createDataFrame([(i, f"http://a/{i}", PAGE) for i in range(5)], "page_id long, url string, html string"))
+    warc.write_warc(made.coalesce(1), str(tmp_path / "w"))
+    file = next((tmp_path / "w").glob("part-*"))
+    data, n = file.read_bytes(), 0
+    plain = gzip.decompress(data)
+    assert plain.startswith(b"WARC/1.1\r\n") and plain.endswith(b"\r\n\r\n") and plain.count(b"WARC/1.1\r\n") == 5
+    while data:
+        d = zlib.decompressobj(31)
+        assert d.decompress(data).count(b"WARC/1.1") == (n + 1) % 2
+        data, n = d.unused_data, n + 1
+    assert n == 10
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a").write_bytes(file.read_bytes()[:-60])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_warc(spark, str(tmp_path / "cut")).collect()
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a").write_bytes(gzip.compress(plain))
+    assert warc.read_warc(spark, str(tmp_path / "one")).count() == 5
+
+
+def test_warc_records_told_plainly(spark):
+    """Block, digests and links of each derivative from the page alone."""
+    rows = [(7, "http://a/x y", "<p>One</p><p>two &amp; three"), (8, None, None)]
+    made = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    sha = lambda t: "sha256:" + hashlib.sha256(t.encode()).hexdigest()
+    for key, url, html in rows:
+        conversion, metadata = ([r for r in made if r.page_id == key and r.warc_type == k][0] for k in ("conversion", "metadata"))
+        text = "One\ntwo & three" if html else ""
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len((html or '').encode())}\r\n"
+        assert conversion.block == text and conversion.block_digest == sha(text) and conversion.content_length == len(text.encode()) and conversion.target_uri == ("http://a/x%20y" if url else "urn:none")
+        fields = dict(line.split(": ", 1) for line in metadata.block.strip().split("\r\n") if not line.startswith("source-http"))
+        assert fields == {"conversion": f"<{conversion.record_id}>", "source-payload-digest": sha(html or ""), "source-block-digest": sha(http + "\r\n" + (html or "")), "text-digest": sha(text), "text-chars": str(len(text))}
+        assert metadata.refers_to == conversion.refers_to != metadata.record_id and metadata.block_digest == sha(metadata.block)
+        heads = {x.name: x.value for x in conversion.headers}
+        assert heads["WARC-Source-Payload-Digest"] == sha(html or "") and heads["WARC-Source-Content-Type"] == "text/html; charset=utf-8"
 
 
 def test_decontamination(spark):
@@ -198,7 +264,32 @@ def test_decontamination(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, bench).collect()}
     want = {(1000 + i, i) for i in range(20)} | {(1100, 3)}
     assert not got - want and len(got & want) >= 0.9 * len(want)
-    assert decontaminate.contaminated(d, bench.filter("false")).count() == 0
+    assert decontaminate.contaminated(d, bench.filter("false")).count() == 0 and decontaminate.contaminated(d.filter("false"), bench).count() == 0
+    # Blocks and passes change nothing; equal items are one, by the least id.
+    twice = bench.union(bench.selectExpr("item_id + 500", "text"))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, twice, block_items=3, pass_items=9).collect()} <= got | want
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, twice, block_items=3).collect()}
+    assert found == got
+
+
+@pytest.mark.parametrize("replaced", [0.1, 0.2, 0.3])
+def test_decontamination_recall_against_brute_force(spark, replaced):
+    """Items of sf0.01 written into its documents with words replaced: candidates by cosine against all passages with all items."""
+    rng = random.Random(17)
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text and 50 < len(r.text.split()) < 2000]
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items = [(r.item_id, r.text.split()) for r in bench.collect() if len(r.text.split()) >= 8]
+    words = [w for t in docs[:200] for w in t.split()]
+    rows = []
+    for n in range(160):
+        item, text = rng.choice(items)[1], docs[n % len(docs)].split()
+        at = rng.randrange(len(text))
+        rows.append((n, " ".join(text[:at] + [rng.choice(words) if rng.random() < replaced else w for w in item] + text[at:])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = lambda low: {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, bench, cos_min=low).collect()}
+    want, got = pairs(-1.0), pairs(decontaminate.COS_MIN)
+    print(f"replaced {replaced}: {len(got & want)} of {len(want)} pairs of the brute force, planted 160")
+    assert len(want) >= 100 and got <= want and len(got) >= 0.9 * len(want)
 
 
 def test_pipeline_keeps_columns_and_empty_tables(spark, texts, tmp_path):
