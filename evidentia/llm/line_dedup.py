@@ -3,8 +3,9 @@
 Each line is reduced to a 128-bit hash of its key (trimmed, A-Z lowered). The hashes are range-partitioned together with a
 slice of the document id, so that a line of very many documents is cut over several tasks, and inside a partition sorted
 by document and position. A streaming window then marks the first occurrence in each document, newest document first;
-sums per hash give the document count and the one document that keeps the line. The verdicts come back as sparse bitmaps:
-for each document only those 64-line words that lose a line. Texts are touched again only to apply a bitmap.
+sums per hash give the document count and the one document that keeps the line. The verdicts go back to the occurrences by hash
+and slice, and are returned as sparse bitmaps: for each document only those 64-line words that lose a line. Texts are touched again
+only to apply a bitmap.
 
 Null or empty text is one empty line. Rows repeated under one id are one document and get the same bitmap; rows with a
 null id neither count nor lose lines. Lines shorter than min_chars code points are never dropped.
@@ -33,19 +34,27 @@ def line_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(id, n_dropped, keep): keep is an array of (word, bits) for the 64-line words that lose a line; absent words keep all."""
     occ = materialize(line_keys(docs, id_col, text_col, min_chars), "lines")
-    ranged = occ.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES))).repartitionByRange("h1", "h2", "slice")
+    slice_of = F.pmod(F.xxhash64("id"), F.lit(SLICES))
+    ranged = occ.withColumn("slice", slice_of).repartitionByRange("h1", "h2", "slice")
     stream = Window.partitionBy("h1", "h2", "slice").orderBy(F.col("id").desc(), "pos")
     first = ranged.withColumn("first", F.lag("id").over(stream).isNull() | (F.lag("id").over(stream) != F.col("id")))
     common = first.filter("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("holder")).filter(F.col("n_docs") >= min_docs)
     common = materialize(common, "common-lines")
-    likely = in_bitmap(occ, F.col("h1"), bitmap_of(common, F.col("h1")), "hit").filter("hit")
-    drops = likely.join(common, ["h1", "h2"]).filter(F.col("id") != F.col("holder")).select("id", "pos").distinct()
+    likely = in_bitmap(occ, F.col("h1"), bitmap_of(common, F.col("h1")), "hit").filter("hit").withColumn("slice", slice_of)
+    # The verdict on a line goes to each slice of it, so that a very common line is met in SLICES tasks.
+    verdict = common.select("h1", "h2", "holder", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SLICES - 1).cast("bigint"))).alias("slice"))
+    drops = likely.join(verdict, ["h1", "h2", "slice"]).filter(F.col("id") != F.col("holder")).select("id", "pos").distinct()
     words = drops.groupBy("id", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("gone"), F.count(F.lit(1)).alias("n"))
     return words.groupBy("id").agg(F.sum("n").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", F.bitwise_not("gone").alias("bits")))).alias("keep")).withColumnRenamed("id", id_col)
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with text_col rebuilt from its kept lines, and n_dropped; untouched texts are not shuffled."""
+    """The rows of docs with text_col rebuilt from its kept lines, and n_dropped; untouched texts are not shuffled.
+
+    Raises ValueError if docs has a column n_dropped of its own.
+    """
+    if "n_dropped" in docs.columns:
+        raise ValueError("docs has a column n_dropped; rename it")
     bitmaps = materialize(bitmaps, "keep-bitmaps").withColumnRenamed("n_dropped", "__ev_n").withColumnRenamed("keep", "__ev_keep").withColumnRenamed(id_col, "__ev_bid")
     flagged = in_bitmap(docs, F.col(id_col), bitmap_of(bitmaps, F.col("__ev_bid")), "__ev_hit")
     # Bitmaps grow with the corpus, so they are never broadcast, whatever their size here.
