@@ -49,9 +49,14 @@ def check_rules(rules: list[Rule]) -> list[str]:
     return wrong
 
 
-def _gate(norm: Column, doc_type: Column, r: Rule) -> Column:
+def _gate(norm: Column, doc_type: Column, r: Rule, among: bool = False) -> Column:
     ok = F.lit(True)
-    if r.doc_types:
+    if r.doc_types and among:
+        own = F.lit(False)
+        for t in r.doc_types:
+            own = own | doc_type.contains(f" {t} ")
+        ok = ok & own
+    elif r.doc_types:
         ok = ok & doc_type.isin(*r.doc_types)
     for words, wanted in ((r.require_any, True), (r.forbid_any, False)):
         if words:
@@ -80,6 +85,8 @@ def _matches(text: Column, r: Rule) -> Column:
     def of(name, body):
         found = F.slice(F.regexp_extract_all(body, F.lit(r.regex), F.lit(r.group)), 1, r.max_matches)
         values = F.filter(F.transform(found, fr_number), lambda v: v.isNotNull()) if number else F.filter(found, lambda v: v != "")
+        if r.constant is not None:  # the text that stands for any match
+            values = F.transform(values, lambda _: F.lit(r.constant))
         if r.selection == "first":
             values = F.slice(values, 1, 1)
         elif r.selection in ("min", "max"):
@@ -92,10 +99,10 @@ def _matches(text: Column, r: Rule) -> Column:
     return of(F.lit(""), text)
 
 
-def facts(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", type_col: str | None = None) -> DataFrame:
+def facts(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", type_col: str | None = None, among: bool = False) -> DataFrame:
     """(doc_id, seq, rule, field, section, value_num, value_text, confidence) of all rules in one pass over the texts.
 
-    A null text gives no facts. Repeated rows give their facts once each. Raises ValueError on faulty rules.
+    A null text gives no facts. Repeated rows give their facts once each. Raises ValueError on faulty rules. With among the type column names several types, each between spaces.
     """
     wrong = check_rules(rules)
     if wrong:
@@ -103,7 +110,7 @@ def facts(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
     doc_type = F.col(type_col) if type_col else F.lit("")
     d = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), fold(F.col(text_col)).alias("_n"), doc_type.alias("_d"))
     nothing = F.array().cast(FACT)
-    found = F.array(*[F.when(_gate(F.col("_n"), F.col("_d"), r), _matches(F.col("_t"), r).cast(FACT)).otherwise(nothing) for r in rules])
+    found = F.array(*[F.when(_gate(F.col("_n"), F.col("_d"), r, among), _matches(F.col("_t"), r).cast(FACT)).otherwise(nothing) for r in rules])
     return d.select("doc_id", F.posexplode(F.flatten(found)).alias("seq", "_f")).select("doc_id", "seq", "_f.*")
 
 

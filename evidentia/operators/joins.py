@@ -14,19 +14,32 @@ def last_before(points: DataFrame, marks: DataFrame, by: list[str], order: list[
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("_side = 1").drop("_side")
 
 
-def global_fallback(rows: DataFrame, buildings: DataFrame, everywhere: str) -> DataFrame:
-    """Rows of their own building, and rows of the building named everywhere once for each building, flagged is_global: a union of two equi-joins."""
+def global_fallback(rows: DataFrame, buildings: DataFrame, everywhere: str, by: list[str] | None = None, scoped: Column | None = None, most: int = 10_000) -> DataFrame:
+    """Rows of their own building, and rows of the building named everywhere once for each building of their operation, flagged is_global.
+
+    by names the columns of an operation that rows and buildings share. Buildings are folded to one array for each operation (up to `most`, else it raises), so that
+    rows are joined by operation and fanned out where they are; without by there is one array, read as a scalar. Rows for which scoped holds
+    stay out where the operation has several buildings.
+    """
     own = rows.filter(F.col("building") != everywhere).withColumn("is_global", F.lit(False))
-    shared = rows.filter(F.col("building") == everywhere).drop("building").withColumn("_k", F.lit(1)).join(buildings.select("building").withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return own.unionByName(shared.withColumn("is_global", F.lit(True)))
+    shared = rows.filter(F.col("building") == everywhere).drop("building")
+    few = F.when(F.size("_all") <= most, F.col("_all")).otherwise(F.raise_error(F.lit(f"more than {most} buildings in one operation")))
+    names = buildings.filter(F.col("building") != everywhere).groupBy(*(by or [])).agg(F.collect_set("building").alias("_all")).withColumn("_all", few)
+    fan = shared.join(names, by) if by else shared.withColumn("_all", names.scalar())
+    if scoped is not None:
+        fan = fan.filter(~(scoped & (F.size("_all") > 1)))
+    fan = fan.withColumn("building", F.explode("_all")).drop("_all").withColumn("is_global", F.lit(True))
+    return own.unionByName(fan)
 
 
 def nearest_within(left: DataFrame, right: DataFrame, key: str, a: str, b: str, tolerance: float, tie: str) -> DataFrame:
-    """left with the nearest right row of its key within the tolerance; cells of the tolerance's width keep the join an equi-join."""
+    """left with the nearest right row of its key within the tolerance; cells of the tolerance's width keep the join an equi-join. Equal left rows are matched once and given back as often."""
     cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
     r = right.withColumn("_cell", F.explode(F.array(cell(b) - 1, cell(b), cell(b) + 1))).withColumnRenamed(key, "_key")
-    j = left.withColumn("_c", cell(a)).join(r, (F.col(key) == F.col("_key")) & (F.col("_c") == F.col("_cell")) & (F.abs(F.col(a) - F.col(b)) <= tolerance))
-    return j.groupBy(*left.columns).agg(F.min_by(F.struct(tie, b), F.struct(F.abs(F.col(a) - F.col(b)).alias("d"), F.col(tie).alias("t"))).alias("near")).select(*left.columns, "near.*")
+    once = left.groupBy(*left.columns).agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    j = once.withColumn("_c", cell(a)).join(r, (F.col(key) == F.col("_key")) & (F.col("_c") == F.col("_cell")) & (F.abs(F.col(a) - F.col(b)) <= tolerance))
+    best = j.groupBy(*left.columns, "_times").agg(F.min_by(F.struct(tie, b), F.struct(F.abs(F.col(a) - F.col(b)).alias("d"), F.col(tie).alias("t"))).alias("near"))
+    return best.select(*left.columns, "near.*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_i")).drop("_i")
 
 
 def _without(c: Column, most: Column) -> Column:

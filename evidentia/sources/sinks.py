@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
+
 
 def report(df: DataFrame, path: str) -> None:
-    """Text files with semicolons, every field quoted, quotes doubled, a header in each file."""
-    df.write.mode("overwrite").option("sep", ";").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """Text files with semicolons, every field quoted, quotes doubled, a byte order mark and a header in each file."""
+    first, *rest = df.columns
+    named = df.select(F.col(first).alias("\ufeff" + first), *rest)
+    named.write.mode("overwrite").option("sep", ";").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def session_lines(df: DataFrame, key: str, path: str) -> None:
@@ -23,7 +27,7 @@ def results(df: DataFrame, path: str, by: str) -> None:
 
 
 def append_new(df: DataFrame, path: str, key: str, day: str) -> int:
-    """Append the rows whose key is not at path yet, in folders by day; returns how many. Only the days of df are read there."""
+    """Append the rows whose key is not at path yet, whatever its day, in folders by day; returns how many. Of what is there only the keys are read; of repeated keys in df one row enters."""
     spark = df.sparkSession
     rows = df.dropDuplicates([key])
     try:
@@ -33,9 +37,26 @@ def append_new(df: DataFrame, path: str, key: str, day: str) -> int:
             raise
         old = None
     if old is not None:
-        rows = rows.join(old.select(F.col(key).alias("_key"), F.col(day).alias("_day")), (F.col(key) == F.col("_key")) & (F.col(day) == F.col("_day")), "left_anti")
-    rows = rows.persist()
+        rows = rows.join(old.select(F.col(key).alias("_key")), F.col(key) == F.col("_key"), "left_anti")
+    rows = written(rows, "append")
     n = rows.count()
     rows.write.mode("append").partitionBy(day).parquet(path)
-    rows.unpersist()
     return n
+
+
+def journal_export(events: DataFrame, path: str, by: str, order: list[str]) -> None:
+    """The events as lines of JSON in folders by a column of few values, ordered within each file of a range of the order columns: files in order of name are in order of time."""
+    rows = events.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    rows.write.mode("overwrite").option("compression", "gzip").partitionBy(by).json(path)
+
+
+def learning_pull(events: DataFrame, kinds: tuple[str, ...], kind: str, order: list[str]) -> DataFrame:
+    """The events of some kinds in order, sorted by ranges: nothing is gathered in one row."""
+    return events.filter(F.col(kind).isin(*kinds)).orderBy(*order)
+
+
+def workbook(sheets: dict[str, DataFrame], path: str, most: int = 1_000_000) -> dict[str, int]:
+    """Each sheet as Parquet in a folder of its own, up to so many rows as a sheet takes (the limit of the format); returns the rows of each."""
+    for name, df in sheets.items():
+        df.limit(most).write.mode("overwrite").parquet(f"{path}/{name}")
+    return {name: df.sparkSession.read.parquet(f"{path}/{name}").count() for name, df in sheets.items()}

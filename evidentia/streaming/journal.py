@@ -20,6 +20,28 @@ def append_once(events: DataFrame, id_col: str = "event_id", late: str = "1 day"
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([id_col])
 
 
+def append_for_good(stream: DataFrame, path: str, id_col: str = "event_id", buckets: int = 64) -> None:
+    """Every event once for ever: a batch adds to the table at path those whose id is not there. Ids are looked up only in their own buckets, and only as a column.
+
+    A batch that is sent again finds its own rows there and adds nothing, so a restart changes nothing.
+    """
+
+    def add(batch: DataFrame, n: int) -> None:
+        rows = batch.dropDuplicates([id_col]).withColumn("bucket", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int"))
+        old = _table(batch.sparkSession, path)
+        if old is not None:
+            rows = rows.join(old.select(F.col(id_col).alias("_id"), F.col("bucket").alias("_b")), (F.col("bucket") == F.col("_b")) & (F.col(id_col) == F.col("_id")), "left_anti")
+        rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/rows")
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows at path, None where nothing was written yet."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    return spark.read.parquet(f"{path}/rows") if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+
+
 def window_counts(events: DataFrame, by: list[str], length: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """(start, by, n) of tumbling or sliding windows, each sent once when no late event can change it."""
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
@@ -40,24 +62,65 @@ def drain(stream: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def merge_registry(stream: DataFrame, path: str, key: str, order: list[str]) -> None:
-    """Keep the newest row of each key in a table of versions at path: each batch is merged with the last version and written as the next.
+def merge_registry(stream: DataFrame, path: str, key: str, order: list[str], buckets: int = 64) -> None:
+    """Keep the newest row of each key at path, in buckets by key: a batch is merged with the last version of the buckets it touches, and writes only these as version n.
 
-    A batch that is sent again writes its version again with the same rows, so a restart changes nothing.
+    A batch that is sent again merges the same older versions and writes its own again, so a restart changes nothing. Versions that two newer ones cover are deleted.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        rows = batch if n == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v{n - 1}"))
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        old = _versions(spark, path, n)
+        if old is not None:
+            touched = rows.select("bucket").distinct()
+            rows = rows.unionByName(_latest(old, n).drop("version").join(F.broadcast(touched), "bucket", "left_semi"))  # as many rows as buckets
         kept = F.struct(*[c for c in batch.columns if c != key])
-        rows.groupBy(key).agg(F.max_by(kept, F.struct(*order)).alias("_w")).select(key, "_w.*").write.mode("overwrite").parquet(f"{path}/v{n}")
+        new = rows.groupBy("bucket", key).agg(F.max_by(kept, F.struct(*order)).alias("_w")).select(key, "_w.*", "bucket")
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/version={n}")
+        _forget(spark, path, n)
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
 
-    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start()
-    q.awaitTermination()
+
+def _versions(spark: SparkSession, path: str, below: int) -> DataFrame | None:
+    found = _table(spark, path)
+    found = found.filter(F.col("version") < below) if found is not None else None
+    return found
+
+
+def _latest(rows: DataFrame, below: int) -> DataFrame:
+    """Rows of the last version of each bucket; the versions are told by the folders, one row for each."""
+    last = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(last), ["bucket", "version"])  # as many rows as buckets
+
+
+def _forget(spark: SparkSession, path: str, n: int) -> None:
+    """Delete bucket folders of versions before the last two of the bucket."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    held: dict[str, list[int]] = {}
+    for v in fs.listStatus(top):
+        name = v.getPath().getName()
+        if name.startswith("version="):
+            for b in fs.listStatus(v.getPath()):
+                if b.getPath().getName().startswith("bucket="):
+                    held.setdefault(b.getPath().getName(), []).append(int(name[8:]))
+    for bucket, versions in held.items():
+        for v in sorted(versions)[:-2]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows/version={v}/{bucket}"), True)
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
-    """The last version of a registry."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
-    return spark.read.parquet(f"{path}/v{max(int(n[1:]) for n in found if n[0] == 'v')}")
+    """The newest row of each key."""
+    return _latest(_table(spark, path), 1 << 30).drop("bucket", "version")
+
+
+def progress(events: DataFrame, by: list[str], late: str = "1 hour") -> DataFrame:
+    """(by, n, total): counts and sums that are updated while events still come (update mode); with the watermark no key's state is dropped, keys are few."""
+    return events.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def unchanged(files: DataFrame, seen: DataFrame, key: str, stamp: list[str]) -> DataFrame:
+    """Files (key, stamp columns) that differ from what was seen last, or are new: what an incremental run has to read."""
+    return files.join(seen.select(key, *stamp).distinct(), [key, *stamp], "left_anti")

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+import evidentia.plans.facts
 import evidentia.plans.queries
 import evidentia.plans.records
 import evidentia.plans.texts  # noqa: F401
