@@ -117,12 +117,12 @@ def rewrite(text: Column, rules: list[tuple[str, str, str | None]]) -> Column:
 
 
 # Patterns of the packs: (field, pattern on plain lines, kind). Group 1 is the value. Labels are those printed by the programs that write the reports.
-_V = f"[^0-9\\n]{{0,40}}?{NUMBER}"
+_V = f"[^0-9\\n]{{0,40}}?(?<![A-Za-z]){NUMBER}"
 _ROW2 = f"[^0-9\\n]{{0,20}}?{NUMBER} {NUMBER}".replace("[0-9 ]*", "[0-9]*")
 _TWO = "[^0-9\\n]{0,20}?(?:-?[0-9]+(?:[.,][0-9]+)?) (-?[0-9]+(?:[.,][0-9]+)?)"
 _ONE = "[^0-9\\n]{0,20}?(-?[0-9]+(?:[.,][0-9]+)?) (?:-?[0-9]+(?:[.,][0-9]+)?)"
 _THREE = "[^0-9\\n]{0,20}?(?:-?[0-9]+(?:[.,][0-9]+)? ){2}(-?[0-9]+(?:[.,][0-9]+)?)"
-_KG = "[^0-9\\n]{0,25}?(?:kg ?(?:eq\\.? ?)?co2 ?(?:e|eq)? ?/ ?m(?:2|²))?[^0-9\\n]{0,12}?" + NUMBER
+_KG = "[^0-9\\n]{0,25}?(?:kg ?(?:eq\\.? ?)?co2 ?(?:e|eq)? ?/ ?m(?:2|²))?[^0-9\\n]{0,12}?(?<![A-Za-z])" + NUMBER
 
 SIGNATURES: dict[str, Signature] = {
     "booklet": Signature(all=("livret d'operation", "de contrat")), "dpe_recap": Signature(all=("lgt", "etiquette"), any=("init", "reno")), "biosourced": Signature(any=("label batiment biosource",)),
@@ -298,7 +298,8 @@ def verify_proposals(proposals: DataFrame, pages: DataFrame, allowed: dict[str,
     number = kinds[F.col("field")] == "number"
     why = F.when(kinds[F.col("field")].isNull(), "field").when(F.col("_t").isNull(), "page").when(F.coalesce(F.char_length(q), F.lit(0)) < 4, "short quote").when(F.char_length(q) > 400, "long quote").when(~loose(F.col("_t")).contains(loose(q)), "not on the page")
     why = why.when(number & n.isNull(), "no number").when(number & ~F.coalesce(inside, F.lit(False)), "value not in the quote").when(~number & (F.coalesce(F.trim("value"), F.lit("")) == ""), "empty").when(~number & ~loose(q).contains(loose(F.col("value"))), "value not in the quote")
-    return j.drop("_t").withColumn("reason", why).withColumn("value_num", F.when(why.isNull() & number, n)).withColumn("confidence", F.when(why.isNull(), cap))
+    j = j.withColumn("reason", why).drop("_t")
+    return j.withColumn("value_num", F.when(F.col("reason").isNull() & number, n)).withColumn("confidence", F.when(F.col("reason").isNull(), cap))
 
 
 # Sources of energy by pattern, in the order in which they are tried.

@@ -46,6 +46,11 @@ def _at(rows: Column, index: Column, key: str = "Index") -> Column:
     return F.get(F.filter(rows, lambda r: r[key] == index), F.lit(0))
 
 
+def _each(rows: Column, name: str) -> Column:
+    """One field of every element of an array of structs."""
+    return F.transform(rows, lambda r: r[name])
+
+
 def _sum(values: Column) -> Column:
     """The sum of what is there; null for nothing."""
     v = F.array_compact(F.coalesce(values, F.array().cast("array<double>")))
@@ -56,7 +61,7 @@ def buildings(parsed: DataFrame) -> DataFrame:
     """(id, index, name, general columns and values of every building of a study); one row for each building of any part of it."""
     p, s, e = "x.RSET.Entree_Projet.Batiment_Collection.Batiment", "x.RSET.Sortie_Projet", "x.RSEnv"
     many = lambda path: F.coalesce(F.col(path), F.array())
-    ids = F.array_distinct(F.array_compact(F.concat(*[F.transform(many(path), lambda b, k=k: b[k]) for path, k in ((p, "Index"), (f"{s}.Sortie_Batiment_C_Collection.Sortie_Batiment_C", "Index"), (f"{e}.sortie_projet.batiment", "index"), ("x.Datas_Comp.batiment_collection.batiment", "Index"))])))
+    ids = F.array_distinct(F.array_compact(F.concat(*[_each(many(path), k) for path, k in ((p, "Index"), (f"{s}.Sortie_Batiment_C_Collection.Sortie_Batiment_C", "Index"), (f"{e}.sortie_projet.batiment", "index"), ("x.Datas_Comp.batiment_collection.batiment", "Index"))])))
     d = parsed.filter("x is not null").withColumn("_ids", ids).withColumn("index", F.explode("_ids"))
     i = F.col("index")
     d = d.withColumn("ein", _at(F.col(p), i)).withColumn("b", _at(F.col(f"{s}.Sortie_Batiment_B_Collection.Sortie_Batiment_B"), i)).withColumn("c", _at(F.col(f"{s}.Sortie_Batiment_C_Collection.Sortie_Batiment_C"), i))
@@ -89,8 +94,8 @@ def buildings(parsed: DataFrame) -> DataFrame:
         F.round(_sum(F.array(*[cef(v, "_fr") * PRIMARY[v] for v in VECTORS])), 2).alias("cep_cooling"), vector("_ch").alias("heating_vector_after"), vector("_ecs").alias("ecs_vector_after"),
         worst(lambda h: h["dh"] >= 0)["dh"].alias("dh"), worst(lambda h: h["dh"] >= 0)["most"].alias("dh_max"), worst(lambda h: F.array_contains(through(1), h["zone"]))["dh"].alias("dh_zt"), worst(lambda h: F.array_contains(through(0), h["zone"]))["dh"].alias("dh_znt"),
         *[F.col(f"{perf}.{tag}").alias(f) for tag, f in (("ic_construction", "ic_construction"), ("ic_construction_max", "ic_construction_max"), ("ic_energie", "ic_energy"), ("ic_energie_max", "ic_energy_max"), ("ic_composant", "ic_components"), ("ic_chantier", "ic_site"), ("stock_c_batiment", "stock_c_per_m2"))],
-        *[F.get(F.filter(lots, lambda t, n=n: t["_ref"] == n), F.lit(0))["ic"].alias(f"ic_lot_{n}") for n in range(1, 14)],
-        *[F.round(_sum(F.get(F.filter(energy, lambda t, n=n: t["_ref"] == n), F.lit(0))["indicateur_co2_dynamique"]["valeur_phase_acv"]), 3).alias(f) for n, f in CONTRIBUTORS.items()],
+        *[_at(lots, F.lit(n), "_ref")["ic"].alias(f"ic_lot_{n}") for n in range(1, 14)],
+        *[F.round(_sum(_at(energy, F.lit(n), "_ref")["indicateur_co2_dynamique"]["valeur_phase_acv"]), 3).alias(f) for n, f in CONTRIBUTORS.items()],
     )
 
 
