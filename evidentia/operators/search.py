@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import number_with_unit, numbers_in
+from ..functions.numbers import as_double, mask_rules, number_with_unit, numbers_in
 from ..functions.text import fold
 
 
@@ -38,7 +38,8 @@ def any_term(norm: Column, terms: tuple[str, ...]) -> Column:
 
 @dataclass(frozen=True)
 class Criterion:
-    """What to look for: a line with a keyword and no excluded term, with a context term within window lines; of a number, one in the range."""
+    """What to look for: a line with a keyword (or a weak one, which alone speaks against) and no excluded term, none within a line of it from exclude_near, with a context term
+    within window lines (or in the sentence). A term of contrary_near there speaks against; all_of have to be there; of a number, one in the range."""
 
     id: str
     theme: str
@@ -47,50 +48,209 @@ class Criterion:
     context: tuple[str, ...] = ()
     negative: tuple[str, ...] = ()
     window: int = 0
-    kind: str = "presence"  # presence or number
+    kind: str = "presence"  # presence, number, text, stats or field
     low: float = float("-inf")
     high: float = float("inf")
     unit: str | None = None
     required: bool = False
     inferred: bool = False  # a read document without the term means that it is absent
+    weak: tuple[str, ...] = ()
+    exclude_near: tuple[str, ...] = ()
+    contrary_near: tuple[str, ...] = ()
+    all_of: tuple[str, ...] = ()
+    sentence: bool = False
+    inverse: bool = False  # what is found speaks against
+    field: str | None = None
+
+
+def normalized(rows: list[dict]) -> list[Criterion]:
+    """Criteria of a stored grid: unknown keys are left out, texts become lists at ; and line ends, numbers are read, empty ones are open; later ids replace earlier ones."""
+    known = Criterion.__dataclass_fields__
+    lists = {k for k, f in known.items() if str(f.type).startswith("tuple")}
+    out: dict[str, Criterion] = {}
+    for row in rows:
+        made = {}
+        for k, v in row.items():
+            if k not in known or v is None:
+                continue
+            if k in lists:
+                v = tuple(x.strip() for x in (re.split(r"[;\n]", v) if isinstance(v, str) else v) if x and x.strip())
+            elif k in ("low", "high"):
+                v = float(str(v).replace(",", ".")) if str(v).strip() else {"low": float("-inf"), "high": float("inf")}[k]
+            made[k] = v
+        if made.get("id"):
+            out[made["id"]] = Criterion(**{"theme": "", "keywords": (), **made})
+    return list(out.values())
+
+
+#: What a line says: nothing, against, for.
+NOTHING, AGAINST, FOR = 0, 1, 2
 
 
 def _marker(c: Criterion):
-    """Of a line: its number from 1 where the criterion holds, -1 where it is denied, else 0."""
+    """Of a line: (what it says, its number in the range or else its first one)."""
 
     def hit(t, i):
-        ok = any_term(t, c.keywords) & ~any_term(t, c.exclude)
-        if c.context:
+        lines = F.col("_l")
+        strong = any_term(t, c.keywords)
+        weak = any_term(t, c.weak) & ~strong
+        ok = (strong | weak) & ~any_term(t, c.exclude)
+        before, after = F.get(lines, i - 1), F.get(lines, i + 1)
+        if c.exclude_near:
+            ok = ok & ~F.coalesce(any_term(before, c.exclude_near), F.lit(False)) & ~F.coalesce(any_term(after, c.exclude_near), F.lit(False))
+        if c.sentence:
+            led = F.coalesce(before.rlike(":\\s*$"), F.lit(False))
+            open_ = ~t.rlike("[.:;]\\s*$") & after.isNotNull() & ~F.coalesce(after.rlike("^\\s*(?:[0-9]+[.-])+[0-9]*\\s|^\\s*[0-9]+(?:\\.[0-9]+)+\\b"), F.lit(False))
+            near = F.filter(F.when(led, F.array(before, t)).when(open_, F.array(t, after)).otherwise(F.array(t)), lambda x: (x == t) | ~any_term(x, c.exclude))
+        else:
             start = F.greatest(i - c.window, F.lit(0))
-            ok = ok & F.exists(F.slice(F.col("_l"), start + 1, i + c.window + 1 - start), lambda near: any_term(near, c.context))
-        no = ok & any_term(t, c.negative)
-        if c.kind == "number":
+            near = F.slice(lines, start + 1, i + c.window + 1 - start)
+        against = weak
+        if c.contrary_near:
+            contrary = F.exists(near, lambda x: any_term(x, c.contrary_near))
+            against = against | contrary
+        if c.context:
+            there = F.exists(near, lambda x: any_term(x, c.context))
+            ok = ok & (there | contrary if c.contrary_near else there)
+        for term in c.all_of:
+            against = against | ~_near_has(near, term)
+        denied = any_term(t, c.negative) if c.negative else F.lit(False)
+        value = F.lit(None).cast("double")
+        if c.kind in ("number", "stats"):
+            captured = [p[3:] for p in c.keywords if p.startswith("re:") and re.compile(p[3:]).groups]
             found = number_with_unit(t, c.unit) if c.unit else numbers_in(t)
-            ok = ok & F.exists(found, lambda v: v.between(c.low, c.high))
-        return F.when(no, F.lit(-1)).when(ok, i + 1).otherwise(0)
+            for p in captured:
+                own = F.array_compact(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), as_double))
+                found = F.when(F.size(own) > 0, own).otherwise(found)
+            if c.kind == "number":  # a label without a digit goes with the number on the next line
+                follow = number_with_unit(after, c.unit) if c.unit else numbers_in(after)
+                found = F.when((F.size(found) == 0) & ~t.rlike("[0-9]") & after.isNotNull(), follow).otherwise(found)
+            inside = F.filter(found, lambda v: v.between(c.low, c.high))
+            value = F.coalesce(F.get(inside, F.lit(0)), F.get(found, F.lit(0)) if c.kind == "number" else F.lit(None).cast("double"))
+            ok = ok & value.isNotNull()
+            against = against | (F.size(inside) == 0)
+        return F.struct(F.when(ok & ~denied, F.when(against, AGAINST).otherwise(FOR)).otherwise(NOTHING).alias("says"), value.alias("value"), denied.alias("denied"))
 
     return hit
 
 
-def grid(docs: DataFrame, criteria: list[Criterion], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, criterion, theme, required, status, first_line, n_lines) for every document and criterion.
+def _near_has(near: Column, term: str) -> Column:
+    return F.exists(near, lambda x: any_term(x, (term,)))
 
-    status: PRESENT; ABSENT_EXPLICIT where a line has the keyword with a negative term; for presence with nothing found
-    ABSENT_INFERRED if the criterion allows it and there is text, else UNDETERMINED; for numbers NOT_GIVEN. Null texts are never
-    read, so nothing is inferred from them.
+
+def grid(docs: DataFrame, criteria: list[Criterion], id_col: str = "doc_id", text_col: str = "text", evidences: int = 5, values: int = 2000) -> DataFrame:
+    """(doc_id, criterion, theme, required, status, first_line, n_lines, contrary, values, lines) for every document and criterion.
+
+    status: PRESENT; ABSENT_EXPLICIT where a line has a negative term; for kinds other than presence NOT_GIVEN; ABSENT_INFERRED if the criterion allows it, there is text and nothing
+    speaks against; else UNDETERMINED. An inverse criterion is never present: what it finds is contrary. Null texts are never read, so nothing is inferred from them. values are
+    the numbers found (of stats those in the range, up to `values`), lines the first `evidences` lines. Criteria of kind field are left to field_criteria.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).isNotNull().alias("_read"), F.split(fold(F.coalesce(F.col(text_col), F.lit(""))), "\n").alias("_l"))
     out = []
     for c in criteria:
+        if c.kind == "field":
+            continue
         marks = F.transform("_l", _marker(c))
-        yes = F.filter(marks, lambda m: m > 0)
-        nothing = F.when(F.lit(c.kind == "number"), "NOT_GIVEN").when(F.lit(c.inferred) & F.col("_read"), "ABSENT_INFERRED").otherwise("UNDETERMINED")
-        status = F.when(F.size(yes) > 0, "PRESENT").when(F.array_contains(marks, -1), "ABSENT_EXPLICIT").otherwise(nothing)
-        out.append(F.struct(F.lit(c.id).alias("criterion"), F.lit(c.theme).alias("theme"), F.lit(c.required).alias("required"), status.alias("status"), (F.get(yes, F.lit(0)) - 1).alias("first_line"), F.size(yes).alias("n_lines")))
+        at = F.filter(F.transform(marks, lambda m, i: F.struct(i.alias("i"), m["says"].alias("says"), m["value"].alias("value"))), lambda m: m["says"] > NOTHING)
+        yes = F.filter(at, lambda m: m["says"] == FOR)
+        seen = (F.size(yes) > 0) if not c.inverse else F.lit(False)
+        contrary = (F.size(at) > 0) & ((F.size(yes) == 0) if not c.inverse else F.lit(True))
+        nothing = F.when(F.lit(c.kind != "presence"), "NOT_GIVEN").when(F.lit(c.inferred and not c.inverse) & F.col("_read") & ~contrary, "ABSENT_INFERRED").otherwise("UNDETERMINED")
+        denied = F.exists(marks, lambda m: m["denied"]) & F.lit(not c.inverse)
+        status = F.when(seen, "PRESENT").when(denied, "ABSENT_EXPLICIT").otherwise(nothing)
+        numbers = F.slice(F.array_compact(F.transform(yes if c.kind == "stats" else at, lambda m: m["value"])), 1, values)
+        shown = F.slice(F.transform(at, lambda m: F.get("_l", m["i"])), 1, evidences)
+        out.append(F.struct(F.lit(c.id).alias("criterion"), F.lit(c.theme).alias("theme"), F.lit(c.required).alias("required"), status.alias("status"), F.get(yes, F.lit(0))["i"].alias("first_line"), F.size(yes).alias("n_lines"), contrary.alias("contrary"), numbers.alias("values"), shown.alias("lines")))
     return d.select("doc_id", F.inline(F.array(*out)))
 
 
-def themes(found: DataFrame, least: int = 1) -> DataFrame:
-    """(doc_id, theme, n_found, ok): all required criteria and at least so many of any are present."""
+def field_criteria(finals: DataFrame, criteria: list[Criterion], by: str = "operation") -> DataFrame:
+    """(by, criterion, theme, required, status, contrary, values): criteria of kind field on the values finally kept (by, building, field, value_num): present where one lies in the range, contrary where none does; not given without any."""
+    out = []
+    for c in criteria:
+        if c.kind == "field":
+            v = F.when(F.col("field") == c.field, F.col("value_num"))
+            inside = v.between(c.low, c.high)
+            out.append(F.struct(F.lit(c.id).alias("criterion"), F.lit(c.theme).alias("theme"), F.lit(c.required).alias("required"), v.alias("v"), inside.alias("inside")))
+    f = finals.select(by, F.inline(F.array(*out))).groupBy(by, "criterion", "theme", "required").agg(F.count("v").alias("n"), F.count_if("inside").alias("k"), F.min("v").alias("v_min"), F.max("v").alias("v_max"))
+    status = F.when(F.col("k") > 0, "PRESENT").otherwise("NOT_GIVEN")
+    return f.select(by, "criterion", "theme", "required", status.alias("status"), ((F.col("n") > 0) & (F.col("k") == 0)).alias("contrary"), "n", "v_min", "v_max")
+
+
+def themes(found: DataFrame, least: int = 1, applicable_if: dict[str, str] | None = None, by: str = "doc_id") -> DataFrame:
+    """(by, theme, n_found, ok): all required criteria and at least so many of any are present; ok is null where the theme's gate (applicable_if: theme to criterion) is not."""
     here = F.col("status") == "PRESENT"
-    return found.groupBy("doc_id", "theme").agg(F.count_if(here).alias("n_found"), (F.bool_and(~F.col("required") | here) & (F.count_if(here) >= least)).alias("ok"))
+    per = found.groupBy(by, "theme").agg(F.count_if(here).alias("n_found"), (F.bool_and(~F.col("required") | here) & (F.count_if(here) >= least)).alias("ok"))
+    if not applicable_if:
+        return per
+    gates = found.filter(F.col("criterion").isin(*applicable_if.values()) & here).select(by, F.col("criterion").alias("_gate")).distinct()
+    gate = F.create_map(*[x for k, v in applicable_if.items() for x in (F.lit(k), F.lit(v))])[F.col("theme")]
+    j = per.withColumn("_gate", gate).join(gates.withColumn("_open", F.lit(True)), [by, "_gate"], "left")
+    return j.select(by, "theme", "n_found", F.when(F.col("_gate").isNull() | F.col("_open"), F.col("ok")).alias("ok"))
+
+
+def cell(kind: str, manual: Column, status: Column, contrary: Column, values: Column, text: Column, inverse: bool = False) -> Column:
+    """What a criterion's cell shows: the decision by hand, else what speaks against, else an absence that may be told, else the numbers, the text, or Oui."""
+    numbers = F.array_join(F.transform(F.array_distinct(values), lambda v: F.regexp_replace(F.format_string("%.6f", v), "\\.?0+$", "")), " ; ")
+    against = F.lit("Indice contraire") if inverse else F.lit("Non conforme") if kind == "presence" else F.concat(F.lit("Hors seuil ("), numbers, F.lit(")"))
+    shown = numbers if kind in ("number", "stats", "field") else text if kind == "text" else F.lit("Oui")
+    return F.coalesce(F.nullif(manual, F.lit("")), F.when(contrary, against).when(status == "ABSENT_EXPLICIT", "Absent (écrit)").when(status == "ABSENT_INFERRED", "Absent (déduit)").when(status == "PRESENT", shown).otherwise(""))
+
+
+# Words that widen a query, by the word of the query that calls for them.
+SYNONYMS = {
+    "toiture": ("toiture", "plancher haut", "combles"), "facade": ("facade", "mur", "paroi verticale"), "chaudiere": ("chaudiere", "chauffage"), "isolation": ("isolation", "isolant", "thermique"), "cep": ("cep", "coefficient cep", "consommations annuelles par poste"),
+    "surface": ("shab", "sref", "surface habitable", "surface de reference", "surface utile", "surt", "srt", "surface du batiment"), "ic energie": ("ic energie", "energie ce"), "ic composants": ("ic composants", "iccomposant"),
+}
+# What the context of a query on these must have, and where its value stands.
+INTENTS = {
+    "surface": ("\\b(?:shab|sref|surt|srt|surface)\\b", "\\bshab\\b|\\bs ?ref\\b|\\bsurt\\b|\\bsrt\\b|surface (?:habitable|utile|reglementaire|thermique|(?:de )?reference|(?:totale )?du batiment)", "(?:\\bshab\\b|\\bs ?ref\\b|\\bsurt\\b|\\bsrt\\b|surface (?:habitable|utile|reglementaire|thermique|(?:de )?reference|(?:totale )?du batiment))[^0-9|]{0,35}([-+]?[0-9]+(?: [0-9]{3})*(?:[,.][0-9]+)?)", 20.0, 250000.0),
+    "cep": ("\\bcep\\b|cep ?,? ?nr", "\\bcep\\b|consommations? annuelles? par poste", "(?:^|\\| ?)(?:coefficient )?cep\\b[^0-9|]{0,35}([-+]?[0-9]+(?:[,.][0-9]+)?)", -100.0, 5000.0),
+    "ic": ("\\bic (?:energie|composants?)\\b", "\\bic (?:energie|composants?)\\b|energie \\( ?ce ?\\)", "\\bic (?:energie|composants?) ?(?:=|:)? ?([-+]?[0-9]+(?:[,.][0-9]+)?)", 0.0, 100000.0),
+}
+
+
+def free_search(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text", around: int = 4, most: int = 150) -> DataFrame:
+    """(doc_id, idx, value, score, confidence, excerpt) of the best lines for a query in plain words, the first of equal values of a document, up to `most`.
+
+    A line counts by its context of `around` lines on both sides: the best share of the words of the query or of one of its synonyms that stand there, at least a half. A probable number adds .08 and
+    all words of the query .06 (headings lose .18 in rank); the confidence .46 + .46 share + these has to reach .90. A query on surfaces, Cep or Ic only takes contexts that name them and a value there.
+    Each line is reduced to a bitmap of the query's words, so contexts are bits of neighbours: no shuffle before the best are drawn.
+    """
+    q = " ".join(_plain(query).split())
+    variants = [q, *[v for key, words in SYNONYMS.items() if key in q or (key == "surface" and re.search(INTENTS["surface"][0], q)) for v in words]]
+    split = lambda v: [w for w in re.split(r"[^a-z0-9]+", v) if len(w) > 1 or w == "ic"]
+    parts = [p for p in dict.fromkeys(tuple(split(v)) for v in variants) if p]
+    words = sorted({w for p in parts for w in p})
+    if not words or len(words) > 62:
+        raise ValueError("a query needs between one and 62 words")
+    intent = next((k for k, (asked, *_) in INTENTS.items() if re.search(asked, q)), None)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.split(fold(F.coalesce(F.col(text_col), F.lit(""))), "\n").alias("_l"))
+    d = d.withColumn("_m", F.transform("_l", lambda t: _bits(t, words)))
+    span = lambda col, i: F.slice(F.col(col), F.greatest(i - around, F.lit(0)) + 1, i + around + 1 - F.greatest(i - around, F.lit(0)))
+    d = d.withColumn("_c", F.transform("_m", lambda _, i: F.aggregate(span("_m", i), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))))
+    share = lambda mask, p: F.bit_count(mask.bitwiseAND(F.lit(sum(1 << words.index(w) for w in set(p))))) / float(len(set(p)))
+    best = F.transform("_c", lambda m: F.array_max(F.array(*[share(m, p) for p in parts])))
+    rows = d.withColumn("_b", best).select("doc_id", F.inline(F.filter(F.transform("_b", lambda b, i: F.struct(i.alias("idx"), b.alias("share"), F.get("_c", i).alias("mask"), F.get("_l", i).alias("line"), F.array_join(span("_l", i), " | ").alias("context"))), lambda x: x["share"] >= 0.5)))
+    heading = F.col("line").rlike("^(?:chapitre|section|partie) [0-9]+\\b|^[0-9]+(?:\\.[0-9]+)+\\.?\\s+|logiciel et version|version\\s*:")
+    line, context = mask_rules(F.col("line")), mask_rules(F.col("context"))
+    last = lambda c: F.try_element_at(numbers_in(c), F.lit(-1))
+    number = F.coalesce(last(line), last(context))
+    if intent:
+        _, named, where, low, high = INTENTS[intent]
+        rows = rows.filter(F.col("context").rlike(named))
+        told = as_double(F.nullif(F.regexp_extract(context, where, 1), F.lit("")))
+        number = F.when(told.between(low, high), told)
+    rows = rows.withColumn("value", F.when(~heading, number)).withColumn("heading", heading)
+    if intent:
+        rows = rows.filter("value is not null")
+    bonus = F.when(F.col("value").isNotNull(), 0.08).otherwise(0.0) + F.when(share(F.col("mask"), parts[0]) >= 0.99, 0.06).otherwise(0.0)
+    rows = rows.withColumn("score", F.col("share") + bonus - F.when(F.col("heading"), 0.18).otherwise(0.0)).withColumn("confidence", F.least(F.lit(0.98), 0.46 + 0.46 * F.col("share") + bonus)).filter(F.col("confidence") >= 0.90 - 1e-9)
+    first = F.struct((-F.round("score", 9)).alias("a"), (-F.round("confidence", 9)).alias("b"), F.col("idx"))
+    kept = rows.groupBy("doc_id", "value").agg(F.min_by(F.struct("idx", "score", "confidence", F.substring("context", 1, 420).alias("excerpt")), first).alias("w")).select("doc_id", "w.idx", "value", "w.score", "w.confidence", "w.excerpt")
+    return kept.orderBy(F.round("score", 9).desc(), F.round("confidence", 9).desc(), "doc_id", "idx").limit(most)
+
+
+def _bits(t: Column, words: list[str]) -> Column:
+    """Which words stand in a line, as bits."""
+    return sum((F.when(t.rlike(f"(?:^|[^a-z0-9]){w}(?:[^a-z0-9]|$)"), F.lit(1 << k)).otherwise(F.lit(0)) for k, w in enumerate(words)), F.lit(0).cast("long"))

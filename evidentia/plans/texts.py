@@ -119,3 +119,55 @@ def text_quality(spark, sf_dir):
 @register("page_links", """SELECT page_id, generate_subscripts(a, 1) - 1 AS idx, unnest(a) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS a FROM pages)""")
 def page_links(spark, sf_dir):
     return formats.html_links(table(spark, sf_dir, "pages"), "page_id", "html").withColumn("idx", F.col("idx").cast("bigint"))
+
+
+_ASKED = ["thation", "ouest"]
+_IN = lambda w: f"regexp_matches(n, '(?:^|[^a-z0-9]){w}(?:[^a-z0-9]|$)')"
+
+
+@register("free_search_scored", rf"""WITH {_LINES}, m AS (SELECT doc_id, i, t, {' , '.join(f"CASE WHEN regexp_matches(t, '(?:^|[^a-z0-9]){w}(?:[^a-z0-9]|$)') THEN 1 ELSE 0 END AS w{k}" for k, w in enumerate(_ASKED))} FROM l),
+c AS (SELECT doc_id, i, t, {', '.join(f'max(w{k}) OVER o AS c{k}' for k in range(len(_ASKED)))}, string_agg(t, ' | ') OVER o AS x FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+s AS (SELECT *, (c0 + c1) / 2.0::DOUBLE AS share FROM c WHERE c0 + c1 >= 1),
+masked AS (SELECT *, regexp_replace(t, '\br[et] ?20[0-9]{{2}}\b|\bv[0-9]+(?:\.[0-9]+)+\b', 'x', 'g') AS mt, regexp_replace(x, '\br[et] ?20[0-9]{{2}}\b|\bv[0-9]+(?:\.[0-9]+)+\b', 'x', 'g') AS mx FROM s),
+v AS (SELECT *, regexp_matches(t, '^(?:chapitre|section|partie) [0-9]+\b|^[0-9]+(?:\.[0-9]+)+\.?\s+|logiciel et version|version\s*:') AS heading,
+  coalesce(list_filter(regexp_extract_all(mt, '{numbers._CHUNK}'), lambda z: regexp_matches(z, '{numbers._PLAIN}'))[-1], list_filter(regexp_extract_all(mx, '{numbers._CHUNK}'), lambda z: regexp_matches(z, '{numbers._PLAIN}'))[-1]) AS raw FROM masked),
+r AS (SELECT doc_id, i, CASE WHEN NOT heading THEN try_cast(translate(raw, ',{numbers._SPACES}', '.') AS DOUBLE) END AS value, share, heading FROM v),
+b AS (SELECT *, CASE WHEN value IS NOT NULL THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN share >= 0.99 THEN 0.06::DOUBLE ELSE 0 END AS bonus FROM r),
+k AS (SELECT doc_id, i, value, share + bonus - CASE WHEN heading THEN 0.18::DOUBLE ELSE 0 END AS score, least(0.98::DOUBLE, 0.46::DOUBLE + 0.46::DOUBLE * share + bonus) AS confidence FROM b)
+SELECT doc_id, CAST(i AS INTEGER) AS idx, value, round(score, 6) AS score, round(confidence, 6) AS confidence FROM k WHERE confidence >= 0.9::DOUBLE - 1e-9 QUALIFY row_number() OVER (PARTITION BY doc_id, value ORDER BY round(score, 9) DESC, round(confidence, 9) DESC, i) = 1
+ORDER BY round(score, 9) DESC, round(confidence, 9) DESC, doc_id, i LIMIT 150""")
+def free_search_scored(spark, sf_dir):
+    found = search.free_search(table(spark, sf_dir, "documents"), " ".join(_ASKED))
+    return found.select("doc_id", "idx", "value", F.round("score", 6).alias("score"), F.round("confidence", 6).alias("confidence"))
+
+
+def _security(spark, sf_dir):
+    """Short descriptions, one of six kinds."""
+    k = F.col("o_orderkey") % 6
+    n = F.format_string("%.0f", (F.col("o_custkey") % 40).cast("double"))
+    texts = ["Porte A2P BP1\nfin", "Porte A2P seule", "Porte d'escalier A2P BP1\nsans condamnation", "Hauteur de clôture :\n2 m", "Sans porte A2P", "Barrière Heras\nclôture de 2 m"]
+    text = F.element_at(F.array(*map(F.lit, texts)), (k + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", text, F.concat(F.lit("Éclairement du hall : "), n, F.lit(" lux"))).alias("text"))
+
+
+SECURITY = [
+    search.Criterion("door", "doors", ("porte",), weak=("a2p",), all_of=("a2p", "bp1"), contrary_near=("sans condamnation",), negative=("sans porte",), window=1, required=True),
+    search.Criterion("fence", "outside", ("cloture",), exclude_near=("heras",), kind="number", low=1.8, unit="m"),
+    search.Criterion("light", "inside", ("re:hall : ([0-9]+) lux",), kind="stats", low=10),
+    search.Criterion("temporary", "outside", ("heras",), inverse=True),
+]
+
+
+@register("search_grid_policies", """WITH o AS (SELECT o_orderkey AS d, o_orderkey % 6 AS k, o_custkey % 40 AS n FROM orders)
+SELECT d AS doc_id, 'door' AS criterion, CASE WHEN k = 0 THEN 'PRESENT' WHEN k = 4 THEN 'ABSENT_EXPLICIT' ELSE 'UNDETERMINED' END AS status, k IN (1, 2) AS contrary, 0 AS n_values FROM o
+UNION ALL SELECT d, 'fence', CASE WHEN k = 3 THEN 'PRESENT' ELSE 'NOT_GIVEN' END, false, CASE WHEN k = 3 THEN 1 ELSE 0 END FROM o
+UNION ALL SELECT d, 'light', CASE WHEN n >= 10 THEN 'PRESENT' ELSE 'NOT_GIVEN' END, false, CASE WHEN n >= 10 THEN 1 ELSE 0 END FROM o
+UNION ALL SELECT d, 'temporary', 'UNDETERMINED', k = 5, 0 FROM o""")
+def search_grid_policies(spark, sf_dir):
+    return search.grid(_security(spark, sf_dir), SECURITY).select("doc_id", "criterion", "status", "contrary", F.size("values").alias("n_values"))
+
+
+@register("search_themes_gated", """WITH o AS (SELECT o_orderkey AS d, o_orderkey % 6 AS k, o_custkey % 40 AS n FROM orders)
+SELECT d AS doc_id, 'doors' AS theme, CASE WHEN k = 0 THEN 1 ELSE 0 END AS n_found, k = 0 AS ok FROM o UNION ALL SELECT d, 'outside', CASE WHEN k = 3 THEN 1 ELSE 0 END, CASE WHEN n >= 10 THEN k = 3 END FROM o UNION ALL SELECT d, 'inside', CASE WHEN n >= 10 THEN 1 ELSE 0 END, n >= 10 FROM o""")
+def search_themes_gated(spark, sf_dir):
+    return search.themes(search.grid(_security(spark, sf_dir), SECURITY), applicable_if={"outside": "light"})
