@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..catalog import register, table
 from ..functions.text import fold, share, tokens, value_key
-from ..operators import fusion, joins, routing, stats
+from ..operators import checks, fusion, joins, routing, stats
 from ..sources.lines import lines, sentence_block, with_context
 
 FIELDS = ["click", "error", "purchase", "signup", "view"]
@@ -187,8 +187,7 @@ def tag_first_evidence(spark, sf_dir):
     return lines(table(spark, sf_dir, "documents")).select("doc_id", "idx", F.explode(marks).alias("label")).groupBy("doc_id", "label").agg(F.min("idx").alias("idx"))
 
 
-@register("anchor_tolerance_join", """WITH s AS (SELECT l_orderkey, sum(l_extendedprice) AS v, max(l_extendedprice) AS m FROM lineitem GROUP BY 1)
-SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND abs(l.l_extendedprice - o.o_totalprice) <= 0.011 * greatest(1, abs(o.o_totalprice)))""")
+@register("anchor_tolerance_join", """SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND abs(l.l_extendedprice - o.o_totalprice) <= 0.011 * greatest(1, abs(o.o_totalprice)))""")
 def anchor_tolerance_join(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     near = F.abs(F.col("l_extendedprice") - F.col("o_totalprice")) <= 0.011 * F.greatest(F.lit(1.0), F.abs("o_totalprice"))
@@ -294,10 +293,9 @@ def cost_pivot_pct(spark, sf_dir):
     return p.select("p_brand", F.round("t", 2).alias("total"), *[F.round(100 * F.col(k) / F.col("t"), 1).alias(f"pct_{k.lower()}") for k in "ANR"])
 
 
-@register("range_violations", "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 45 THEN 'quantity' ELSE 'discount' END AS field FROM lineitem WHERE l_quantity > 45 OR l_discount > 0.09")
+@register("range_violations", """SELECT l_orderkey, l_linenumber, 'l_quantity' AS field, l_quantity AS value FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', l_discount FROM lineitem WHERE l_discount > 0.09""")
 def range_violations(spark, sf_dir):
-    bad = F.when(F.col("l_quantity") > 45, "quantity").when(F.col("l_discount") > 0.09, "discount")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", bad.alias("field")).filter("field is not null")
+    return checks.out_of_range(table(spark, sf_dir, "lineitem"), {"l_quantity": (0, 45), "l_discount": (0, 0.09)}, ["l_orderkey", "l_linenumber"])
 
 
 @register("missing_required", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")

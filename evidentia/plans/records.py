@@ -10,10 +10,10 @@ from ..sources.store import work_path
 from ..streaming import journal
 
 
-@register("alias_follow", """WITH RECURSIVE a AS (SELECT s_suppkey AS n, s_suppkey // 2 AS t FROM supplier WHERE s_acctbal >= 1000), f AS (SELECT n, t, 1 AS h FROM a UNION ALL SELECT f.n, a.t, h + 1 FROM f JOIN a ON f.t = a.n WHERE h < 16)
+@register("alias_follow", """WITH RECURSIVE a AS (SELECT s_suppkey AS n, s_suppkey // 2 AS t FROM supplier WHERE s_suppkey > 1), f AS (SELECT n, t, 1 AS h FROM a UNION ALL SELECT f.n, a.t, h + 1 FROM f JOIN a ON f.t = a.n WHERE h < 16)
 SELECT n AS name, t AS target FROM f QUALIFY row_number() OVER (PARTITION BY n ORDER BY h DESC) = 1""")
 def alias_follow(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").filter("s_acctbal >= 1000").select(F.lit("op").alias("op"), F.col("s_suppkey").alias("name"), F.floor(F.col("s_suppkey") / 2).cast("bigint").alias("target"))
+    s = table(spark, sf_dir, "supplier").filter("s_suppkey > 1").select(F.lit("op").alias("op"), F.col("s_suppkey").alias("name"), F.floor(F.col("s_suppkey") / 2).cast("bigint").alias("target"))
     return entities.follow(s, "op").select("name", "target")
 
 
@@ -45,13 +45,13 @@ def name_match(spark, sf_dir):
     return entities.match_names(c.select(op, spelled.alias("name")), c.select(op, F.col("c_name").alias("target")), "op").select("name", "target", "rule")
 
 
-@register("perimeter_fan_out", """WITH r AS (SELECT c_nationkey AS building, c_mktsegment AS field, round(sum(c_acctbal), 2) AS value FROM customer WHERE c_acctbal > 9000 GROUP BY 1, 2), t AS (SELECT n_nationkey AS building FROM nation WHERE n_regionkey < 3),
+@register("perimeter_fan_out", """WITH r AS (SELECT c_nationkey AS building, c_mktsegment AS field, round(sum(c_acctbal), 2) AS value FROM customer GROUP BY 1, 2), t AS (SELECT n_nationkey AS building FROM nation WHERE n_regionkey < 3),
 o AS (SELECT * FROM r WHERE building IN (FROM t)), x AS (SELECT * FROM r WHERE building NOT IN (FROM t))
 SELECT building, field, value, 'own' AS fate FROM o UNION ALL SELECT building, field, value, 'review' FROM x WHERE field <> 'BUILDING'
 UNION ALL SELECT t.building, field, value, 'shared' FROM x, t WHERE field = 'BUILDING' AND NOT EXISTS (SELECT 1 FROM o WHERE o.building = t.building AND o.field = x.field)""")
 def perimeter_fan_out(spark, sf_dir):
     op = F.lit("op").alias("op")
-    r = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").groupBy(op, F.col("c_nationkey").alias("building"), F.col("c_mktsegment").alias("field")).agg(F.round(F.sum("c_acctbal"), 2).alias("value"))
+    r = table(spark, sf_dir, "customer").groupBy(op, F.col("c_nationkey").alias("building"), F.col("c_mktsegment").alias("field")).agg(F.round(F.sum("c_acctbal"), 2).alias("value"))
     t = table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(op, F.col("n_nationkey").alias("building"))
     return entities.perimeter(r, t, "op", F.col("field") == "BUILDING").select("building", "field", "value", "fate")
 

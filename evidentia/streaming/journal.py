@@ -20,7 +20,7 @@ def append_once(events: DataFrame, id_col: str = "event_id", late: str = "1 day"
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([id_col])
 
 
-def append_for_good(stream: DataFrame, path: str, id_col: str = "event_id", buckets: int = 64) -> None:
+def append_for_good(stream: DataFrame, path: str, id_col: str = "event_id", buckets: int = 64, offsets: str = "offsets") -> None:
     """Every event once for ever: a batch adds to the table at path those whose id is not there. Ids are looked up only in their own buckets, and only as a column.
 
     A batch that is sent again finds its own rows there and adds nothing, so a restart changes nothing.
@@ -33,7 +33,7 @@ def append_for_good(stream: DataFrame, path: str, id_col: str = "event_id", buck
             rows = rows.join(old.select(F.col(id_col).alias("_id"), F.col("bucket").alias("_b")), (F.col("bucket") == F.col("_b")) & (F.col(id_col) == F.col("_id")), "left_anti")
         rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/rows")
 
-    stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/{offsets}").trigger(availableNow=True).start().awaitTermination()
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame | None:
@@ -121,6 +121,22 @@ def progress(events: DataFrame, by: list[str], late: str = "1 hour") -> DataFram
     return events.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+def keep_last(stream: DataFrame, path: str, keys: list[str]) -> None:
+    """The last row told of each key by a stream in update mode, as a registry at path: later batches replace earlier rows."""
+
+    def merge(batch: DataFrame, n: int) -> None:
+        rows = batch.withColumn("bucket", F.lit(0)).withColumn("_n", F.lit(n))
+        old = _versions(batch.sparkSession, path, n)
+        if old is not None:
+            rows = rows.unionByName(_latest(old, n).drop("version").withColumn("_n", F.lit(-1)))
+        kept = F.struct(*[c for c in batch.columns if c not in keys])
+        new = rows.groupBy("bucket", *keys).agg(F.max_by(kept, "_n").alias("_w")).select(*keys, "_w.*", "bucket")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows/version={n}")
+        _forget(batch.sparkSession, path, n)
+
+    stream.writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
+
+
 def unchanged(files: DataFrame, seen: DataFrame, key: str, stamp: list[str]) -> DataFrame:
     """Files (key, stamp columns) that differ from what was seen last, or are new: what an incremental run has to read."""
     return files.join(seen.select(key, *stamp).distinct(), [key, *stamp], "left_anti")
