@@ -2,9 +2,9 @@
 
 Rows are compared on their texts without white space. Three keys of growing cost narrow the field: the length of the
 compared text, then a hash of its first characters, then a digest of all of it. A row alone under a key is settled there;
-only rows that share it go on. What goes from step to step is a bitmap of fixed size over the shared keys, so no text is
+only rows that share it go on. What goes from step to step is a bitmap over the shared keys, so no text is
 ever shuffled: the digest is taken where the text is read, and narrow rows are grouped. A bitmap's false positives cost a
-needless digest and never change a result.
+needless digest and never change a result; where there are too many shared keys for one (some four million), all rows get a digest.
 
 Null text counts as empty, and empty texts are equal. Of equal texts the longest original stays, then the smallest id.
 Rows repeated under one id share its verdict; a null id sorts before all others. A group of any size is summed up on the map side, and its
@@ -34,9 +34,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("_id", text.alias("_text")).withColumn("_norm", squeeze_out(F.col("_text")))
 
     keys = materialize(rows.select(F.octet_length("_norm").alias("len"), F.xxhash64(_prefix(F.col("_text"), F.col("_norm"))).alias("head")), "exact-keys")
-    by_len = keys.groupBy("len").count().filter("count > 1")
+    by_len = materialize(keys.groupBy("len").count().filter("count > 1"), "exact-lengths")
     lens = bitmap_of(by_len, F.col("len"))
-    by_head = in_bitmap(keys, F.col("len"), lens, "hit").filter("hit").groupBy("len", "head").count().filter("count > 1")
+    by_head = materialize(in_bitmap(keys, F.col("len"), lens, "hit").filter("hit").groupBy("len", "head").count().filter("count > 1"), "exact-heads")
     heads = bitmap_of(by_head, F.struct("len", "head"))
 
     full = rows.select("_id", "_norm", F.char_length("_text").alias("_chars"), F.octet_length("_norm").alias("len"), F.xxhash64(_prefix(F.col("_text"), F.col("_norm"))).alias("head"))
