@@ -31,26 +31,31 @@ def place_similarity(a: Column, b: Column, page: Column, ratio: Column) -> Colum
 
 
 def profiles(signals: DataFrame, by: list[str], floor: float = 0.52) -> DataFrame:
-    """(by, profile, anchor, confirmed, rejected): signals (by, seq, words, positive) in order of seq join the most similar profile or found one.
+    """(by, profile, anchor, confirmed, rejected): signals (by, seq, words, positive) in order of seq join the most similar profile founded so far (the earliest of equals), or found one below floor.
 
-    The result depends on the order, so a group is walked in one task; groups are the signals of one field and document type, entered
-    by hand. Similarity is the Jaccard share of words with the words of the founding signal.
+    Similarity is the Jaccard share of words with the words of the founding signal; signals without words (null or empty) are one profile. Only a set of words that is
+    new can found a profile, so a group's distinct sets are walked in order of their first signal, and all signals are then compared with the founders there were at their time:
+    what meets in one task is the vocabulary of a field, however many signals it has.
     """
-    schema = ", ".join(f"{k} {signals.schema[k].dataType.simpleString()}" for k in by) + ", profile int, anchor string, confirmed long, rejected long"
+    kinds = ", ".join(f"{k} {signals.schema[k].dataType.simpleString()}" for k in by)
+    seq = signals.schema["seq"].dataType.simpleString()
+    s = signals.withColumn("_w", F.array_sort(F.array_distinct(F.coalesce("words", F.array().cast("array<string>")))))
+    sets = s.groupBy(*by, "_w").agg(F.min("seq").alias("seq"))
 
     def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for words, positive in frame.sort_values("seq")[["words", "positive"]].itertuples(index=False):
-            w = set(words) if words is not None else set()
-            near = [(len(w & p[0]) / max(len(w | p[0]), 1), -i) for i, p in enumerate(found)]
-            score, i = max(near, default=(0.0, 0))
-            if score < floor:
-                found.append([w, 0, 0])
-                i = 1 - len(found)
-            found[-i][1 if positive else 2] += 1
-        return pd.DataFrame([[*key, i, " ".join(sorted(p[0])), p[1], p[2]] for i, p in enumerate(found)], columns=[*by, "profile", "anchor", "confirmed", "rejected"])
-
-    return signals.groupBy(*by).applyInPandas(walk, schema)
+        found: list[tuple] = []
+        for words, at in frame.sort_values("seq")[["_w", "seq"]].itertuples(index=False):
+            w = set(words)
+            if all((len(w & f) / len(w | f) if w | f else 1.0) < floor for f, _ in found):
+                found.append((w, at))
+        return pd.DataFrame([[*key, i, sorted(w), at] for i, (w, at) in enumerate(found)], columns=[*by, "profile", "_f", "_at"])
+
+    founders = sets.groupBy(*by).applyInPandas(walk, f"{kinds}, profile int, _f array<string>, _at {seq}")
+    known = founders.groupBy(*by).agg(F.collect_list(F.struct("profile", "_f", "_at")).alias("_all"))
+    share = lambda f: F.coalesce(F.try_divide(F.size(F.array_intersect("_w", f["_f"])), F.size(F.array_union("_w", f["_f"]))), F.lit(1.0))
+    near = F.array_max(F.transform(F.filter("_all", lambda f: f["_at"] <= F.col("seq")), lambda f: F.struct(share(f).alias("s"), (-f["profile"]).alias("p"))))
+    counted = s.join(known, by).withColumn("profile", -near["p"]).groupBy(*by, "profile").agg(F.count_if("positive").alias("confirmed"), F.count_if(~F.col("positive")).alias("rejected"))
+    return counted.join(founders, [*by, "profile"]).select(*by, "profile", F.array_join("_f", " ").alias("anchor"), "confirmed", "rejected")
 
 
 def learned_pick(candidates: DataFrame, finals: DataFrame, gap: float = 0.1) -> DataFrame:

@@ -15,15 +15,15 @@ def _t(*parts):
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-@register("building_names", """WITH v AS (SELECT c_custkey AS k, c_custkey % 6 AS v FROM customer)
-SELECT k, CASE v WHEN 0 THEN 'Bâtiment A' || k WHEN 1 THEN 'Bâtiment ' || k || ' EST' WHEN 2 THEN 'Bâtiment RUE' WHEN 3 THEN 'Bâtiment unique' WHEN 4 THEN 'Bâtiment ' || k || '.5' ELSE 'Bâtiment ' || k || ' ET ' || (k + 1) END AS canonical,
+@register("building_names", """WITH v AS (SELECT c_custkey, c_custkey % 900 AS k, c_custkey % 6 AS v FROM customer)
+SELECT c_custkey, CASE v WHEN 0 THEN 'Bâtiment A' || k WHEN 1 THEN 'Bâtiment ' || k || ' EST' WHEN 2 THEN 'Bâtiment RUE' WHEN 3 THEN 'Bâtiment unique' WHEN 4 THEN 'Bâtiment ' || k || '.5' ELSE 'Bâtiment ' || k || ' ET ' || (k + 1) END AS canonical,
   CASE v WHEN 0 THEN 'a' || k WHEN 1 THEN k || ' est' WHEN 2 THEN 'rue' WHEN 3 THEN 'unique' WHEN 4 THEN k || ' 5' ELSE k || ' et ' || (k + 1) END AS key, CASE WHEN v = 1 THEN CAST(k AS VARCHAR) ELSE '' END AS qualified, v = 4 AS ghost, v = 5 OR v = 4 AS listed FROM v""")
 def building_names(spark, sf_dir):
-    k = F.col("c_custkey")
-    name = F.when(k % 6 == 0, _t("bât. a", k, " (2 zones)")).when(k % 6 == 1, _t("Bâtiment : ", k, " Est")).when(k % 6 == 2, "Immeuble rue").when(k % 6 == 3, "unique").when(k % 6 == 4, _t("Bâtiment ", k, ".5")).otherwise(_t("Bâtiment ", k, " et ", k + 1))
-    c = table(spark, sf_dir, "customer").select(k.alias("k"), name.alias("n")).filter("k < 10000")
+    v, k = F.col("c_custkey") % 6, F.col("c_custkey") % 900
+    name = F.when(v == 0, _t("bât. a", k, " (2 zones)")).when(v == 1, _t("Bâtiment : ", k, " Est")).when(v == 2, "Immeuble rue").when(v == 3, "unique").when(v == 4, _t("Bâtiment ", k, ".5")).otherwise(_t("Bâtiment ", k, " et ", k + 1))
+    c = table(spark, sf_dir, "customer").select("c_custkey", name.alias("n"))
     n = F.col("n")
-    return c.select("k", names.canonical(n).alias("canonical"), names.key(n).alias("key"), names.qualified_core(n).alias("qualified"), names.is_ghost(names.canonical(n)).alias("ghost"), names.is_list(n).alias("listed"))
+    return c.select("c_custkey", names.canonical(n).alias("canonical"), names.key(n).alias("key"), names.qualified_core(n).alias("qualified"), names.is_ghost(names.canonical(n)).alias("ghost"), names.is_list(n).alias("listed"))
 
 
 CATALOG = [("cep", "Cep projet"), ("cep_max", "Cep max projet"), ("shab", "Surface habitable totale"), ("owner", "Nom du maître d'ouvrage"), ("contract_number", "Numéro du contrat"), ("internal_code", "Code interne"), ("stage", "Phase")]

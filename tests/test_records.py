@@ -156,3 +156,21 @@ def test_profiles(spark):
     rows = [("f", 1, ["a", "b"], True), ("f", 2, ["a", "b", "c"], True), ("f", 3, ["z"], False), ("f", 4, None, True)]
     got = sorted((r.profile, r.confirmed, r.rejected) for r in learning.profiles(spark.createDataFrame(rows, "field string, seq int, words array<string>, positive boolean"), ["field"]).collect())
     assert got == [(0, 2, 0), (1, 0, 1), (2, 1, 0)]
+
+
+def test_profiles_agree_with_the_walk_over_all_signals(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("fg"), i, rng.sample("abcdefgh", rng.randint(0, 4)), rng.random() < 0.6) for i in range(400)]
+    want = {}
+    for field in "fg":
+        found = []
+        for _, _, words, positive in (r for r in rows if r[0] == field):
+            w = set(words)
+            best = max([((len(w & p[0]) / len(w | p[0]) if w | p[0] else 1.0), -i) for i, p in enumerate(found)], default=(-1, 0))
+            if best[0] < 0.52:
+                found.append([w, 0, 0])
+                best = (1, 1 - len(found))
+            found[-best[1]][1 if positive else 2] += 1
+        want |= {(field, i): (" ".join(sorted(p[0])), p[1], p[2]) for i, p in enumerate(found)}
+    df = spark.createDataFrame(rows, "field string, seq int, words array<string>, positive boolean")
+    assert {(r.field, r.profile): (r.anchor, r.confirmed, r.rejected) for r in learning.profiles(df, ["field"]).collect()} == want
