@@ -120,7 +120,7 @@ def newest_readings(spark, sf_dir):
     return fusion.newest_only(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts").select("event_id")
 
 
-@register("document_vote", """WITH r AS (SELECT user_id AS building, event_type AS field, floor(value / 20) * 20 AS value, event_id % 30 AS doc, max(0.1 + (event_id % 9) / 20.0::DOUBLE) AS w FROM events GROUP BY 1, 2, 3, 4),
+@register("document_vote", """WITH r AS (SELECT user_id AS building, event_type AS field, floor(value / 20) * 20 AS value, event_id % 30 AS doc, max(0.1 + (event_id % 9) / 21.0::DOUBLE) AS w FROM events GROUP BY 1, 2, 3, 4),
 p AS (SELECT building, field, value, 1 - product(1 - least(w, 0.995)) AS p FROM r GROUP BY 1, 2, 3), b AS (SELECT building, field, arg_max(value, (p, value)) AS bv, max(p) AS bp FROM p GROUP BY 1, 2),
 f AS (SELECT user_id AS building, event_type AS field, floor(arg_min(value, event_id) / 20) * 20 AS value, user_id % 10 = 0 AS protected FROM events WHERE event_type <> 'view' GROUP BY 1, 2),
 j AS (SELECT coalesce(f.building, b.building) AS building, coalesce(f.field, b.field) AS field, f.value, f.protected, p.p AS own, bv, bp FROM f FULL JOIN b ON f.building = b.building AND f.field = b.field LEFT JOIN p ON p.building = f.building AND p.field = f.field AND p.value = f.value),
@@ -128,7 +128,7 @@ c AS (SELECT *, CASE WHEN value IS NULL AND bp >= 0.85 THEN 'filled' WHEN value
 SELECT building, field, CASE change WHEN 'kept' THEN value ELSE bv END AS value, round(CASE change WHEN 'kept' THEN own ELSE bp END, 6) AS p, change FROM c WHERE change IS NOT NULL""")
 def document_vote(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("v", F.floor(F.col("value") / 20).cast("double") * 20)
-    r = e.select(F.col("user_id").alias("building"), F.col("event_type").alias("field"), F.col("v").alias("value"), (F.col("event_id") % 30).alias("doc_id"), (F.lit(0.1) + (F.col("event_id") % 9) / F.lit(20.0)).alias("weight"))
+    r = e.select(F.col("user_id").alias("building"), F.col("event_type").alias("field"), F.col("v").alias("value"), (F.col("event_id") % 30).alias("doc_id"), (F.lit(0.1) + (F.col("event_id") % 9) / F.lit(21.0)).alias("weight"))
     f = e.filter("event_type <> 'view'").groupBy(F.col("user_id").alias("building"), F.col("event_type").alias("field")).agg(F.min_by("v", "event_id").alias("value")).withColumn("protected", F.col("building") % 10 == 0)
     return fusion.vote(f, r).withColumn("p", F.round("p", 6))
 
