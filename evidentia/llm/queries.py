@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, html_extract, langid, line_dedup, mixing, simhash, substring, warc
+from . import chat, decontaminate, exact_dedup, html_extract, importance, langid, line_dedup, mixing, simhash, substring, warc
 
 QUERIES, SQL = {}, {}
 
@@ -177,3 +177,38 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer, start: the documents that hold benchmark passages, and which."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+SQL["op11_importance_resample"] = r"""
+WITH texts AS (
+  SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+words AS (
+  SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+features AS (
+  SELECT side, doc_id, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS feature FROM words),
+counted AS (SELECT side, doc_id, feature, count(*) AS n FROM features GROUP BY ALL),
+dictionary AS (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295, [CAST(('0x' || substr(hex(encode(feature)), 2 * i - 1, 2)) AS BIGINT) FOR i IN range(1, strlen(feature) + 1)]),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM counted)),
+sums AS (SELECT b.bucket, coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN (dictionary JOIN counted USING (feature)) d ON b.bucket = d.bucket GROUP BY b.bucket),
+totals AS (SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(sum(t) AS DOUBLE) AS t_all FROM sums),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * (s_all + 10000)) / (CAST(s + 1 AS DOUBLE) * (t_all + 10000)))) AS BIGINT) AS gain FROM sums, totals),
+means AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total
+  FROM counted JOIN dictionary USING (feature) JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id),
+scored AS (
+  SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_features, 0) AS n_features,
+    CASE WHEN n_features IS NULL THEN 0 WHEN total % n_features < 0 THEN total // n_features - 1 ELSE total // n_features END AS weight,
+    (CAST('0x' || substr(sha256('7:' || w.doc_id), 1, 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE) AS u
+  FROM words w LEFT JOIN means m ON w.doc_id = m.doc_id WHERE w.side = 0),
+summed AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln(u))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM summed WHERE n_words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM summed s LEFT JOIN ranked k ON s.doc_id = k.doc_id
+"""
