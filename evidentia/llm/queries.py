@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, html_extract, importance, langid, line_dedup, mixing, simhash, substring, warc
+from . import chat, decontaminate, exact_dedup, html_extract, importance, langid, line_dedup, mixing, simhash, substring, warc, whitening
 
 QUERIES, SQL = {}, {}
 
@@ -212,3 +212,9 @@ summed AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000
 ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM summed WHERE n_words >= 20)
 SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r END AS rank FROM summed s LEFT JOIN ranked k ON s.doc_id = k.doc_id
 """
+
+
+@query
+def op12_embedding_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
