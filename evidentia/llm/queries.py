@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, html_extract, importance, langid, line_dedup, mixing, simhash, substring, warc, whitening
+from . import chat, decontaminate, exact_dedup, html_extract, importance, langid, line_dedup, mixing, quality, simhash, substring, warc, whitening
 
 QUERIES, SQL = {}, {}
 
@@ -218,3 +218,11 @@ SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= 25 * n // 100 THEN r
 def op12_embedding_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, component, n, deviation, whitened, explained, identity_error."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.fit(docs, table(spark, sf_dir, "labels").filter(~quality.held_out(F.col("doc_id"))))
+    return quality.score(docs, machine).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
