@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 from .common import materialize, small_batches
 
 BUCKETS, LONGEST, PERCENT, LEAST_WORDS, SEED = 10000, 2, 25, 20, 7
-BLOCK_CHARS, BLOCK_DOCS, SLICE_CHARS = 8 << 20, 4096, 16 << 20
+BLOCK_CHARS, BLOCK_DOCS, SLICE_CHARS = 4 << 20, 4096, 6 << 20
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -51,7 +51,7 @@ def packed(**columns) -> bytes:
 
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as out:
         out.write(table)
     return sink.getvalue().to_pybytes()
 
@@ -156,6 +156,7 @@ def _packs(slices: int, longest: int, ids: bool, corpus: int):
                     for row in block_rows(block, held):
                         yield pa.RecordBatch.from_pylist([row], schema)
                     block, held, chars = block + 1, [], 0
+                    pa.default_memory_pool().release_unused()
                 held.append((i, t))
                 chars += len(t)
         if held:
