@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,51 +36,52 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from .common import materialize, small_batches
 
 BUCKETS, LONGEST, PERCENT, LEAST_WORDS, SEED = 10000, 2, 25, 20, 7
-BLOCK_CHARS, BLOCK_DOCS, SLICE_CHARS = 4 << 20, 4096, 6 << 20
+BLOCK_CHARS, BLOCK_DOCS, SLICE_CHARS, LEAST_SLICES, COMMON, HELD = 4 << 20, 4096, 8 << 20, 32, 1000, 2_000_000
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
-def packed(**columns) -> bytes:
-    """Columns of equal length as compressed Arrow bytes."""
-    return _packed(pa.table(columns))
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=7)
 
 
-def _packed(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=7))) as out:
-        out.write(table)
-    return sink.getvalue().to_pybytes()
+def packed(*arrays: np.ndarray, text: bytes = b"") -> bytes:
+    """Unsigned numbers, each array in its narrowest type, and a text, as compressed bytes."""
+    narrow = [_narrow(a) for a in arrays]
+    head = struct.pack(f"<I{len(narrow)}IB{len(narrow)}B", len(text), *map(len, narrow), len(narrow), *[a.itemsize for a in narrow])
+    whole = text + b"".join(a.tobytes() for a in narrow)
+    return struct.pack("<BII", len(head), len(whole), len(narrow)) + head + _codec().compress(whole, asbytes=True)
 
 
-def unpacked(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
+def unpacked(data: bytes) -> tuple[list[np.ndarray], bytes]:
+    size, length, k = struct.unpack_from("<BII", data)
+    told = struct.unpack_from(f"<I{k}IB{k}B", data, 9)
+    whole, at = _codec().decompress(memoryview(data)[9 + size :], length, asbytes=True), told[0]
+    arrays = []
+    for n, width in zip(told[1 : k + 1], told[k + 2 :]):
+        arrays.append(np.frombuffer(whole, f"<u{width}", n, at))
+        at += n * width
+    return arrays, whole[: told[0]]
 
 
-def packed_features(strings: pa.Array, many: np.ndarray, docs: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted features as one text (no feature holds a line end), how many documents has each, and these documents with their counts: one row of
-    lists, which takes half the bytes of a row for each feature."""
-    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(_narrow(a)))
-    return packed(features=_joined(strings), many=one(many), docs=one(docs), counts=one(counts))
+def _joined(strings: pa.Array) -> bytes:
+    """All strings as one text, with line ends between; no feature holds one."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(strings)], pa.int64()), strings), pa.scalar("\n", pa.large_string())).cast(pa.large_binary())[0].as_py()
 
 
-def unpacked_features(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    t = unpacked(data)
-    return pc.split_pattern(t.column("features"), "\n").chunk(0).values, *(t.column(c).chunk(0).values.to_numpy().astype(np.int64) for c in ("many", "docs", "counts"))
-
-
-def _joined(strings: pa.Array) -> pa.Array:
-    """All strings as one text, with line ends between."""
-    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(strings)], pa.int64()), strings), pa.scalar("\n", pa.large_string()))
+def _split(text: bytes) -> pa.Array:
+    return pc.split_pattern(pa.array([text], pa.large_binary()).cast(pa.large_string()), "\n").values
 
 
 def _crcs(strings: pa.Array) -> np.ndarray:
     """The crc32 of each string's bytes."""
-    return np.fromiter(map(zlib.crc32, _joined(strings).cast(pa.large_binary())[0].as_py().split(b"\n")), np.uint64, len(strings)) if len(strings) else np.zeros(0, np.uint64)
+    return np.fromiter(map(zlib.crc32, _joined(strings).split(b"\n")), np.uint64, len(strings)) if len(strings) else np.zeros(0, np.uint64)
 
 
 def _narrow(a: np.ndarray) -> np.ndarray:
@@ -87,8 +89,8 @@ def _narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
 
 
-def _features(words: list[list[str]], longest: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length of run: (distinct features in order of code points, a hash of each, and by feature and document: feature, document, count)."""
+def _features(words: list[list[str]], longest: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of run: (distinct features in order of code points, a hash of each and of its first word, and by feature and document: feature, document, count)."""
     lens = np.fromiter(map(len, words), np.int64, len(words))
     doc = np.repeat(np.arange(len(words)), lens)
     coded = pa.array([w for x in words for w in x], pa.large_string()).dictionary_encode()
@@ -98,7 +100,8 @@ def _features(words: list[list[str]], longest: int) -> Iterator[tuple[pa.Array,
     place[order] = np.arange(len(order))
     run = word = place[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.int64)
     strings, hashes = vocabulary, _crcs(vocabulary)
-    word_hash, docs = hashes, max(len(words), 1)
+    word_hash = first = hashes
+    docs = max(len(words), 1)
     for n in range(1, longest + 1):
         if n > 1:
             # Longer by one word, where the document goes on: pairs of a run and a word are made distinct as numbers, then as strings.
@@ -107,6 +110,7 @@ def _features(words: list[list[str]], longest: int) -> Iterator[tuple[pa.Array,
             pair, back = np.unique(run[at] * len(vocabulary) + word[at + n - 1], return_inverse=True)
             a, b = np.divmod(pair, max(len(vocabulary), 1))
             strings = pc.binary_join_element_wise(strings.take(pa.array(a)), vocabulary.take(pa.array(b)), pa.scalar(" ", pa.large_string()))
+            first = first[a]
             hashes = (hashes[a] * np.uint64(0x9E3779B97F4A7C15)) ^ (word_hash[b] + np.uint64(n))
             run = np.zeros(len(doc), np.int64)
             run[at] = back
@@ -115,22 +119,25 @@ def _features(words: list[list[str]], longest: int) -> Iterator[tuple[pa.Array,
             here, where = run, doc
         both, count = np.unique(here * docs + where, return_counts=True)
         feature, of = np.divmod(both, docs)
-        yield strings, hashes, feature, of, count
+        yield strings, hashes, first, feature, of, count
 
 
-def _packs(slices: int, longest: int, ids: bool, corpus: int):
-    """A function from (id, text) batches to rows (slice, block, meta, counts)."""
+def _packs(slices: int, longest: int, corpus: int, id_type: pa.DataType):
+    """A function from (id, text) batches to rows (slice, block, corpus, ids, words, counts); ids and words for the corpus (0) only."""
 
     def block_rows(block: int, held: list[tuple]) -> Iterator[dict]:
         words = [WORDS.findall(t) for _, t in held]
         spread = int(np.uint64(block * 0x9E3779B97F4A7C15 % (1 << 64)) >> np.uint64(33)) % slices
-        if ids:
+        if corpus == 0:
             n = np.fromiter(map(len, words), np.int64, len(words))
-            yield {"slice": spread, "block": block, "corpus": corpus, "meta": packed(id=pa.array([i for i, _ in held]), words=n), "counts": None}
-        for strings, hashes, feature, of, count in _features(words, longest):
+            yield {"slice": spread, "block": block, "corpus": corpus, "ids": [i for i, _ in held], "words": n.tolist(), "counts": None}
+        for strings, hashes, first, feature, of, count in _features(words, longest):
             if not len(feature):
                 continue
-            mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            # Features of one first word go together, so that their texts shrink; those of a very common one are dealt by all words.
+            _, back, runs = np.unique(first, return_inverse=True, return_counts=True)
+            mixed = np.where(runs[back] * COMMON > len(first), hashes, first)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             dealt = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(slices)).astype(np.int64)
             start = np.flatnonzero(np.diff(feature, prepend=-1))
             many = np.diff(start, append=len(feature))
@@ -144,12 +151,12 @@ def _packs(slices: int, longest: int, ids: bool, corpus: int):
             for s in np.flatnonzero(np.diff(cuts)):
                 lo, hi = cuts[s], cuts[s + 1]
                 docs = slice(ends[lo], ends[hi])
-                counts = packed_features(strings.take(pa.array(order[lo:hi])), many[order[lo:hi]], of[docs], count[docs])
-                yield {"slice": int(s), "block": block, "corpus": corpus, "meta": None, "counts": counts}
+                counts = packed(many[order[lo:hi]], of[docs], count[docs], text=_joined(strings.take(pa.array(order[lo:hi]))))
+                yield {"slice": int(s), "block": block, "corpus": corpus, "ids": None, "words": None, "counts": counts}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, chars = TaskContext.get().partitionId() << 31, [], 0
-        schema = pa.schema([("slice", pa.int32()), ("block", pa.int64()), ("corpus", pa.int32()), ("meta", pa.binary()), ("counts", pa.binary())])
+        schema = pa.schema([("slice", pa.int32()), ("block", pa.int64()), ("corpus", pa.int32()), ("ids", pa.list_(id_type)), ("words", pa.list_(pa.int64())), ("counts", pa.binary())])
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), pc.ascii_lower(pc.fill_null(b.column(1), "")).to_pylist()):
                 if held and (chars + len(t) > BLOCK_CHARS or len(held) >= BLOCK_DOCS):
@@ -165,50 +172,47 @@ def _packs(slices: int, longest: int, ids: bool, corpus: int):
     return of
 
 
-PACKED = "slice int, block bigint, corpus int, meta binary, counts binary"
-
-
-def _dictionary(buckets: int):
+def _dictionary(buckets: int, id_type: pa.DataType):
     """A function from the rows of one slice to the same rows by bucket, and one row of sums by bucket for each side."""
 
     def of(rows: pa.Table) -> pa.Table:
-        meta, counts = rows.column("meta"), rows.column("counts").to_pylist()
+        ids, words, counts = (rows.column(c).to_pylist() for c in ("ids", "words", "counts"))
         side, block = np.asarray(rows.column("corpus")), np.asarray(rows.column("block"))
+        out = [{"block": int(block[k]), "ids": ids[k], "words": words[k]} for k in range(len(ids)) if ids[k] is not None]
         at = [k for k, c in enumerate(counts) if c is not None]
-        parts = [unpacked_features(counts[k]) for k in at]
-        out = [{"block": int(block[k]), "meta": m.as_py()} for k, m in enumerate(meta) if m.is_valid]
-        if parts:
-            coded = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+        if at:
+            parts = [unpacked(counts[k]) for k in at]
+            coded = pa.concat_arrays([_split(text) for _, text in parts]).dictionary_encode()
             codes = coded.indices.to_numpy()
             bucket = (_crcs(coded.dictionary) % np.uint64(buckets)).astype(np.int64)
-            sums, first = {}, 0
-            total = np.zeros((2, len(bucket)), np.int64)
-            for k, (strings, many, of_doc, n) in zip(at, parts):
-                here = np.repeat(codes[first : first + len(strings)], many)
-                first += len(strings)
-                np.add.at(total[side[k]], here, n)
+            total, first = np.zeros((2, len(bucket)), np.int64), 0
+            for k, ((many, of_doc, n), _) in zip(at, parts):
+                here = np.repeat(codes[first : first + len(many)], many)
+                first += len(many)
+                np.add.at(total[side[k]], here, n.astype(np.int64))
                 if side[k] == 0:
                     order = np.argsort(of_doc, kind="stable")
-                    out.append({"block": int(block[k]), "counts": packed(doc=_narrow(of_doc[order]), bucket=_narrow(bucket[here][order]), n=_narrow(n[order]))})
+                    out.append({"block": int(block[k]), "counts": packed(of_doc[order], bucket[here][order], n[order])})
             for s in (0, 1):
-                sums[s] = np.bincount(bucket, weights=total[s], minlength=buckets).astype(np.int64)
                 if total[s].any():
-                    out.append({"corpus": s, "sums": sums[s].tolist()})
-        schema = pa.schema([("block", pa.int64()), ("corpus", pa.int32()), ("meta", pa.binary()), ("counts", pa.binary()), ("sums", pa.list_(pa.int64()))])
+                    out.append({"corpus": s, "sums": np.bincount(bucket, weights=total[s], minlength=buckets).astype(np.int64).tolist()})
+        schema = pa.schema([("block", pa.int64()), ("corpus", pa.int32()), ("ids", pa.list_(id_type)), ("words", pa.list_(pa.int64())), ("counts", pa.binary()), ("sums", pa.list_(pa.int64()))])
         return pa.Table.from_pylist(out, schema)
 
     return of
 
 
 def feature_counts(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text", buckets: int = BUCKETS, longest: int = LONGEST, slice_chars: int = SLICE_CHARS) -> DataFrame:
-    """The written table of steps 1 and 2: rows with `counts` hold a block's (document, bucket, n) of one slice, rows with `meta` its ids and
+    """The written table of steps 1 and 2: rows with `counts` hold a block's (document, bucket, n) of one slice, rows with `ids` its ids and
     numbers of words, rows with `sums` a slice's counts by bucket of the corpus (0) or the target (1)."""
     chars = docs.agg(F.sum(F.octet_length(text_col)).alias("c")).first()["c"] or 0
-    slices = max(1, math.ceil(chars / slice_chars))
+    slices = max(LEAST_SLICES, math.ceil(chars / slice_chars))
+    kind = docs.schema[id_col].dataType
+    of_id, packs = to_arrow_type(kind), f"slice int, block bigint, corpus int, ids array<{kind.simpleString()}>, words array<bigint>, counts binary"
     sent = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    goal = target.select(F.lit(None).cast("long").alias("id"), F.col(target_text).alias("text"))
-    rows = sent.mapInArrow(_packs(slices, longest, True, 0), PACKED).unionByName(goal.mapInArrow(_packs(slices, longest, False, 1), PACKED))
-    return materialize(rows.groupBy("slice").applyInArrow(_dictionary(buckets), "block bigint, corpus int, meta binary, counts binary, sums array<bigint>"), "feature-counts")
+    goal = target.select(F.lit(None).cast(kind).alias("id"), F.col(target_text).alias("text"))
+    rows = sent.mapInArrow(_packs(slices, longest, 0, of_id), packs).unionByName(goal.mapInArrow(_packs(slices, longest, 1, of_id), packs))
+    return materialize(rows.groupBy("slice").applyInArrow(_dictionary(buckets, of_id), packs.replace("slice int, ", "") + ", sums array<bigint>"), "feature-counts")
 
 
 def gains(counted: DataFrame, buckets: int = BUCKETS) -> list[int]:
@@ -221,36 +225,49 @@ def gains(counted: DataFrame, buckets: int = BUCKETS) -> list[int]:
     return [math.floor(1000 * math.log((float(t + 1) * float(total + buckets)) / (float(n + 1) * float(goal + buckets)))) for n, t in zip(*s)]
 
 
-def weights(counted: DataFrame, gain: list[int], id_type: str = "bigint", longest: int = LONGEST) -> DataFrame:
+def weights(counted: DataFrame, gain: list[int], id_type: T.DataType, longest: int = LONGEST) -> DataFrame:
     """(id, n_words, n_features, weight) of each document: the floored mean of its features' gains."""
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = np.array(gain, np.int64)
+        g, held, size = np.array(gain, np.int64), {}, 0
+
+        def flush() -> pd.DataFrame:
+            # Gains may be negative: a block's sums are sent with their least taken off.
+            low = {b: int(t.min()) for b, t in held.items()}
+            rows = pd.DataFrame({"block": list(held), "ids": None, "words": None, "sums": [struct.pack("<q", low[b]) + packed(t - low[b]) for b, t in held.items()]})
+            held.clear()
+            return rows
+
         for b in batches:
-            sums = []
-            for c in b["counts"]:
-                if c is None:
-                    sums.append(None)
-                    continue
-                t = unpacked(c)
-                doc = t.column("doc").to_numpy()
-                start = np.flatnonzero(np.diff(doc.astype(np.int64), prepend=-1))
-                sums.append(packed(doc=doc[start], sum=np.add.reduceat(g[t.column("bucket").to_numpy()] * t.column("n").to_numpy().astype(np.int64), start)))
-            yield pd.DataFrame({"block": b["block"], "meta": b["meta"], "sums": sums})
+            meta = b["words"].notna()
+            yield b.loc[meta, ["block", "ids", "words"]].assign(sums=None)
+            for block, c in zip(b.loc[~meta, "block"], b.loc[~meta, "counts"]):
+                (doc, bucket, n), _ = unpacked(c)
+                total = np.bincount(doc, weights=g[bucket] * n.astype(np.int64)).astype(np.int64)
+                old = held.get(block, np.zeros(0, np.int64))
+                size += max(len(total) - len(old), 0)
+                held[block] = np.pad(total, (0, max(len(old) - len(total), 0))) + np.pad(old, (0, max(len(total) - len(old), 0)))
+                if size > HELD:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
     def close(block: pd.DataFrame) -> pd.DataFrame:
-        meta = unpacked(next(m for m in block["meta"] if m is not None))
-        words = meta.column("words").to_numpy()
+        row = block[block["words"].notna()].iloc[0]
+        words = np.asarray(row["words"], np.int64)
         n = sum((np.maximum(words - k, 0) for k in range(longest)), np.zeros(len(words), np.int64))
         total = np.zeros(len(words), np.int64)
         for c in block["sums"]:
             if c is not None:
-                t = unpacked(c)
-                total[t.column("doc").to_numpy()] += t.column("sum").to_numpy()
-        return pd.DataFrame({"id": meta.column("id").to_pandas(types_mapper=pd.ArrowDtype), "n_words": words, "n_features": n, "weight": np.where(n > 0, total // np.maximum(n, 1), 0)})
+                (part,), _ = unpacked(c[8:])
+                total[: len(part)] += part.astype(np.int64) + struct.unpack("<q", c[:8])[0]
+        return pd.DataFrame({"id": pd.Series(list(row["ids"]), dtype=pd.ArrowDtype(of_id)), "n_words": words, "n_features": n, "weight": np.where(n > 0, total // np.maximum(n, 1), 0)})
 
-    rows = counted.filter("sums is null").select("block", "meta", "counts").mapInPandas(add, "block bigint, meta binary, sums binary")
-    return rows.groupBy("block").applyInPandas(close, f"id {id_type}, n_words bigint, n_features bigint, weight bigint")
+    of_id = to_arrow_type(id_type)
+    kept = f"block bigint, ids array<{id_type.simpleString()}>, words array<bigint>, sums binary"
+    rows = counted.filter("sums is null").select("block", "ids", "words", "counts").mapInPandas(add, kept)
+    return rows.groupBy("block").applyInPandas(close, f"id {id_type.simpleString()}, n_words bigint, n_features bigint, weight bigint")
 
 
 def noise(id_col: Column, seed: int = SEED) -> Column:
@@ -280,6 +297,6 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
              buckets: int = BUCKETS, longest: int = LONGEST) -> DataFrame:
     """(id, n_words, n_features, weight, score, rank) of each document."""
     counted = feature_counts(docs, target, id_col, text_col, target_text, buckets, longest)
-    found = weights(counted, gains(counted, buckets), docs.schema[id_col].dataType.simpleString(), longest)
+    found = weights(counted, gains(counted, buckets), docs.schema[id_col].dataType, longest)
     scored = materialize(found.withColumn("score", F.col("weight") + noise(F.col("id"), seed)), "scores")
     return draw(scored, F.col("n_words") >= least_words, percent).withColumnRenamed("id", id_col)
