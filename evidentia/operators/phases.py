@@ -187,7 +187,8 @@ def read(docs: DataFrame, layouts: tuple[Layout, ...], id_col: str = "doc_id", t
     hits = found.withColumn("states", held).select("id", "layout", "line", "states", "block_at", F.posexplode("hits").alias("order", "h"))
     fits = F.forall("h.wanted", lambda w: F.array_contains(w["values"], F.lower(F.col("states")[w["state"]])))
     fits = fits & ((F.col("h.within") == 0) | (F.col("line") - F.col("block_at") <= F.col("h.within")))
-    hits = hits.filter(fits).withColumn("phase", F.when(F.col("h.by_phase"), F.nullif(F.col("states")["phase"], F.lit(""))))
+    told = F.exists("h.parts", lambda p: p["num"].isNotNull() | p["text"].isNotNull() | (p["state"] != ""))
+    hits = hits.filter(fits & told).withColumn("phase", F.when(F.col("h.by_phase"), F.nullif(F.col("states")["phase"], F.lit(""))))
     building = F.when(F.col("h.everywhere"), F.lit(None)).otherwise(F.coalesce(F.nullif(F.col("states")["building"], F.lit("")), F.lit(WHOLE)))
     hits = hits.withColumn("building", building)
 

@@ -10,6 +10,7 @@ import pytest
 import evidentia.plans.facts
 import evidentia.plans.queries
 import evidentia.plans.records
+import evidentia.plans.reports
 import evidentia.plans.sources
 import evidentia.plans.studies
 import evidentia.plans.texts  # noqa: F401
