@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.store import written
+
 # Confirmations and the boost they give.
 BOOSTS = ((10, 0.08), (5, 0.06), (3, 0.04), (2, 0.02))
 
@@ -30,32 +33,138 @@ def place_similarity(a: Column, b: Column, page: Column, ratio: Column) -> Colum
     return 0.72 * words + 0.12 * F.greatest(1 - F.abs(page) / 5, F.lit(0.0)) + 0.16 * F.greatest(1 - F.abs(ratio), F.lit(0.0))
 
 
+def similar_sets(left: DataFrame, right: DataFrame, by: list[str], share: float) -> DataFrame:
+    """(by, a, b, share): pairs of sets (by, a, wa) and (by, b, wb) with a Jaccard share of at least share (above 0).
+
+    Only sets that share a rare word meet: with the words of a group sorted by use, two such sets have a word in common among the first n - ceil(share n) + 1 of
+    each; sizes that can't agree are dropped, and the share of the rest is counted on the whole sets. Empty sets and nulls meet nothing.
+    """
+    a = left.select(*by, "a", F.array_distinct("wa").alias("w")).filter("size(w) > 0")
+    b = right.select(*by, "b", F.array_distinct("wb").alias("w")).filter("size(w) > 0")
+    use = a.select(*by, F.explode("w").alias("x")).unionByName(b.select(*by, F.explode("w").alias("x"))).groupBy(*by, "x").agg(F.count(F.lit(1)).alias("used"))
+
+    def first(sets: DataFrame, key: str) -> DataFrame:
+        ranked = sets.select(*by, key, F.size("w").alias("n"), F.explode("w").alias("x")).join(use, [*by, "x"]).groupBy(*by, key, "n").agg(F.array_sort(F.collect_list(F.struct("used", "x"))).alias("r"))
+        k = F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9).cast("int") + 1
+        return ranked.select(*by, F.col(key), F.col("n").alias(f"n{key}"), F.explode(F.slice("r", F.lit(1), k)).alias("p")).select(*by, key, f"n{key}", F.col("p.x").alias("x"))
+
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(share) - 1e-9
+    met = first(a, "a").join(first(b, "b"), [*by, "x"]).filter(near).select(*by, "a", "b").distinct()
+    both = met.join(a.withColumnRenamed("w", "wa"), [*by, "a"]).join(b.withColumnRenamed("w", "wb"), [*by, "b"])
+    told = F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb"))
+    return both.select(*by, "a", "b", told.alias("share")).filter(F.col("share") >= share - 1e-12)
+
+
+#: Distinct sets of a group that are compared with each other at once; later ones are first compared with the founders there are.
+BATCH_SETS = 20_000
+
+
+def _founders(sets: DataFrame, by: list[str], floor: float) -> DataFrame:
+    """(by, id, seq, w): the sets that no founder before them is similar to, for sets (by, id, seq, w) in order of (seq, id).
+
+    The earliest 1/2^k of a group's sets (by approximate quantiles) are settled first, then twice as many at a time, each time without those that a founder of
+    an earlier batch covers; so a crowd of similar sets doesn't meet itself. In a batch, a set is a founder once no open similar set stands before it.
+    """
+    count = sets.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    halvings = max(0, math.ceil(math.log2(max(count, 1) / BATCH_SETS)))
+    cuts = sets.groupBy(*by).agg(F.percentile_approx("seq", [0.5**k for k in range(halvings, 0, -1)] or [1.0]).alias("cuts"))
+    batch = F.aggregate("cuts", F.lit(0), lambda n, c: n + (F.col("seq") > c).cast("int")) if halvings else F.lit(0)
+    sets = written(sets.join(cuts, by).withColumn("batch", batch).drop("cuts"), "sets")
+    found = sets.limit(0)
+    order = lambda x: F.struct(F.col(f"seq{x}"), F.col(x))
+    for k in range(halvings + 1):
+        here = sets.filter(F.col("batch") == k)
+        if k:
+            covered = similar_sets(found.select(*by, F.col("id").alias("a"), F.col("w").alias("wa")), here.select(*by, F.col("id").alias("b"), F.col("w").alias("wb")), by, floor)
+            here = here.join(covered.select(*by, F.col("b").alias("id")).distinct(), [*by, "id"], "left_anti")
+        here = written(here, "batch")
+        pairs = similar_sets(here.select(*by, F.col("id").alias("a"), F.col("w").alias("wa")), here.select(*by, F.col("id").alias("b"), F.col("w").alias("wb")), by, floor).filter("a <> b")
+        at = here.select(*by, "id", "seq")
+        pairs = pairs.join(at.select(*by, F.col("id").alias("a"), F.col("seq").alias("seqa")), [*by, "a"]).join(at.select(*by, F.col("id").alias("b"), F.col("seq").alias("seqb")), [*by, "b"])
+        before = written(pairs.filter(order("a") < order("b")).select(*by, "a", "b"), "before")
+        open_ = at.select(*by, "id")
+        while True:
+            last = before.select(*by, F.col("b").alias("id")).distinct()
+            new = written(open_.join(last, [*by, "id"], "left_anti"), "new-founders")
+            if new.isEmpty():
+                break
+            found = found.unionByName(here.join(new, [*by, "id"], "left_semi").select(found.columns))
+            hit = before.join(new.withColumnRenamed("id", "a"), [*by, "a"], "left_semi").select(*by, F.col("b").alias("id")).unionByName(new).distinct()
+            gone = written(hit, "settled")
+            open_ = written(open_.join(gone, [*by, "id"], "left_anti"), "open")
+            before = written(before.join(gone.withColumnRenamed("id", "a"), [*by, "a"], "left_anti").join(gone.withColumnRenamed("id", "b"), [*by, "b"], "left_anti").select(*by, "a", "b"), "before")
+        found = written(found, "founders")
+    return found.select(*by, "id", "seq", "w")
+
+
 def profiles(signals: DataFrame, by: list[str], floor: float = 0.52) -> DataFrame:
     """(by, profile, anchor, confirmed, rejected): signals (by, seq, words, positive) in order of seq join the most similar profile founded so far (the earliest of equals), or found one below floor.
 
     Similarity is the Jaccard share of words with the words of the founding signal; signals without words (null or empty) are one profile. Only a set of words that is
-    new can found a profile, so a group's distinct sets are walked in order of their first signal, and all signals are then compared with the founders there were at their time:
-    what meets in one task is the vocabulary of a field, however many signals it has.
+    new can found a profile. Which sets do is settled by joins (see _founders), and signals meet founders on rare words, so no task holds a group's words. Signals of one seq come in order of their words.
+    """
+    s = signals.withColumn("w", F.array_sort(F.array_distinct(F.coalesce("words", F.array().cast("array<string>"))))).withColumn("id", F.md5(F.array_join("w", "\u0001")))
+    s = written(s.select(*by, "seq", "id", "w", "positive"), "signals")
+    sets = s.groupBy(*by, "id", "w").agg(F.min("seq").alias("seq"))
+    found = _founders(sets, by, floor)
+    # Profiles are numbered by counts of founders before them; founders are few beside signals, and their order within a group is one narrow column.
+    numbered = written(found.withColumn("profile", F.row_number().over(Window.partitionBy(*by).orderBy("seq", "id")) - 1), "profiles")
+    pairs = similar_sets(sets.select(*by, F.col("id").alias("a"), F.col("w").alias("wa")), numbered.select(*by, F.col("id").alias("b"), F.col("w").alias("wb")), by, floor)
+    none = numbered.filter("size(w) = 0").select(*by, F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("share"))
+    near = pairs.unionByName(none).join(numbered.select(*by, F.col("id").alias("b"), "profile", F.col("seq").alias("since")), [*by, "b"])
+    # A signal's set has few founders near it; each counts from its own time on.
+    per = near.groupBy(*by, F.col("a").alias("id")).agg(F.collect_list(F.struct("share", (-F.col("profile")).alias("p"), "since")).alias("near"))
+    best = F.array_max(F.transform(F.filter("near", lambda f: f["since"] <= F.col("seq")), lambda f: F.struct(f["share"], f["p"])))["p"]
+    at = s.groupBy(*by, "id", "seq").agg(F.count_if("positive").alias("yes"), F.count_if(~F.col("positive")).alias("no"))
+    counted = at.join(per, [*by, "id"]).withColumn("profile", -best).groupBy(*by, "profile").agg(F.sum("yes").alias("confirmed"), F.sum("no").alias("rejected"))
+    return counted.join(numbered, [*by, "profile"]).select(*by, "profile", F.array_join("w", " ").alias("anchor"), "confirmed", "rejected")
+
+
+# Weights of words, page, height and geometry in the similarity of two places, with boxes and without; limits of a boost.
+WEIGHTS, PLAIN_WEIGHTS = (0.58, 0.10, 0.12, 0.20), (0.72, 0.12, 0.16, 0.0)
+STEPS, MATCH, MOST_BOOST, FULL_MATCH, LEAST_BOOST = ((10, 0.075), (5, 0.055), (3, 0.035), (2, 0.018)), 0.42, 0.08, 0.72, 0.002
+
+
+def profile_boost(confirmed: Column, rejected: Column) -> Column:
+    """What a profile adds at most: a step for its confirmations, less for a reliability under .9; 0 below two confirmations or .55."""
+    r = smoothed(confirmed, rejected)
+    step = F.coalesce(*[F.when(confirmed >= n, F.lit(b)) for n, b in STEPS], F.lit(0.0))
+    return F.when(r >= 0.55, step * F.least(F.lit(1.0), (r - 0.45) / 0.45)).otherwise(0.0)
+
+
+def location_similarity(share: Column, page: Column, ratio: Column, distance: Column) -> Column:
+    """How alike two places are: the share of words, pages between (none beyond 5), height on the page (none beyond .35) and the distance of the boxes' centres (none beyond .32; null without boxes)."""
+    near = lambda d, most: F.coalesce(F.greatest(1 - F.abs(d) / most, F.lit(0.0)), F.lit(0.0))
+    parts = (share, near(page, 5), near(ratio, 0.35), near(distance, 0.32))
+    told = lambda w: sum((p * F.lit(x) for p, x in zip(parts, w)), F.lit(0.0))
+    return F.least(F.lit(1.0), F.when(distance.isNotNull(), told(WEIGHTS)).otherwise(told(PLAIN_WEIGHTS)))
+
+
+def boosted(readings: DataFrame, known: DataFrame, by: list[str]) -> DataFrame:
+    """readings with the columns boost and match: what the most similar profile adds to a reading's confidence.
+
+    readings: by, id (unique), words, page, ratio, box (struct x, y, w, h or null); known: by, profile, words, page, ratio, box, confirmed, rejected. A profile counts from a similarity of .42. Places meet
+    in two ways: on rare words with the least share that height and boxes can lift to .42, and, where both have boxes and pages, on cells of page and position as wide as these reach.
     """
-    kinds = ", ".join(f"{k} {signals.schema[k].dataType.simpleString()}" for k in by)
-    seq = signals.schema["seq"].dataType.simpleString()
-    s = signals.withColumn("_w", F.array_sort(F.array_distinct(F.coalesce("words", F.array().cast("array<string>")))))
-    sets = s.groupBy(*by, "_w").agg(F.min("seq").alias("seq"))
-
-    def walk(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        for words, at in frame.sort_values("seq")[["_w", "seq"]].itertuples(index=False):
-            w = set(words)
-            if all((len(w & f) / len(w | f) if w | f else 1.0) < floor for f, _ in found):
-                found.append((w, at))
-        return pd.DataFrame([[*key, i, sorted(w), at] for i, (w, at) in enumerate(found)], columns=[*by, "profile", "_f", "_at"])
-
-    founders = sets.groupBy(*by).applyInPandas(walk, f"{kinds}, profile int, _f array<string>, _at {seq}")
-    known = founders.groupBy(*by).agg(F.collect_list(F.struct("profile", "_f", "_at")).alias("_all"))
-    share = lambda f: F.coalesce(F.try_divide(F.size(F.array_intersect("_w", f["_f"])), F.size(F.array_union("_w", f["_f"]))), F.lit(1.0))
-    near = F.array_max(F.transform(F.filter("_all", lambda f: f["_at"] <= F.col("seq")), lambda f: F.struct(share(f).alias("s"), (-f["profile"]).alias("p"))))
-    counted = s.join(known, by).withColumn("profile", -near["p"]).groupBy(*by, "profile").agg(F.count_if("positive").alias("confirmed"), F.count_if(~F.col("positive")).alias("rejected"))
-    return counted.join(founders, [*by, "profile"]).select(*by, "profile", F.array_join("_f", " ").alias("anchor"), "confirmed", "rejected")
+    useful = written(known.withColumn("gain", profile_boost(F.col("confirmed"), F.col("rejected"))).filter("gain > 0"), "useful")
+    centre = lambda c: F.struct((F.col(f"{c}.x") + F.coalesce(F.col(f"{c}.w"), F.lit(0.0)) / 2).alias("x"), (F.col(f"{c}.y") + F.coalesce(F.col(f"{c}.h"), F.lit(0.0)) / 2).alias("y"))
+    r = readings.select(*by, F.col("id").alias("a"), F.coalesce("words", F.array().cast("array<string>")).alias("wa"), F.col("page").alias("pa"), F.col("ratio").alias("ra"), centre("box").alias("ca"))
+    p = useful.select(*by, F.col("profile").alias("b"), F.coalesce("words", F.array().cast("array<string>")).alias("wb"), F.col("page").alias("pb"), F.col("ratio").alias("rb"), centre("box").alias("cb"), "gain")
+    # With less words in common than this, a pair needs boxes, and pages and boxes near each other.
+    least = min((MATCH - sum(PLAIN_WEIGHTS[1:])) / PLAIN_WEIGHTS[0], (MATCH - sum(WEIGHTS[2:])) / WEIGHTS[0])
+    words = similar_sets(r.select(*by, "a", "wa"), p.select(*by, "b", "wb"), by, least).select(*by, "a", "b")
+    cell = lambda df, c, page: df.filter(F.col(f"{c}.x").isNotNull() & F.col(f"{c}.y").isNotNull() & F.col(page).isNotNull()).withColumn("px", F.floor(F.col(page) / 5)).withColumn("cx", F.floor(F.col(f"{c}.x") / 0.32)).withColumn("cy", F.floor(F.col(f"{c}.y") / 0.32))
+    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    near = cell(r, "ca", "pa").select(*by, "a", "px", "cx", "cy").join(cell(p, "cb", "pb").select(*by, "b", around("px").alias("px"), "cx", "cy").select(*by, "b", "px", around("cx").alias("cx"), "cy").select(*by, "b", "px", "cx", around("cy").alias("cy")), [*by, "px", "cx", "cy"])
+    met = words.unionByName(near.select(*by, "a", "b")).distinct()
+    both = met.join(r, [*by, "a"]).join(p, [*by, "b"])
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect("wa", "wb")), F.size(F.array_union("wa", "wb"))), F.lit(0.0))
+    distance = F.hypot(F.col("ca.x") - F.col("cb.x"), F.col("ca.y") - F.col("cb.y"))
+    scored = both.withColumn("match", location_similarity(share, F.col("pa") - F.col("pb"), F.col("ra") - F.col("rb"), distance)).filter(F.col("match") >= MATCH)
+    best = scored.groupBy(*by, F.col("a").alias("id")).agg(F.max_by(F.struct("match", "gain"), F.struct("match", (-F.col("b")).alias("b"))).alias("m"))
+    gain = F.least(F.lit(MOST_BOOST), F.col("m.gain") * F.least(F.lit(1.0), F.col("m.match") / FULL_MATCH))
+    done = best.select(*by, "id", F.when(gain > LEAST_BOOST, gain).alias("boost"), F.col("m.match").alias("match"))
+    return readings.join(done, [*by, "id"], "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
 
 
 def learned_pick(candidates: DataFrame, finals: DataFrame, gap: float = 0.1) -> DataFrame:

@@ -197,6 +197,35 @@ def signal_profiles(spark, sf_dir):
     return learning.profiles(e.select("user_id", "event_type", F.col("event_id").alias("seq"), words.alias("words"), (F.col("value") > 20).alias("positive")), ["user_id", "event_type"])
 
 
+@register(
+    "location_boosts",
+    """
+    WITH e AS (
+      SELECT event_id, user_id, ['k' || CAST(props->>'$.k' AS INTEGER) % 7, event_type, 'v' || CAST(floor(value / 20) AS BIGINT) % 5] AS w, event_id % 12 AS page, (value % 50) / 50 AS ratio,
+        event_id % 14 AS yes, event_id % 3 AS no, value FROM events),
+    p AS (SELECT *, (yes + 1) / CAST(yes + no + 2 AS DOUBLE) AS r FROM e WHERE event_id % 5 = 0),
+    g AS (SELECT *, CASE WHEN yes >= 10 THEN 0.075 WHEN yes >= 5 THEN 0.055 WHEN yes >= 3 THEN 0.035 WHEN yes >= 2 THEN 0.018 ELSE 0 END * least(1.0, (r - 0.45) / CAST(0.45 AS DOUBLE)) AS gain FROM p WHERE r >= 0.55 AND yes >= 2),
+    m AS (
+      SELECT a.event_id, g.event_id AS profile, g.gain,
+        least(1.0, len(list_intersect(a.w, g.w)) / CAST(len(list_distinct(a.w || g.w)) AS DOUBLE) * CAST(0.72 AS DOUBLE) + greatest(1 - abs(a.page - g.page) / CAST(5 AS DOUBLE), 0.0) * CAST(0.12 AS DOUBLE) + greatest(1 - abs(a.ratio - g.ratio) / CAST(0.35 AS DOUBLE), 0.0) * CAST(0.16 AS DOUBLE)) AS match
+      FROM e a JOIN g ON a.user_id = g.user_id),
+    b AS (SELECT event_id, arg_max(gain, {'m': match, 'p': -profile}) AS gain, max(match) AS match FROM m WHERE match >= 0.42 GROUP BY event_id),
+    d AS (SELECT event_id, match, least(0.08, gain * least(1.0, match / CAST(0.72 AS DOUBLE))) AS boost FROM b)
+    SELECT e.event_id, round(CASE WHEN boost > 0.002 THEN boost ELSE 0 END, 9) AS boost, round(match, 9) AS match FROM e LEFT JOIN d USING (event_id)
+    """,
+)
+def location_boosts(spark, sf_dir):
+    """What the most similar profile of a user adds to each event's confidence."""
+    e = table(spark, sf_dir, "events")
+    k, v = F.get_json_object("props", "$.k").cast("int"), F.floor(F.col("value") / 20)
+    words = F.array(F.concat(F.lit("k"), k % 7), F.col("event_type"), F.concat(F.lit("v"), v % 5))
+    box = F.lit(None).cast("struct<x:double,y:double,w:double,h:double>").alias("box")
+    e = e.select("user_id", F.col("event_id").alias("id"), words.alias("words"), (F.col("event_id") % 12).cast("int").alias("page"), (F.col("value") % 50 / 50).alias("ratio"), box)
+    known = e.filter("id % 5 = 0").withColumnRenamed("id", "profile").withColumn("confirmed", F.col("profile") % 14).withColumn("rejected", F.col("profile") % 3)
+    found = learning.boosted(e, known, ["user_id"])
+    return found.select(F.col("id").alias("event_id"), F.round(F.coalesce("boost", F.lit(0.0)), 9).alias("boost"), F.round("match", 9).alias("match"))
+
+
 def _events(spark, sf_dir):
     return journal.read_journal(spark, f"{sf_dir}/events.parquet")
 
