@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..catalog import register, table
 from ..operators import grouping, phased_layouts, phases, tables
+from ..streaming import journal, progress
 
 
 def _french(number) -> F.col:
@@ -130,3 +131,35 @@ def buildings_by_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         of("other", "tic", tic + 0.125), of("other", "dh", dh), of("other", "ic", ic + 0.5),
     )
     return grouping.result_merges(first.select("op", F.explode(values).alias("v")).select("op", "v.*"), "op")
+
+
+@register(
+    "stream_job_progress",
+    """
+    WITH RECURSIVE e AS (SELECT user_id AS job, event_id AS id, epoch_ms(ts) AS ms, event_id % 5 AS doc, least(1.0, greatest(0.0, value / 50)) AS p FROM events),
+    mark AS (SELECT max(ms) - 3600000 AS mark FROM e),
+    seen AS (SELECT e.* FROM e, mark WHERE ms <= mark),
+    gaps AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY job ORDER BY ms, id) > 43200000 THEN 1 ELSE 0 END AS new FROM seen),
+    runs AS (SELECT *, sum(new) OVER (PARTITION BY job ORDER BY ms, id ROWS UNBOUNDED PRECEDING) AS run FROM gaps),
+    steps AS MATERIALIZED (SELECT job, run, ms, p - coalesce(lag(p) OVER (PARTITION BY job, run, doc ORDER BY ms, id), 0) AS more, row_number() OVER (PARTITION BY job, run ORDER BY ms, id) AS i,
+      greatest(0.001, (ms - min(ms) OVER (PARTITION BY job, run)) / CAST(1000 AS DOUBLE)) AS elapsed, count(*) OVER (PARTITION BY job, run) AS n, max(run) OVER (PARTITION BY job) AS runs FROM runs),
+    walk AS (
+      SELECT job, run, i, ms, elapsed, n, runs, CAST(more AS DOUBLE) AS work, ms AS shown, true AS seen_now, CAST(NULL AS DOUBLE) AS total FROM steps WHERE i = 1
+      UNION ALL
+      SELECT job, run, i, ms, elapsed, n, runs, work, CASE WHEN seen_now THEN ms ELSE shown END, seen_now,
+        CASE WHEN seen_now AND elapsed >= 4 AND work >= 0.15 THEN CASE WHEN total IS NULL THEN elapsed / greatest(0.001, share) ELSE total * 0.72 + elapsed / greatest(0.001, share) * 0.28 END ELSE total END
+      FROM (SELECT s.job, s.run, s.i, s.ms, s.elapsed, s.n, s.runs, w.work + s.more AS work, w.shown, s.ms - w.shown >= 350 AS seen_now, least(1.0, greatest(0.0, (w.work + s.more) / 5)) AS share, w.total
+        FROM walk w JOIN steps s ON s.job = w.job AND s.run = w.run AND s.i = w.i + 1)),
+    told AS (SELECT *, least(1.0, greatest(0.0, work / 5)) AS share FROM walk)
+    SELECT job, ms, 'progress' AS kind, elapsed, share, round(total, 6) AS total, CASE WHEN total IS NOT NULL THEN round(greatest(0.0, total - elapsed), 6) END AS remaining FROM told WHERE seen_now
+    UNION ALL SELECT job, ms, 'closed', elapsed, share, round(total, 6), 0.0 FROM told, mark WHERE i = n AND (run < runs OR ms + 43200001 <= mark)
+    """,
+)
+def stream_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a user as progress of a job of five documents that is closed after twelve hours without one."""
+    e = journal.read_journal(spark, f"{sf_dir}/events.parquet")
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("value") / 50))
+    rows = e.select(F.col("user_id").alias("job"), "ts", F.col("event_id").alias("id"), (F.col("event_id") % 5).alias("doc"), share.alias("progress"), F.lit(5).alias("docs"), F.lit(None).cast("double").alias("prior"))
+    with progress.rocks(spark):
+        found = journal.drain(progress.estimates(rows, 12 * 3600 * 1000), "progress")
+    return found.withColumn("total", F.round("total", 6)).withColumn("remaining", F.when(F.col("total").isNotNull() | (F.col("kind") == "closed"), F.round("remaining", 6)))
