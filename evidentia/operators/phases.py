@@ -164,7 +164,9 @@ def lines(docs: DataFrame, layouts: tuple[Layout, ...], id_col: str, text_col: s
         marks = F.when(own, _marked(x, F.col("text"))).otherwise(marks)
         told = F.array_compact(F.array(*[_hit(r, F.col("text" if r.over == 1 else "more")) for r in x.readings]))
         hits = F.when(own, told) if hits is None else hits.when(own, told)
-    return d.select("id", "layout", "line", marks.alias("marks"), hits.alias("hits")).filter("size(marks) > 0 or size(hits) > 0")
+    # Behind an explode, a filter can't be pushed below it, where it would evaluate all patterns a second time.
+    found = d.select("id", "layout", "line", F.explode(F.array(F.struct(marks.alias("marks"), hits.alias("hits")))).alias("f"))
+    return found.filter("size(f.marks) > 0 or size(f.hits) > 0").select("id", "layout", "line", "f.marks", "f.hits")
 
 
 def _last_set(state: str) -> Column:
@@ -183,8 +185,9 @@ def read(docs: DataFrame, layouts: tuple[Layout, ...], id_col: str = "doc_id", t
         found = found.withColumn(f"s_{s}", F.nullif(F.last(here, ignorenulls=True).over(upto), F.lit("")))
         if s == "block":
             found = found.withColumn("block_at", F.last(F.when(here.isNotNull(), F.col("line")), ignorenulls=True).over(upto))
+    found = found.withColumn("buildings", F.collect_set("s_building").over(Window.partitionBy("id")))
     held = F.create_map(*[x for s in names for x in (F.lit(s), F.coalesce(F.col(f"s_{s}"), F.lit("")))])
-    hits = found.withColumn("states", held).select("id", "layout", "line", "states", "block_at", F.posexplode("hits").alias("order", "h"))
+    hits = found.withColumn("states", held).select("id", "layout", "line", "states", "block_at", "buildings", F.posexplode("hits").alias("order", "h"))
     fits = F.forall("h.wanted", lambda w: F.array_contains(w["values"], F.lower(F.col("states")[w["state"]])))
     fits = fits & ((F.col("h.within") == 0) | (F.col("line") - F.col("block_at") <= F.col("h.within")))
     told = F.exists("h.parts", lambda p: p["num"].isNotNull() | p["text"].isNotNull() | (p["state"] != ""))
@@ -195,15 +198,14 @@ def read(docs: DataFrame, layouts: tuple[Layout, ...], id_col: str = "doc_id", t
     by = ["id", "layout", "building", "phase", F.col("h.rule").alias("rule"), F.col("h.pick").alias("pick"), F.when(F.col("h.pick") == "all", F.col("line")).alias("each")]
     rank = F.when(F.col("h.pick").isin("max", "share"), -F.col("h.key")).when(F.col("h.pick") == "min", F.col("h.key")).otherwise(F.lit(0.0))
     best = hits.groupBy(*by).agg(
-        F.min_by(F.struct("line", F.col("h.parts").alias("parts"), F.col("h.everywhere").alias("everywhere"), "states"), F.struct(F.coalesce(rank, F.lit(float("inf"))).alias("rank"), "line", "order")).alias("b"),
+        F.min_by(F.struct("line", F.col("h.parts").alias("parts"), F.col("h.everywhere").alias("everywhere"), "states", "buildings"), F.struct(F.coalesce(rank, F.lit(float("inf"))).alias("rank"), "line", "order")).alias("b"),
         F.max("h.key").alias("most"), F.sum(F.greatest("h.key", F.lit(0.0))).alias("total"),
     ).filter("pick <> 'share' or (most > 0 and most >= 0.6 * total)")
-    parts = best.select("id", "layout", "building", "phase", "rule", "b.line", "b.everywhere", "b.states", F.explode("b.parts").alias("p"))
+    parts = best.select("id", "layout", "building", "phase", "rule", "b.line", "b.everywhere", "b.states", "b.buildings", F.explode("b.parts").alias("p"))
     text = F.coalesce("p.text", F.when(F.col("p.state") != "", F.nullif(F.col("states")[F.col("p.state")], F.lit(""))))
-    facts = parts.select("id", "layout", "building", "phase", "rule", "line", "everywhere", F.coalesce(F.try_element_at("p.fields", F.coalesce("phase", F.lit(""))), F.try_element_at("p.fields", F.lit(""))).alias("field"),
+    facts = parts.select("id", "layout", "building", "phase", "rule", "line", "everywhere", "buildings", F.coalesce(F.try_element_at("p.fields", F.coalesce("phase", F.lit(""))), F.try_element_at("p.fields", F.lit(""))).alias("field"),
                          F.col("p.num").alias("value_num"), text.alias("value_text"), "p.confidence").filter("field is not null and (value_num is not null or value_text is not null)")
     # Values for the whole document go to each of its buildings.
-    known = found.filter("s_building is not null").groupBy("id").agg(F.collect_set("s_building").alias("buildings"))
-    spread = facts.filter("everywhere").drop("building").join(known, "id", "left").withColumn("building", F.explode(F.coalesce("buildings", F.array(F.lit(WHOLE))))).drop("buildings")
-    done = facts.filter("not everywhere").unionByName(spread)
+    names_of = F.when(~F.col("everywhere"), F.array("building")).when(F.size("buildings") > 0, F.col("buildings")).otherwise(F.array(F.lit(WHOLE)))
+    done = facts.withColumn("building", F.explode(names_of))
     return done.select(F.col("id").alias(id_col), "layout", "building", "phase", "field", "value_num", "value_text", "rule", "line", "confidence")
