@@ -27,7 +27,7 @@ def documents(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_twins(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.sql(f"create view {t} as from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
@@ -189,15 +189,15 @@ def clashing(docs):
 
 def test_clashing_names_change_nothing(spark, documents, tmp_path):
     sf = tmp_path / "clash"
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         clashing(spark.read.parquet(f"{SF}/{t}.parquet")).write.parquet(str(sf / f"{t}.parquet"))
-    for name in ("op1_substring_dedup", "op4_language_id", "op5_decontaminate", "op6_line_dedup", "op7_mix_sources", "op8_exact_dedup", "op9_simhash"):
+    for name in ("op1_substring_dedup", "op4_language_id", "op5_decontaminate", "op6_line_dedup", "op7_mix_sources", "op8_exact_dedup", "op9_simhash", "op11_importance_resample", "op13_quality"):
         plain = lambda rs: sorted((repr(tuple(round(v, 4) if isinstance(v, float) else v for v in r)) for r in rs))
         assert plain(rows(spark, name, str(sf))) == plain(rows(spark, name)), name
 
 
 def test_empty_tables(spark, tmp_path):
-    for t in ("documents", "benchmark", "pages", "conversations"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").filter("false").write.parquet(str(tmp_path / f"{t}.parquet"))
     for name in queries.QUERIES:
         n = len(rows(spark, name, str(tmp_path)))
