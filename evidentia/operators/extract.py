@@ -108,7 +108,9 @@ def facts(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
     if wrong:
         raise ValueError("; ".join(wrong))
     doc_type = F.col(type_col) if type_col else F.lit("")
-    d = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), fold(F.col(text_col)).alias("_n"), doc_type.alias("_d"))
+    d = docs.filter(F.col(text_col).isNotNull())
+    # Behind an explode, the folded text and the type are computed once a row and not once a rule.
+    d = d.select(F.col(id_col).alias("doc_id"), F.explode(F.array(F.struct(F.col(text_col).alias("_t"), fold(F.col(text_col)).alias("_n"), doc_type.alias("_d")))).alias("_o")).select("doc_id", "_o.*")
     nothing = F.array().cast(FACT)
     found = F.array(*[F.when(_gate(F.col("_n"), F.col("_d"), r, among), _matches(F.col("_t"), r).cast(FACT)).otherwise(nothing) for r in rules])
     return d.select("doc_id", F.posexplode(F.flatten(found)).alias("seq", "_f")).select("doc_id", "seq", "_f.*")

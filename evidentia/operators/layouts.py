@@ -19,6 +19,7 @@ from .extract import Rule, facts
 
 # The families of each document type.
 FAMILIES = {"RSET_RE2020": ("rset",), "RSEE_RE2020": ("rset", "carbone"), "RT2012": ("rt2012",), "RT_EXISTING": ("thcex",), "THERMAL": ("thcex",), "RSENV": ("carbone",), "CARBON": ("carbone",), "CCTP": ("cctp",), "DPGF": ("dpgf",), "DPE": ("dpe",), "FINANCIAL": ("financier",)}
+# Fixed value: what shows that a study has carbon results.
 CARBON_SIGNS = "ic (?:composants?|construction|energie)\\b|contributeur (?:composant|energie)|indicateur co ?2? dynamique|(?m:^ ?0?1 ?[-–] ?vrd\\b)|total lot ?:"
 NUMBER = "(-?[0-9][0-9 ]*(?:[.,][0-9]+)?)"
 # What a heading of a building must not be.
@@ -36,31 +37,48 @@ def expected_buildings(text: Column) -> Column:
     return F.regexp_extract(plain(text), "(?i)nombre de batiments?(?: ?/ ?zones?)? du projet ?[:-]? ?([0-9]+)", 1).try_cast("int")
 
 
+_HEADING = "^ ?(?:[0-9]+(?:\\.[0-9]+)*\\.? )?(?:[Ii]dentifiant )?[Bb](?:[Aa][Tt]\\.?|[Aa][Tt][Ii][Mm][Ee][Nn][Tt])(?![A-Za-z]) ?([:-]?) ?\"?([^\"].{0,100}?)\"? ?$"
+
+
+def headings(lines: Column) -> Column:
+    """(at, name) of the lines that announce a building ('Bâtiment : A', '2.1 BATIMENT B2', a row of a table that begins with one), with its display name; not of pieces of sentences.
+
+    Each step is a transform of its own over the few lines that look like a heading, so nothing in it is evaluated twice.
+    """
+    some = F.filter(F.transform(lines, lambda t, i: F.struct(i.alias("at"), t.alias("t"))), lambda x: x["t"].rlike(_HEADING))
+    read = F.transform(some, lambda x: F.struct(x["at"].alias("at"), x["t"].alias("t"), (F.regexp_extract(x["t"], _HEADING, 1) != "").alias("told"), F.trim(F.regexp_extract(x["t"], _HEADING, 2)).alias("raw")))
+    split = F.transform(F.filter(read, lambda x: (x["raw"] != "") & ~x["raw"].rlike(_NO_NAME)), lambda x: F.struct(x["at"].alias("at"), x["t"].alias("t"), x["told"].alias("told"), x["raw"].alias("raw"), F.split(x["raw"], " ").alias("words")))
+
+    def named(x: Column) -> Column:
+        first, rest = F.element_at(x["words"], 1), F.slice(x["words"], 2, F.greatest(F.size(x["words"]), F.lit(1)))
+        short = first.rlike("^(?i:[A-Z]{1,3}[0-9]{0,3}|[0-9]{1,3}|[A-Z][0-9]?/[A-Z][0-9]?)$")
+        row = F.exists(rest, lambda t: t.rlike("[0-9][.,][0-9]|%|²|(?i)m3 ?/ ?h|kwh")) | (F.size(F.filter(rest, lambda t: t.rlike("^-?[0-9]+(?:[.,][0-9]+)?$"))) >= 2)
+        return F.struct(x["at"].alias("at"), x["t"].alias("t"), x["told"].alias("told"), x["raw"].alias("raw"), names.canonical(F.when(row, F.when(short, first)).otherwise(x["raw"])).alias("shown"))
+
+    def good(x: Column) -> Column:
+        sentence = x["t"].rlike("^ ?b") & ~x["raw"].rlike("^[A-Z0-9][A-Z0-9._/-]{0,4}$") | x["raw"].rlike("[.;!?] ?$") & x["raw"].contains(" ")
+        list_of = x["raw"].rlike("(?:^| )[A-Z0-9](?: [A-Z0-9]){2,}(?: |$)")
+        return ~list_of & ~names.is_ghost(x["shown"]) & (x["told"] | ~sentence & ~names.is_garbage(x["shown"]))
+
+    shown = F.filter(F.transform(split, named), lambda x: x["shown"].isNotNull() & (x["shown"] != names.UNIQUE))
+    return F.transform(F.filter(shown, good), lambda x: F.struct(x["at"].alias("at"), x["shown"].alias("name")))
+
+
 def heading(line: Column) -> Column:
-    """The display name of the building a line announces ('Bâtiment : A', '2.1 BATIMENT B2', a row of a table that begins with one), null for other lines and for pieces of sentences."""
-    pattern = "^ ?(?:[0-9]+(?:\\.[0-9]+)*\\.? )?(?:[Ii]dentifiant )?[Bb](?:[Aa][Tt]\\.?|[Aa][Tt][Ii][Mm][Ee][Nn][Tt])(?![A-Za-z]) ?([:-]?) ?\"?([^\"].{0,100}?)\"? ?$"
-    told, raw = F.regexp_extract(line, pattern, 1) != "", F.trim(F.regexp_extract(line, pattern, 2))
-    first = F.element_at(F.split(raw, " "), 1)
-    rest = F.slice(F.split(raw, " "), 2, F.greatest(F.size(F.split(raw, " ")), F.lit(1)))
-    short = first.rlike("^(?i:[A-Z]{1,3}[0-9]{0,3}|[0-9]{1,3}|[A-Z][0-9]?/[A-Z][0-9]?)$")
-    row = F.exists(rest, lambda t: t.rlike("[0-9][.,][0-9]|%|²|(?i)m3 ?/ ?h|kwh")) | (F.size(F.filter(rest, lambda t: t.rlike("^-?[0-9]+(?:[.,][0-9]+)?$"))) >= 2)
-    name = F.when(row, F.when(short, first)).otherwise(raw)
-    shown = names.canonical(name)
-    sentence = line.rlike("^ ?b") & ~raw.rlike("^[A-Z0-9][A-Z0-9._/-]{0,4}$") | raw.rlike("[.;!?] ?$") & raw.contains(" ")
-    list_of = raw.rlike("(?:^| )[A-Z0-9](?: [A-Z0-9]){2,}(?: |$)")
-    good = (raw != "") & ~raw.rlike(_NO_NAME) & ~list_of & ~names.is_ghost(shown) & (told | ~sentence & ~names.is_garbage(shown))
-    return F.when(good & name.isNotNull() & (shown != names.UNIQUE), shown)
+    """The display name of the building a line announces; null for other lines."""
+    return F.get(headings(F.array(line)), F.lit(0))["name"]
 
 
 def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, part, building, first_line, text, keep): a document cut at the headings of its buildings; one part named 'Bâtiment unique' where it has none. Null texts are empty."""
-    d = docs.select(F.col(id_col).alias("doc_id"), *keep, F.split(plain(F.col(text_col)), "\n").alias("_l"))
-    marks = F.array_compact(F.transform("_l", lambda t, i: F.when(heading(t).isNotNull(), F.struct(i.alias("at"), heading(t).alias("name")))))
-    d = d.withColumn("_m", marks)
+    # Behind an explode, lines and headings are computed once a document; as plain columns they would be put into each place that uses them.
+    once = lambda df, **c: df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in c.items()]))).alias("_o")).select(*df.columns, "_o.*")
+    d = once(docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text")), _l=F.split(plain(F.col("_text")), "\n")).drop("_text")
+    d = once(d, _m=headings(F.col("_l")))
     first = F.coalesce(F.get("_m", F.lit(0))["name"], F.lit(names.UNIQUE))
-    d = d.withColumn("_m", F.when(F.coalesce(F.get("_m", F.lit(0))["at"], F.lit(1)) == 0, F.col("_m")).otherwise(F.concat(F.array(F.struct(F.lit(0).alias("at"), first.alias("name"))), F.col("_m"))))
-    end = lambda i: F.coalesce(F.get("_m", i + 1)["at"], F.size("_l"))
-    cut = F.transform("_m", lambda m, i: F.struct(m["name"].alias("building"), m["at"].alias("first_line"), F.array_join(F.slice("_l", m["at"] + 1, F.greatest(end(i) - m["at"], F.lit(0))), "\n").alias("text")))
+    d = once(d, _c=F.when(F.coalesce(F.get("_m", F.lit(0))["at"], F.lit(1)) == 0, F.col("_m")).otherwise(F.concat(F.array(F.struct(F.lit(0).alias("at"), first.alias("name"))), F.col("_m")))).drop("_m")
+    end = lambda i: F.coalesce(F.get("_c", i + 1)["at"], F.size("_l"))
+    cut = F.transform("_c", lambda m, i: F.struct(m["name"].alias("building"), m["at"].alias("first_line"), F.array_join(F.slice("_l", m["at"] + 1, F.greatest(end(i) - m["at"], F.lit(0))), "\n").alias("text")))
     return d.select("doc_id", *keep, F.posexplode(cut).alias("part", "_p")).select("doc_id", "part", "_p.*", *keep)
 
 
@@ -305,16 +323,44 @@ def verify_proposals(proposals: DataFrame, pages: DataFrame, allowed: dict[str,
 # Sources of energy by pattern, in the order in which they are tried.
 ENERGIES = [("Réseau de chaleur urbain", "\\brcu\\b|reseau de chaleur|chauffage urbain|sous[- ]station"), ("Bois / biomasse", "\\bbois\\b|biomasse|granules?\\b|pellets?\\b"), ("Géothermie", "geotherm\\w*"), ("Fioul", "\\bfioul\\b|\\bfuel\\b|mazout"), ("Gaz", "\\bgaz\\b|propane"),
             ("Électricité", "\\bpac\\b|pompes? a chaleur|electri\\w*|effet joule|thermodynamique")]
+# What names a heating as hybrid, what names a second generator, and short names in labels.
 _HYBRID = "\\bhybrides?\\b|\\bbi[- ]?energies?\\b|\\bbivalente?s?\\b|\\b(?:pac|pompes? a chaleur)\\b[^|\\n]{0,60}\\+ *chaudieres?\\b|\\bchaudieres?\\b[^|\\n]{0,60}\\+ *(?:pac|pompes? a chaleur)\\b"
+_SECOND = "(?:appoint|releve|secours|complement)"
+SHORT_ENERGIES = {"Réseau de chaleur urbain": "RCU", "Bois / biomasse": "Bois"}
+
+
+def hybrid_label(first: Column, second: Column) -> Column:
+    """'Hybride Gaz/Électricité' of two energies, 'Hybride' where one isn't known."""
+    short = lambda c: F.coalesce(F.create_map(*[F.lit(x) for p in SHORT_ENERGIES.items() for x in p])[c], c)
+    return F.when(first.isNull() | second.isNull(), F.lit("Hybride")).otherwise(F.concat(F.lit("Hybride "), short(first), F.lit("/"), short(second)))
 
 
 def hybrid_energy(text: Column) -> Column:
-    """The energies of a hybrid heating ('Gaz + Électricité', in order of mention, one named as auxiliary last) within 90 characters of its first mention; null for none or fewer than two."""
-    t = F.regexp_replace(fold(plain(text)), "(?:ventilation|vmc|traitement|mode) hybrides?", " ")
-    at = F.regexp_instr(t, F.lit(_HYBRID))
-    end = F.char_length(F.regexp_extract(t, _HYBRID, 0))
-    w = F.substr(t, F.greatest(at - 90, F.lit(1)), end + 90 + F.least(at - 1, F.lit(90)))
-    found = F.filter(F.array(*[F.struct(F.regexp_instr(w, F.lit(p)).alias("at"), F.lit(v).alias("v")) for v, p in ENERGIES]), lambda x: x["at"] > 0)
-    extra = lambda x: F.substr(w, F.greatest(x["at"] - 25, F.lit(1)), F.least(x["at"] - 1, F.lit(25))).rlike("appoint|releve|secours|complement")
-    order = F.array_sort(F.transform(found, lambda x: F.struct(F.coalesce(extra(x), F.lit(False)).alias("last"), x["at"].alias("at"), x["v"].alias("v"))))
-    return F.when((at > 0) & (F.size(order) >= 2), F.array_join(F.transform(F.slice(order, 1, 2), lambda x: x["v"]), " + "))
+    """The label of a hybrid heating by the energies within 90 characters of its first mention; null where none is mentioned.
+
+    Of the first three energies, the main one is the first that isn't named as auxiliary ('PAC en appoint', 'appoint gaz'), the other the first of the rest; a word for
+    an auxiliary counts for the energy before it unless a comma stands between, and for the one after it only when small words stand between. A geothermal heat pump is no electricity.
+    """
+    # A value that is used several times goes through a lambda, which computes it once.
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def window(t: Column) -> Column:
+        at = F.regexp_instr(t, F.lit(_HYBRID))
+        return F.when(at > 0, F.substr(t, F.greatest(at - 90, F.lit(1)), F.char_length(F.regexp_extract(t, _HYBRID, 0)) + 90 + F.least(at - 1, F.lit(90))))
+
+    # An energy is found with what stands before and after it, so a mention is judged by one pattern.
+    not_geo = "(?!(?s:.{0,32})geotherm)"
+    after = f"(?=(?: (?:[a-z/]+ ){{0,3}}?)?(?:en |d. *|de )?{_SECOND})"
+    before = f"{_SECOND}\\w*(?: (?:par|en|au|a|de|d|du|une?|des?|la|le))* (?:[a-z]+ )?"
+
+    def seen(w: Column, name: str, pattern: str) -> Column:
+        p = f"{not_geo}(?:{pattern})" if name == "Électricité" else f"(?:{pattern})"
+        told = lambda at: F.substr(w, at).rlike(f"^(?:{pattern}){after}") | F.substr(w, F.greatest(at - 30, F.lit(1)), F.least(at - 1, F.lit(30))).rlike(f"{before}$")
+        return let(F.regexp_instr(w, F.lit(p)), lambda at: F.when(at > 0, F.struct(at.alias("at"), F.lit(name).alias("v"), told(at).alias("second"))))
+
+    def label(f: Column) -> Column:
+        main = F.coalesce(F.get(F.filter(f, lambda x: ~x["second"]), F.lit(0))["v"], F.get(f, F.lit(0))["v"])
+        return let(main, lambda m: hybrid_label(m, F.get(F.filter(f, lambda y: y["v"] != m), F.lit(0))["v"]))
+
+    found = let(let(F.regexp_replace(fold(plain(text)), "(?:ventilation|vmc|traitement|mode) hybrides?", " "), window), lambda w: F.when(w.isNotNull(), F.slice(F.array_sort(F.array_compact(F.array(*[seen(w, v, p) for v, p in ENERGIES]))), 1, 3)))
+    return let(found, lambda f: F.when(f.isNotNull(), label(f)))

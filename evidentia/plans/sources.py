@@ -179,10 +179,28 @@ def resultless_buildings(spark, sf_dir):
     return layouts.resultless(f, ["cep"]).select("event_id")
 
 
-@register("hybrid_energies", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Électricité + Gaz' WHEN 1 THEN 'Bois / biomasse + Gaz' END AS energies FROM events""")
+_HEATERS = [("chaudière gaz", "Gaz"), ("fioul", "Fioul"), ("chaudière bois", "Bois"), ("PAC air/eau", "Électricité"), ("réseau de chaleur", "RCU")]
+
+
+@register(
+    "hybrid_energies",
+    f"""
+    WITH e AS (SELECT event_id, 1 + CAST(props->>'$.k' AS BIGINT) % 5 AS a, 1 + CAST(floor(value) AS BIGINT) % 5 AS b, (event_id + user_id) % 6 AS f, {[v for _, v in _HEATERS]} AS v FROM events),
+    n AS (SELECT event_id, f, v[a] AS x, v[b] AS y FROM e)
+    SELECT event_id, CASE WHEN f = 4 THEN NULL WHEN f = 5 OR x = y THEN 'Hybride' WHEN f = 0 THEN 'Hybride ' || y || '/' || x ELSE 'Hybride ' || x || '/' || y END AS energies FROM n
+    """,
+)
 def hybrid_energies(spark, sf_dir):
-    t = F.element_at(F.array(*map(F.lit, ["Chauffage : PAC hybride avec chaudière gaz en appoint", "Bi-énergie : chaudière bois et relève gaz", "Ventilation hybride, chaudière gaz", "PAC seule"])), (F.col("event_id") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", layouts.hybrid_energy(t).alias("energies"))
+    """Sentences on heating whose generators, their order and the word for the auxiliary vary with the numbers of a row."""
+    e = table(spark, sf_dir, "events")
+    pick = lambda i: F.element_at(F.array(*[F.lit(t) for t, _ in _HEATERS]), (1 + i % len(_HEATERS)).cast("int"))
+    a, b, f = pick(F.get_json_object("props", "$.k").cast("long")), pick(F.floor("value")), (F.col("event_id") + F.col("user_id")) % 6
+    text = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    told = (
+        F.when(f == 0, text("Chauffage hybride : ", a, " en appoint, ", b)).when(f == 1, text("Bi-énergie : ", a, " et relève par ", b)).when(f == 2, text("Système hybride, ", a, " avec appoint ", b))
+        .when(f == 3, text("Production bivalente ", a, " puis ", b)).when(f == 4, text(a, " | VMC hybride | ", b)).otherwise(text("Chauffage hybride ", a))
+    )
+    return e.select("event_id", layouts.hybrid_energy(told).alias("energies"))
 
 
 @register("proposal_checks", """SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'field' WHEN 2 THEN 'page' WHEN 3 THEN 'not on the page' WHEN 4 THEN 'value not in the quote' WHEN 5 THEN 'short quote' END AS reason, CASE WHEN event_id % 6 = 0 THEN 10.0 + event_id % 50 END AS value_num FROM events""")

@@ -119,3 +119,16 @@ def test_dashes_are_empty_cells_and_the_hottest_group_counts(facts):
 
 def test_nothing_from_texts_without_a_layout(facts):
     assert not [k for k in facts if k[0] in (5, 6, 7)]
+
+
+def test_hybrid_heating(spark):
+    from evidentia.operators import layouts
+    from pyspark.sql import functions as F
+
+    want = {
+        "Chauffage hybride : PAC en appoint, chaudière gaz": "Hybride Gaz/Électricité", "PAC hybride géothermique et chaudière gaz": "Hybride Géothermie/Gaz", "Chaudière hybride gaz": "Hybride", "PAC hybride": "Hybride",
+        "PAC hybride air/eau + chaudière gaz à condensation": "Hybride Électricité/Gaz", "Chaudière gaz condensation + PAC air/eau en relève": "Hybride Gaz/Électricité", "Système bi-énergie : PAC en appoint, chaudière gaz": "Hybride Gaz/Électricité",
+        "Chaudière bois bivalente avec appoint fioul": "Hybride Bois/Fioul", "Chaudière gaz | VMC hybride": None, "PAC seule": None, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r.t: r.e for r in df.select("t", layouts.hybrid_energy(F.col("t")).alias("e")).collect()} == want
