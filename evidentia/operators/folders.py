@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, normalize
 
 # Words of folders that are out of date, and words that may stand beside 'ancien' in such a name.
-OBSOLETE = "old obsolete perime perimee caduc caduque archive archivee archivage superseded outdated deprecated remplace remplacee".split()
-GENERIC = "version indice ind fichier document doc dossier etude piece cctp rset rsee plan note envoi v".split()
-# Trades that a lot of a tender may be named by, and abbreviations of some.
-TRADES = ("gros oeuvre", "maconnerie", "demolition", "terrassement", "fondation", "charpente", "couverture", "zinguerie", "etancheite", "bardage", "facade", "ravalement", "isolation thermique", "ite", "menuiserie", "serrurerie", "metallerie",
-          "platrerie", "cloison", "doublage", "faux plafond", "plafond", "peinture", "revetement", "sols", "carrelage", "electricite", "plomberie", "chauffage", "ventilation", "climatisation", "ascenseur", "vrd", "espaces verts")
-ABBREVIATIONS = {"electricite": ("elec", "cfo", "cfa"), "plomberie": ("plb", "plomb"), "menuiserie": ("mex", "min", "menuis"), "serrurerie": ("serr",), "metallerie": ("metal",), "gros oeuvre": ("go",), "chauffage": ("chauf",), "ventilation": ("vent",), "climatisation": ("clim",), "vrd": ("voirie",)}
+OBSOLETE = ("old", "obsolete", "perime", "perimee", "caduc", "caduque", "archive", "archivee", "archivage", "superseded", "outdated", "deprecated", "remplace", "remplacee")
+GENERIC = ("version", "indice", "ind", "fichier", "document", "doc", "dossier", "etude", "piece", "cctp", "rset", "rsee", "plan", "note", "envoi", "v")
+# The lots of a tender and their short names.
+TRADES = (
+    "gros oeuvre", "maconnerie", "demolition", "desamiantage", "terrassement", "fondation", "charpente", "couverture", "zinguerie", "etancheite", "bardage", "facade", "ravalement", "isolation thermique", "ite",
+    "menuiserie", "serrurerie", "metallerie", "platrerie", "cloison", "doublage", "faux plafond", "plafond", "peinture", "revetement", "sols", "carrelage", "faience", "parquet", "electricite", "courants faibles",
+    "cvc", "chauffage", "ventilation", "vmc", "plomberie", "sanitaire", "climatisation", "ascenseur", "vrd", "espaces verts", "espaces exterieurs", "amenagements exterieurs", "cloture", "portail", "nettoyage",
+    "echafaudage", "generalites", "structure", "ossature", "beton", "automatisme", "controle d acces", "interphonie", "photovoltaique", "ecs", "equipements",
+)
+ABBREVIATIONS = {
+    "electricite": ("elec", "cfo", "cfa", "courants forts", "courant fort", "courant faible"), "plomberie": ("plb", "plomb"), "menuiserie": ("mex", "min", "menuis"), "menuiseries exterieures": ("mex",),
+    "menuiseries interieures": ("min",), "serrurerie": ("serr",), "metallerie": ("metal",), "gros oeuvre": ("go",), "chauffage": ("chauf",), "ventilation": ("vent",), "climatisation": ("clim",), "courants faibles": ("cfa",), "vrd": ("voirie",),
+}
 READABLE = ("pdf", "xml", "xlsx", "xls", "csv", "json", "txt")
 
 

@@ -69,14 +69,17 @@ def heading(line: Column) -> Column:
     return F.get(headings(F.array(line)), F.lit(0))["name"]
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns that are computed once a row: behind an explode; as plain columns they would be put into each place that uses them."""
+    return df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias("_o")).select(*df.columns, "_o.*")
+
+
 def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, part, building, first_line, text, keep): a document cut at the headings of its buildings; one part named 'Bâtiment unique' where it has none. Null texts are empty."""
-    # Behind an explode, lines and headings are computed once a document; as plain columns they would be put into each place that uses them.
-    once = lambda df, **c: df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in c.items()]))).alias("_o")).select(*df.columns, "_o.*")
-    d = once(docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text")), _l=F.split(plain(F.col("_text")), "\n")).drop("_text")
-    d = once(d, _m=headings(F.col("_l")))
+    d = _once(docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text")), _l=F.split(plain(F.col("_text")), "\n")).drop("_text")
+    d = _once(d, _m=headings(F.col("_l")))
     first = F.coalesce(F.get("_m", F.lit(0))["name"], F.lit(names.UNIQUE))
-    d = once(d, _c=F.when(F.coalesce(F.get("_m", F.lit(0))["at"], F.lit(1)) == 0, F.col("_m")).otherwise(F.concat(F.array(F.struct(F.lit(0).alias("at"), first.alias("name"))), F.col("_m")))).drop("_m")
+    d = _once(d, _c=F.when(F.coalesce(F.get("_m", F.lit(0))["at"], F.lit(1)) == 0, F.col("_m")).otherwise(F.concat(F.array(F.struct(F.lit(0).alias("at"), first.alias("name"))), F.col("_m")))).drop("_m")
     end = lambda i: F.coalesce(F.get("_c", i + 1)["at"], F.size("_l"))
     cut = F.transform("_c", lambda m, i: F.struct(m["name"].alias("building"), m["at"].alias("first_line"), F.array_join(F.slice("_l", m["at"] + 1, F.greatest(end(i) - m["at"], F.lit(0))), "\n").alias("text")))
     return d.select("doc_id", *keep, F.posexplode(cut).alias("part", "_p")).select("doc_id", "part", "_p.*", *keep)
@@ -265,7 +268,9 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", type_
 
     docs has the columns named; a null type is none. packs limits what may run.
     """
-    d = docs.withColumn("_norm", fold(plain(F.col(text_col)))).withColumn("_packs", dispatch(F.col(type_col), F.col("_norm"))).drop("_norm")
+    d = _once(docs.select(id_col, F.col(type_col).alias("_type"), F.col(text_col).alias("_whole")), _raw=F.col("_whole")).drop("_whole")
+    d = _once(d, _norm=fold(plain(F.col("_raw"))))
+    d = _once(d, _packs=dispatch(F.col("_type"), F.col("_norm"))).select(id_col, F.col("_type").alias(type_col), F.col("_raw").alias(text_col), "_packs")
     p = parts(d, id_col, text_col, (type_col, "_packs")).withColumn("_key", F.struct("doc_id", "part", "building", type_col))
     held = p.withColumn("_pack", F.concat(F.lit(" "), F.array_join("_packs", " "), F.lit(" ")))
     found = facts(held, rules(packs), "_key", "text", "_pack", among=True)

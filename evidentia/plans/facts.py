@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import register, table
+from ..catalog import register, spread, table
 from ..operators import checks, constraints, fusion, joins, sanity
 
 
@@ -29,6 +29,7 @@ def sanity_reasons(spark, sf_dir):
         pick(text("Cep projet : ", q * 40), F.lit("Étude RT2012, Cep initial"), F.concat(F.lit("Mur isolé, e = "), _s(q + 10), F.lit(" mm")), text("Bbio du Bat.", q + 10), F.when(q > 25, "Bâti avant 1948").otherwise("Bâti en 1948"), text("Ubat ", q), F.lit("Tic ............ 20"), F.lit("saisie")).alias("excerpt"),
         F.when(k == 7, "manual:entry").otherwise("label:value").alias("method"), F.lit("THERMAL").alias("doc_type"), F.lit(False).alias("validated"), F.lit(False).alias("structured"),
     )
+    li = spread(li)
     return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "kind", sanity.reason(li).alias("reason"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..catalog import register, table
+from ..catalog import register, spread, table
 from ..operators import grouping, phased_layouts, phases, tables
 from ..streaming import journal, progress
 
@@ -76,7 +76,7 @@ def phased_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Tableau 4", "Production de chauffage", F.concat(F.lit("Combustible : "), pick(1 + F.floor(F.col("k") / 7) % 4)), F.when(F.col("k") % 3 == 0, "Mode Chauffage + ECS").otherwise("Mode Chauffage"),
     )
     text = lines("Notice thermique RT existant", F.when(F.col("c") % 2 == 0, before).otherwise(after), "4. Annexes", F.when(F.col("c") % 2 == 0, after).otherwise(before))
-    return phases.read(o.select(F.col("k").alias("doc_id"), text.alias("text")), phased_layouts.LAYOUTS).select("doc_id", "building", "phase", "field", "value_num", "value_text")
+    return phases.read(spread(o.select(F.col("k").alias("doc_id"), text.alias("text"))), phased_layouts.LAYOUTS).select("doc_id", "building", "phase", "field", "value_num", "value_text")
 
 
 def _building_id(k):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import register, table
+from ..catalog import register, spread, table
 from ..functions import names
 from ..functions.text import fold
 from ..operators import folders, headers, layouts
@@ -150,7 +150,7 @@ def _reports(spark, sf_dir):
     cctp = F.concat_ws("\n", F.lit("Descriptif"), F.concat(F.lit("Murs : laine de verre "), n(100 + p % 90), F.lit(" mm")), F.lit("Menuiseries extérieures PVC, double vitrage"), F.lit("Chauffage par pompe à chaleur"))
     other = F.concat_ws("\n", F.lit("Notice"), F.lit("Label bâtiment biosourcé, niveau 2 du label 2012"))
     kind = k % 4
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.when(kind == 0, rset).when(kind == 1, carbon).when(kind == 2, cctp).otherwise(other).alias("text"), F.when(kind == 0, "RT2012").when(kind == 1, "CARBON").when(kind == 2, "CCTP").alias("doc_type"), kind.alias("kind"))
+    return spread(table(spark, sf_dir, "orders")).select(k.alias("doc_id"), F.when(kind == 0, rset).when(kind == 1, carbon).when(kind == 2, cctp).otherwise(other).alias("text"), F.when(kind == 0, "RT2012").when(kind == 1, "CARBON").when(kind == 2, "CCTP").alias("doc_type"), kind.alias("kind"))
 
 
 @register("layout_facts", """WITH o AS (SELECT o_orderkey AS d, o_orderkey % 4 AS k, o_custkey AS p, 40 + o_custkey % 20 AS v FROM orders), b AS (SELECT d, v + i AS v, 'Bâtiment ' || n AS b FROM o, (VALUES (0, 'A'), (1, 'B2')) x(i, n) WHERE k = 0)
@@ -200,7 +200,7 @@ def hybrid_energies(spark, sf_dir):
         F.when(f == 0, text("Chauffage hybride : ", a, " en appoint, ", b)).when(f == 1, text("Bi-énergie : ", a, " et relève par ", b)).when(f == 2, text("Système hybride, ", a, " avec appoint ", b))
         .when(f == 3, text("Production bivalente ", a, " puis ", b)).when(f == 4, text(a, " | VMC hybride | ", b)).otherwise(text("Chauffage hybride ", a))
     )
-    return e.select("event_id", layouts.hybrid_energy(told).alias("energies"))
+    return spread(e.select("event_id", told.alias("t"))).select("event_id", layouts.hybrid_energy(F.col("t")).alias("energies"))
 
 
 @register("proposal_checks", """SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'field' WHEN 2 THEN 'page' WHEN 3 THEN 'not on the page' WHEN 4 THEN 'value not in the quote' WHEN 5 THEN 'short quote' END AS reason, CASE WHEN event_id % 6 = 0 THEN 10.0 + event_id % 50 END AS value_num FROM events""")
