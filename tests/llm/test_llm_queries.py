@@ -157,7 +157,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     want = {r.doc_id: "\n".join(x for x in (r.text or "").split("\n") if len(low(x)) < 40 or len(held[low(x)]) < 5 or r.doc_id == max(held[low(x)])) for r in a}
     assert {r.doc_id: r.text for r in b} == want and any(want[r.doc_id] != r.text for r in a)
     assert all(r.n_chars == len(r.text) for r in b if want[r.doc_id] != next(x.text for x in a if x.doc_id == r.doc_id))
-    a, b = kept["simhash_near_dedup"]
+    a, b = kept["near_dedup"]
     a = sorted(a, key=lambda r: r.doc_id)
     root = jaccard_groups([r.text for r in a])
     assert ids(b) == sorted(a[i].doc_id for i in set(root)) and len(b) < len(a)
@@ -180,6 +180,22 @@ def test_near_groups_against_all_pairs_with_ties(spark):
     assert [got[i] for i in range(len(texts))] == jaccard_groups(texts)
 
 
+def test_crowds_that_share_passages(spark):
+    """Crowded keys: chains of near copies, which no middle reaches, among texts that share most of a passage without being near."""
+    import random
+
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    chain = [passage + [f"c{k}" for k in range(i, i + 12)] for i in range(0, 90)]
+    loose = [passage + [f"u{i}x{k}" for k in range(30)] for i in range(60)]
+    texts = [" ".join(w) for w in chain + loose]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in near_dedup.near_components(docs, bucket=8).collect()}
+    assert [got[i] for i in range(len(texts))] == jaccard_groups(texts)
+    assert len(set(got.values())) == 61
+
+
 def clashing(docs):
     """The table with columns named as the operators name theirs."""
     for c in ("id", "i", "b", "h1", "word", "keys", "digest", "spans", "key", "slice", "k1", "hit", "seen", "start", "n", "size", "shard", "pos", "fp", "kept", "score", "rejected", "hi", "lo", "target", "draw", "x", "u", "v", "a"):
