@@ -4,9 +4,8 @@ Targets: sources share a total by weight; none gets more than `most` times its o
 weight among the others until none is above (the closed form of that loop: sources in order of limit per weight).
 Quotas: the mix is made of blocks of equal token count. Whole blocks go to the sources with the highest quotients
 target / (2k + 1), and each source's blocks to its shards in the same way by the shards' sizes, so every
-(source, shard) has an integer quota. A shard holds about shard_tokens tokens by a seeded hash of the id. With own_shards a source has as many
-shards as its own size asks for; without, every source has as many as all tokens ask for, as the SQL of op7 does: a source much smaller
-than the others then falls short of its target, by about half a block a shard.
+(source, shard) has an integer quota. A shard holds about shard_tokens tokens by a seeded hash of the id; a source has as many shards as its own size
+asks for, so a small source beside large ones keeps whole blocks and comes as near to its target.
 Selection: a shard's documents stand in seeded order on a line of tokens that is cut into blocks; a quota takes all blocks
 as often as it can and the rest as a run of blocks from a seeded start, around the end.
 
@@ -75,14 +74,14 @@ def _hash60(*parts):
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, factor: float = FACTOR,
-        most: int = MOST, block: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: str = SEED, own_shards: bool = False) -> DataFrame:
+        most: int = MOST, block: int = BLOCK_TOKENS, shard_tokens: int | None = None, seed: str = SEED) -> DataFrame:
     """(id, source, size, source_size, target, shard, taken) for each row."""
     sizes = materialize(sized(docs, id_col, text_col, source_col), "sizes")
     targets = materialize(source_targets(sizes, weights, factor, most), "targets")
     seats = targets.withColumn("seats", F.floor(F.col("total") * F.lit(float(factor)) / block + 0.5).cast("long")).withColumn("all", F.lit(1))
     blocks = sainte_lague(seats, ["all"], "target", "seats", ["pos"]).select("source", "pos", "source_size", "total", "target", F.col("quota").alias("blocks"))
 
-    shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size" if own_shards else "total") / shard_tokens))
+    shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / (shard_tokens or SHARD_TOKENS)))
     d = sizes.withColumn("s", F.coalesce("source", F.lit(""))).withColumn("no_source", F.col("source").isNull())
     t = blocks.select("pos", "source_size", "total", "target", "blocks", F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_source"))
     d = d.join(t, ["s", "no_source"]).drop("s", "no_source")

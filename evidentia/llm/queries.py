@@ -104,7 +104,7 @@ won AS (SELECT pos, count(*) AS blocks FROM (
   SELECT pos, seats, row_number() OVER (ORDER BY quotient DESC, pos, k) AS r FROM cand) WHERE r <= seats GROUP BY pos),
 line AS (
   SELECT d.doc_id, d.size, t.pos, t.source_size, t.target, coalesce(b.blocks, 0) AS blocks,
-    d.h % greatest(1, CAST(ceil(t.total / 4000000) AS BIGINT)) AS shard, d.h
+    d.h % greatest(1, CAST(ceil(t.source_size / 4000000) AS BIGINT)) AS shard, d.h
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN won b ON b.pos = t.pos),
 placed AS (SELECT *, CAST(sum(size) OVER (PARTITION BY pos, shard ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM line),
 held AS (SELECT *, sum(nb) OVER (PARTITION BY pos) AS bw, count(*) OVER (PARTITION BY pos) AS bn FROM (

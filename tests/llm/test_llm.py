@@ -354,7 +354,7 @@ def test_mix_tiny_source_beside_huge(spark):
     rows = [(i, " ".join(["w"] * 200), "huge") for i in range(200)] + [(1000 + i, " ".join(["w"] * 20), "tiny") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     by = {}
-    for r in mixing.mix(docs, block=32, shard_tokens=400, own_shards=True).collect():
+    for r in mixing.mix(docs, block=32, shard_tokens=400).collect():
         by.setdefault(r.source, [r.target, 0])[1] += r.taken
     assert all(abs(t - n) <= 0.08 * t for t, n in by.values()), by
 

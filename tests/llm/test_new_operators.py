@@ -161,3 +161,18 @@ def test_quality_edges(spark):
     again = quality.fit(docs, spark.createDataFrame([(6, 1), (6, 0), (5, 1)], "doc_id long, quality int"))
     scores = [sorted((r.doc_id or 0, r.score) for r in quality.score(docs, m).collect()) for m in (both, again)]
     assert scores[0] == scores[1] and len(scores[0]) == 7
+
+
+def test_a_source_beside_one_ten_thousand_times_its_size(spark, tmp_path, monkeypatch):
+    """The registered mix, with shards small enough that the large source has a hundred."""
+    from evidentia.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 32_000)
+    large = [(i, "w " * 800, "a", "en", 1600) for i in range(4000)]
+    small = [(10_000 + i, "w " * 20, "b", "en", 40) for i in range(16)]
+    spark.createDataFrame(large + small, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op7_mix_sources"](spark, str(tmp_path)).collect()
+    for ids in (range(4000), range(10_000, 10_016)):
+        part = [r for r in got if r.doc_id in ids]
+        assert abs(sum(r.taken for r in part) - part[0].target) <= 0.05 * part[0].target and all(r.taken <= 2 * r.size for r in part)
+    assert {r.source_size for r in got} == {3_200_000, 320}
