@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -137,6 +138,44 @@ def tagged(docs: DataFrame, tags: dict[str, list[str]], id_col: str = "doc_id",
     return d.select("doc_id", F.inline(found)).withColumn("confidence", F.lit(0.915))
 
 
+# Words that negate what follows, words that end a negation, words of a choice; how far a negation reaches.
+NEGATIONS, STOPS, CHOICES, REACH = "non|sans|aucune?|pas de|pas d", "avec|mais|sauf|hormis", "retenue?|choisie?|selection|mention|label|option|exigence", 28
+
+
+def presence(docs: DataFrame, tags: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, field, idx, value, confidence): lines that mention a field by one of its tags (three characters or more): 'Oui', or 'Non' where every mention is negated.
+
+    A negation reaches over 28 characters, up to a comma, a bar, a full stop or a stop word ('sans VMC, avec CTA': no and yes). Lines with a word of a choice are surer. Null texts
+    mention nothing.
+    """
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", re.sub("['’]", " ", t.lower())) if not unicodedata.combining(c))
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    clean = lambda t: F.trim(F.regexp_replace(F.regexp_replace(fold(t), "['’]", " "), "\\s+", " "))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.transform(lines, lambda t: clean(t))).alias("idx", "t"))
+    # Behind an explode, a line's clauses are cut once.
+    clauses = F.split("t", f"[,;|.]|\\b(?={STOPS}\\b)")
+    d = d.select("doc_id", "idx", F.col("t").rlike(f"\\b(?:{CHOICES})").alias("choice"), F.explode(F.array(clauses)).alias("clauses"))
+    rows = []
+    for field, words in tags.items():
+        pattern = "|".join(sorted((re.escape(plain(w)) for w in words if len(w) >= 3), key=len, reverse=True))
+        if not pattern:
+            continue
+        # Of each clause, what stands before the first mention tells whether it is negated.
+        before = F.transform(F.filter("clauses", _mentions(pattern)), _before(pattern))
+        rows.append(F.struct(F.lit(field).alias("field"), before.alias("before")))
+    found = d.select("doc_id", "idx", "choice", F.explode(F.array(*rows)).alias("m")).filter("size(m.before) > 0")
+    negated = F.forall("m.before", lambda b: b.rlike(f"(?:^|[^a-z0-9])(?:{NEGATIONS})[^a-z0-9].{{0,{REACH}}}$"))
+    return found.select("doc_id", "m.field", "idx", F.when(negated, "Non").otherwise("Oui").alias("value"), F.when(F.col("choice"), 0.90).otherwise(0.82).alias("confidence"))
+
+
+def _mentions(pattern: str):
+    return lambda clause: clause.rlike(f"(?<![a-z0-9])(?:{pattern})")
+
+
+def _before(pattern: str):
+    return lambda clause: F.element_at(F.split(clause, f"(?<![a-z0-9])(?:{pattern})", 2), 1)
+
+
 def value_after(text: Column, label: str, within: int = 90) -> Column:
     """The first number within so many characters after a label; null without one."""
     return fr_number(F.regexp_extract(text, f"(?is){label}([^0-9]{{0,{within}}}?[0-9][0-9 .,]*)", 1))

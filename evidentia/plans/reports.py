@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import register, spread, table
-from ..operators import grouping, phased_layouts, phases, tables
+from ..operators import extract, grouping, phased_layouts, phases, tables
 from ..streaming import journal, progress
 
 
@@ -163,3 +163,27 @@ def stream_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     with progress.rocks(spark):
         found = journal.drain(progress.estimates(rows, 12 * 3600 * 1000), "progress")
     return found.withColumn("total", F.round("total", 6)).withColumn("remaining", F.when(F.col("total").isNotNull() | (F.col("kind") == "closed"), F.round("remaining", 6)))
+
+
+_EQUIPMENT = {"vmc": ["VMC"], "cta": ["CTA", "centrale de traitement d'air"], "solar": ["panneaux solaires", "capteurs"], "lift": ["ascenseur"]}
+
+
+@register(
+    "presence_mentions",
+    """
+    WITH o AS (SELECT o_orderkey AS doc_id, CAST(floor(o_totalprice) AS BIGINT) AS p, o_custkey AS c FROM orders),
+    n AS (SELECT *, ['vmc', 'cta', 'solar', 'lift'] AS f, 1 + c % 4 AS i, 1 + (c + 1 + p % 3) % 4 AS j FROM o)
+    SELECT doc_id, idx, field, value, confidence FROM n, LATERAL (VALUES
+      (0, f[i], CASE WHEN p % 2 = 0 THEN 'Non' ELSE 'Oui' END, CAST(0.82 AS DOUBLE)), (0, f[j], CASE WHEN p % 5 < 2 THEN 'Non' ELSE 'Oui' END, 0.82),
+      (1, f[j], CASE WHEN p % 7 = 0 THEN 'Non' ELSE 'Oui' END, 0.90)) m(idx, field, value, confidence)
+    """,
+)
+def presence_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with two mentions, each negated or not, and a line of a choice, by the numbers of an order."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.floor("o_totalprice").alias("p"), F.col("o_custkey").alias("c"))
+    names = ("VMC", "centrale de traitement d'air", "Capteurs", "ascenseur")
+    name = lambda i: F.element_at(F.array(*map(F.lit, names)), (1 + i % 4).cast("int"))
+    p, first, second = F.col("p"), name(F.col("c")), name(F.col("c") + 1 + F.col("p") % 3)
+    one = F.concat(F.when(p % 2 == 0, "Bâtiment sans ").otherwise("Bâtiment à "), first, F.when(p % 5 == 0, ", aucune ").when(p % 5 == 1, " mais pas de ").when(p % 5 == 2, " avec ").otherwise(", "), second)
+    two = F.concat(F.lit("Label : "), F.when(p % 7 == 0, "non retenu ").otherwise("retenu "), second)
+    return extract.presence(spread(o.select("doc_id", F.concat_ws("\n", one, two).alias("text"))), _EQUIPMENT).select("doc_id", "idx", "field", "value", "confidence")

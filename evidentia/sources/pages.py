@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -87,11 +88,18 @@ def _sheets(content: bytes) -> Iterator[tuple[str, int, int, str]]:
         head = book.read("xl/workbook.xml").decode("utf-8", "replace")
     except (zipfile.BadZipFile, KeyError):
         return
-    titles = re.findall(r'<sheet\b[^>]*?\bname="([^"]*)"', head)
-    for k, title in enumerate(titles, 1):
-        if f"xl/worksheets/sheet{k}.xml" not in names:
+    links = {}
+    if "xl/_rels/workbook.xml.rels" in names:
+        for tag in re.findall(r"<Relationship\b[^>]*>", book.read("xl/_rels/workbook.xml.rels").decode("utf-8", "replace")):
+            one = dict(re.findall(r'\b(Id|Target)="([^"]*)"', tag))
+            links[one.get("Id")] = posixpath.normpath(posixpath.join("/xl", html.unescape(one.get("Target", "")))).lstrip("/")
+    # A sheet's file is what its relationship names; only a workbook without relationships has them by number.
+    for k, tag in enumerate(re.findall(r"<sheet\b[^>]*>", head), 1):
+        title, link = re.search(r'\bname="([^"]*)"', tag), re.search(r'\br:id="([^"]*)"', tag)
+        file = links.get(link[1], "") if link and links else f"xl/worksheets/sheet{k}.xml"
+        if not title or file not in names:
             continue
-        data = book.read(f"xl/worksheets/sheet{k}.xml").decode("utf-8", "replace")
+        title, data = title[1], book.read(file).decode("utf-8", "replace")
         for attrs, body in _CELL.findall(data):
             at = re.search(r'\br="([A-Z]+)([0-9]+)"', attrs)
             kind = re.search(r'\bt="(\w+)"', attrs)

@@ -132,3 +132,15 @@ def test_hybrid_heating(spark):
     }
     df = spark.createDataFrame([(t,) for t in want], "t string")
     assert {r.t: r.e for r in df.select("t", layouts.hybrid_energy(F.col("t")).alias("e")).collect()} == want
+
+
+def test_presence_and_negation(spark):
+    from evidentia.operators import extract
+
+    texts = ["Bâtiment sans VMC, avec CTA", "Sans VMC ni ascenseur", "Label : non retenu, ascenseur", "pas d'ascenseur mais VMC", "sans objet dans le cadre de cette opération de la VMC", "VMC\nsans CTA", None, "", "rien"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(r.doc_id, r.field, r.idx): (r.value, r.confidence) for r in extract.presence(df, {"vmc": ["VMC"], "cta": ["CTA"], "lift": ["ascenseur"], "short": ["ab"]}).collect()}
+    assert got == {
+        (0, "vmc", 0): ("Non", 0.82), (0, "cta", 0): ("Oui", 0.82), (1, "vmc", 0): ("Non", 0.82), (1, "lift", 0): ("Non", 0.82), (2, "lift", 0): ("Oui", 0.9), (3, "lift", 0): ("Non", 0.82), (3, "vmc", 0): ("Oui", 0.82),
+        (4, "vmc", 0): ("Oui", 0.82), (5, "vmc", 0): ("Oui", 0.82), (5, "cta", 1): ("Non", 0.82),
+    }

@@ -44,7 +44,35 @@ def test_reports_and_exports(spark, tmp_path):
     sinks.journal_export(df, str(tmp_path / "e"), "kind", ["t"])
     assert [r.t for r in spark.read.json(str(tmp_path / "e" / "kind=a")).collect()] == [1, 2]
     assert [r.t for r in sinks.learning_pull(df, ("a",), "kind", ["t"]).collect()] == [1, 2]
-    assert sinks.workbook({"one": df, "two": df}, str(tmp_path / "w"), most=2) == {"one": 2, "two": 2}
+    # A head and one row a sheet: the others go to further sheets, none is lost.
+    assert sinks.workbook({"one": df, "two": df}, str(tmp_path / "w"), most=2) == {"one": 3, "two": 3}
+
+
+def test_workbooks_keep_every_row(spark, tmp_path):
+    odd = ["a & <b>", "  spaces ", "Été\u0001 \n line", None, ""]
+    df = spark.range(25).selectExpr("id", "id / 8 as part", "cast(null as string) as none").repartition(2).withColumn("text", F.element_at(F.array(*map(F.lit, odd)), (F.col("id") % 5 + 1).cast("int")))
+    empty = df.filter("id < 0").coalesce(1)
+    assert sinks.workbook({"Été": df, "none": empty}, str(tmp_path), most=6) == {"Été": 25, "none": 0}
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(str(tmp_path / "Été")).select("path", "content")
+    cells = pages.spreadsheets(files).collect()
+    per = {}
+    for c in cells:
+        per.setdefault((c.path, c.sheet), {}).setdefault(c.row, {})[c.col] = c.text
+    assert all(set(rows) <= set(range(6)) and rows[0] == {0: "id", 1: "part", 2: "none", 3: "text"} for rows in per.values()) and len(per) >= 5
+    got = sorted((int(r[0]), float(r[1]), r.get(3)) for rows in per.values() for at, r in rows.items() if at)
+    shown = ["a & <b>", "spaces", "Été \n line", None, None]
+    assert got == [(i, i / 8, shown[i % 5]) for i in range(25)]
+
+
+def test_moved_sheets_have_their_names(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook><sheets><sheet name="B" sheetId="7" r:id="rId9"/><sheet name="gone" sheetId="8" r:id="rId4"/><sheet name="A" sheetId="2" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId9" Target="/xl/worksheets/sheet5.xml"/></Relationships>')
+        for k, v in ((1, "one"), (5, "five"), (2, "old")):
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<worksheet><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>{v}</t></is></c></row></sheetData></worksheet>')
+    files = spark.createDataFrame([("a.xlsx", out.getvalue())], "path string, content binary")
+    assert {(r.sheet, r.text) for r in pages.spreadsheets(files).collect()} == {("A", "one"), ("B", "five")}
 
 
 def test_registry_in_buckets_and_replays(spark, tmp_path):
