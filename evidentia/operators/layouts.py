@@ -53,7 +53,7 @@ def headings(lines: Column) -> Column:
         first, rest = F.element_at(x["words"], 1), F.slice(x["words"], 2, F.greatest(F.size(x["words"]), F.lit(1)))
         short = first.rlike("^(?i:[A-Z]{1,3}[0-9]{0,3}|[0-9]{1,3}|[A-Z][0-9]?/[A-Z][0-9]?)$")
         row = F.exists(rest, lambda t: t.rlike("[0-9][.,][0-9]|%|²|(?i)m3 ?/ ?h|kwh")) | (F.size(F.filter(rest, lambda t: t.rlike("^-?[0-9]+(?:[.,][0-9]+)?$"))) >= 2)
-        return F.struct(x["at"].alias("at"), x["t"].alias("t"), x["told"].alias("told"), x["raw"].alias("raw"), names.canonical(F.when(row, F.when(short, first)).otherwise(x["raw"])).alias("shown"))
+        return F.struct(x["at"].alias("at"), x["t"].alias("t"), x["told"].alias("told"), x["raw"].alias("raw"), names.repair(names.canonical(F.when(row, F.when(short, first)).otherwise(x["raw"]))).alias("shown"))
 
     def good(x: Column) -> Column:
         sentence = x["t"].rlike("^ ?b") & ~x["raw"].rlike("^[A-Z0-9][A-Z0-9._/-]{0,4}$") | x["raw"].rlike("[.;!?] ?$") & x["raw"].contains(" ")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import register, spread, table
+from ..functions import names
 from ..operators import extract, grouping, phased_layouts, phases, tables
 from ..streaming import journal, progress
 
@@ -187,3 +188,23 @@ def presence_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.concat(F.when(p % 2 == 0, "Bâtiment sans ").otherwise("Bâtiment à "), first, F.when(p % 5 == 0, ", aucune ").when(p % 5 == 1, " mais pas de ").when(p % 5 == 2, " avec ").otherwise(", "), second)
     two = F.concat(F.lit("Label : "), F.when(p % 7 == 0, "non retenu ").otherwise("retenu "), second)
     return extract.presence(spread(o.select("doc_id", F.concat_ws("\n", one, two).alias("text"))), _EQUIPMENT).select("doc_id", "idx", "field", "value", "confidence")
+
+
+_TAILS = (" - 08-02-2020", " - RAPPORT PROMOTELEC", " - RT2012", "......73", " REGLEMENTAIRE", "", " (RE2020)")
+_LABELS = ("A usage d'habitation", "CONDITIONS DE BASE", "257 KW.", "ZONES GROUPES")
+
+
+@register(
+    "mended_names",
+    """
+    WITH c AS (SELECT c_custkey AS k, chr(CAST(65 + c_custkey % 26 AS INTEGER)) || (c_custkey // 26) % 1000 AS id, CAST(floor(abs(c_acctbal)) AS BIGINT) AS b FROM customer)
+    SELECT k, CASE WHEN b % 5 <> 0 THEN 'Bâtiment ' || id || CASE WHEN b % 3 = 0 THEN ' NORD' ELSE '' END END AS name FROM c
+    """,
+)
+def mended_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with what reports put behind them, and headings that are no names."""
+    k, b = F.col("c_custkey"), F.floor(F.abs("c_acctbal"))
+    pick = lambda words, i: F.element_at(F.array(*map(F.lit, words)), (1 + i % len(words)).cast("int"))
+    name = F.concat(_building_id(k), F.when(b % 3 == 0, " NORD").otherwise(""), pick(_TAILS, F.floor(b / 7) + k))
+    label = F.concat(F.lit("Bâtiment "), F.when(b % 5 == 0, pick(_LABELS, F.floor(b / 5))).otherwise(name))
+    return spread(table(spark, sf_dir, "customer").select(k.alias("k"), label.alias("label"))).select("k", names.repair(F.col("label")).alias("name"))
