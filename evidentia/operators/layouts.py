@@ -280,6 +280,33 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", type_
     return out.select("doc_id", F.col(type_col).alias("doc_type"), "building", "field", "w.value_num", "w.value_text", "w.confidence", "w.method")
 
 
+def clean_facts(docs: DataFrame, whitelist: dict[str, tuple[str, ...]], id_col: str = "doc_id", text_col: str = "text", type_col: str = "doc_type") -> DataFrame:
+    """(doc_id, doc_type, building, field, value_num, value_text, confidence, method, rank): what documents say, from text to readings that may be compared.
+
+    The packs and the layouts with phases read the text; what comes from both comes once, from the phases. Fields that the whitelist doesn't have for any of the document's families go (families
+    without an entry have all), then weak readings beside strong ones, then what can't be true; the rest is spelled alike and ranked by its place.
+    """
+    from .fusion import prune_shadowed, semantic_rank
+    from .phased_layouts import LAYOUTS
+    from .phases import read
+    from .sanity import sanitize
+
+    packs = parse(docs, id_col, text_col, type_col)
+    kinds = docs.select(F.col(id_col).alias("doc_id"), F.col(type_col).alias("doc_type"), fold(plain(F.col(text_col))).alias("_norm"))
+    kinds = _once(kinds, families=families(F.col("doc_type"), F.col("_norm"))).drop("_norm")
+    staged = read(docs, LAYOUTS, id_col, text_col).withColumnRenamed(id_col, "doc_id").withColumnRenamed("rule", "method")
+    staged = staged.groupBy("doc_id", "building", "field").agg(F.max_by(F.struct("value_num", "value_text", "confidence", "method"), F.struct("confidence", "method")).alias("w")).select("doc_id", "building", "field", "w.*")
+    cols = ["doc_id", "building", "field", "value_num", "value_text", "confidence", "method"]
+    found = staged.select(cols).unionByName(packs.select(cols).join(staged.select("doc_id", "building", "field"), ["doc_id", "building", "field"], "left_anti"))
+    found = found.join(kinds, "doc_id")
+    known = F.create_map(*[x for f, fields in whitelist.items() for x in (F.lit(f), F.array(*map(F.lit, fields)))]) if whitelist else F.create_map().cast("map<string,array<string>>")
+    found = found.filter(F.exists("families", lambda f: known[f].isNull() | F.array_contains(known[f], F.col("field")))).drop("families")
+    found = found.withColumn("excerpt", F.lit(None).cast("string")).withColumn("validated", F.lit(False)).withColumn("structured", F.lit(False))
+    kept = sanitize(prune_shadowed(found))
+    rank = semantic_rank(F.col("doc_type"), F.col("method"), F.col("excerpt"))
+    return kept.select("doc_id", "doc_type", "building", "field", "value_num", "value_text", "confidence", "method", rank.alias("rank"))
+
+
 def add_missing(own: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
     """own, and the rows of more whose keys it does not have."""
     return own.unionByName(more.join(own.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..catalog import register, spread, table
 from ..functions import names
-from ..operators import extract, grouping, phased_layouts, phases, tables
+from ..operators import extract, grouping, layouts, phased_layouts, phases, tables
 from ..streaming import journal, progress
 
 
@@ -208,3 +208,27 @@ def mended_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(_building_id(k), F.when(b % 3 == 0, " NORD").otherwise(""), pick(_TAILS, F.floor(b / 7) + k))
     label = F.concat(F.lit("Bâtiment "), F.when(b % 5 == 0, pick(_LABELS, F.floor(b / 5))).otherwise(name))
     return spread(table(spark, sf_dir, "customer").select(k.alias("k"), label.alias("label"))).select("k", names.repair(F.col("label")).alias("name"))
+
+
+@register(
+    "clean_facts",
+    """
+    WITH o AS (SELECT o_orderkey AS doc_id, CAST(floor(o_totalprice) AS BIGINT) AS p, o_orderkey % 3 AS kind FROM orders)
+    SELECT doc_id, 'Bâtiment unique' AS building, f.field, CAST(f.value_num AS DOUBLE) AS value_num, f.value_text FROM o, LATERAL (VALUES
+      (CASE WHEN kind = 0 THEN 'cep_before' END, CASE WHEN 5 + p % 3000 BETWEEN 10 AND 1499 THEN 5 + p % 3000 END, NULL), (CASE WHEN kind = 0 THEN 'cep_after_final' END, 50 + p % 40, NULL), (CASE WHEN kind = 0 THEN 'heating_vector_before' END, NULL, 'Fioul'),
+      (CASE WHEN kind = 1 THEN 'wall_insulation_thickness' END, 20 + p % 200, NULL), (CASE WHEN kind = 1 THEN 'window_material' END, NULL, 'PVC')
+    ) f(field, value_num, value_text) WHERE f.field IS NOT NULL AND (f.value_num IS NOT NULL OR f.value_text IS NOT NULL)
+    """,
+)
+def clean_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From texts to clean readings: values out of range, fields that aren't wanted of a family, and texts that say nothing go."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.floor("o_totalprice").alias("p"), (F.col("o_orderkey") % 3).alias("kind"))
+    lines = lambda *x: F.concat_ws("\n", *[F.lit(v) if isinstance(v, str) else v for v in x])
+    told = lambda before, n, after: F.concat(F.lit(before), n.cast("long").cast("string"), F.lit(after))
+    p = F.col("p")
+    notice = lines("Notice thermique RT existant", "3. Etat projeté", told("Cep (kWh/(m²SRT.an)) ", 50 + p % 40, ",0"), "VMC double flux", "2. Etat existant", told("Cep (kWh/(m²SRT.an)) ", 5 + p % 3000, ",0"), "Production de chauffage", "Combustible Fioul")
+    cctp = lines("Descriptif", told("Murs : laine de verre ", 20 + p % 200, " mm"), "Menuiseries extérieures PVC, double vitrage", "Chauffage par pompe à chaleur")
+    kind = F.when(F.col("kind") == 0, "RT_EXISTING").when(F.col("kind") == 1, "CCTP")
+    docs = o.select("doc_id", F.when(F.col("kind") == 0, notice).when(F.col("kind") == 1, cctp).otherwise("Note sans valeur").alias("text"), kind.alias("doc_type"))
+    wanted = {"thcex": ("cep_before", "cep_after_final", "heating_vector_before"), "cctp": ("wall_insulation_thickness", "window_material")}
+    return layouts.clean_facts(spread(docs), wanted).select("doc_id", "building", "field", "value_num", "value_text")
