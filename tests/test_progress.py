@@ -45,3 +45,11 @@ def test_smoothing_by_hand(spark, tmp_path):
     second, third = 20 * 0.72 + 20 * 0.28, (20 * 0.72 + 20 * 0.28) * 0.72 + 10 / 0.75 * 0.28
     want = [(1, base, "progress", 0.001, 0.05, 20.0, 19.999), (1, base + 5000, "progress", 5.0, 0.25, second, second - 5), (1, base + 10000, "progress", 10.0, 0.75, third, third - 10), (1, base + 10000, "closed", 10.0, 0.75, third, 0.0)]
     assert [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in got] == sorted([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in want], key=repr)
+
+def test_times_are_rounded_to_the_nearest_millisecond(spark, tmp_path):
+    t = lambda us: dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=us)
+    rows = [(1, t(499), 1, 0, 0.1, 2, None), (1, t(2_000_500), 2, 0, 0.2, 2, None), (9, t(700_000_000_000), 3, 0, 1.0, 1, None)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = [r for r in run(spark, str(tmp_path / "in"), str(tmp_path / "out")) if r[0] == 1]
+    base = 1704067200000
+    assert [r[1:4] for r in got] == [(base, "progress", 0.001), (base + 2001, "closed", 2.001), (base + 2001, "progress", 2.001)]
