@@ -28,9 +28,11 @@ def document_status(docs: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def completion(rows: DataFrame, op: str, expected: list[str]) -> DataFrame:
-    """(op, pct): the mean over buildings of the share of expected columns that are filled, in whole percent."""
+    """(op, pct): the mean over buildings of the share of expected columns that are filled, in whole percent; halves, told from whole numbers, go up."""
     filled = sum((F.when(F.trim(F.col(c).cast("string")) != "", 1).otherwise(0) for c in expected), F.lit(0))
-    return rows.groupBy(op).agg(F.floor(F.avg(filled / float(len(expected))) * 100 + 0.5).cast("int").alias("pct"))
+    half = F.count(F.lit(1)) * len(expected)
+    g = rows.groupBy(op).agg((200 * F.sum(filled) + half).alias("_n"), F.nullif(2 * half, F.lit(0)).alias("_d"))
+    return g.select(op, ((F.col("_n") - F.col("_n") % F.col("_d")) / F.col("_d")).cast("int").alias("pct"))
 
 
 def levels(table: DataFrame, by: list[str], level: str, names: tuple[str, ...] = ("certified", "sure", "probable", "to-check")) -> DataFrame:
