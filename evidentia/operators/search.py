@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import as_double, mask_rules, number_with_unit, numbers_in
 from ..functions.text import fold
+from .layouts import _once
 
 
 def _plain(term: str) -> str:
@@ -87,14 +88,30 @@ def normalized(rows: list[dict]) -> list[Criterion]:
 NOTHING, AGAINST, FOR = 0, 1, 2
 
 
-def _marker(c: Criterion):
-    """Of a line: (what it says, its number in the range or else its first one)."""
+def _marks(c: Criterion) -> Column:
+    """(i, says, value, denied) of the lines that have a keyword or a term of denial: their place, what they say, their number in the range or else the first one.
 
-    def hit(t, i):
-        lines = F.col("_l")
-        strong = any_term(t, c.keywords)
-        weak = any_term(t, c.weak) & ~strong
-        ok = (strong | weak) & ~any_term(t, c.exclude)
+    Patterns on the keywords run over all lines; everything else only over those found. Each step is a transform of its own, so nothing in it is evaluated twice.
+    """
+    lines = F.col("_l")
+    some = F.filter(F.transform(lines, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: any_term(x["t"], (*c.keywords, *c.weak, *c.negative)))
+    some = F.transform(some, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"), any_term(x["t"], c.keywords).alias("strong"), any_term(x["t"], c.negative).alias("denied")))
+    some = F.transform(some, lambda x: F.struct(x["i"].alias("i"), x["t"].alias("t"), x["denied"].alias("denied"), (any_term(x["t"], c.weak) & ~x["strong"]).alias("weak"), ((x["strong"] | any_term(x["t"], c.weak)) & ~any_term(x["t"], c.exclude)).alias("ok")))
+
+    def found(x: Column) -> Column:
+        t, after = x["t"], F.get(lines, x["i"] + 1)
+        captured = [p[3:] for p in c.keywords if p.startswith("re:") and re.compile(p[3:]).groups]
+        found = number_with_unit(t, c.unit) if c.unit else numbers_in(t)
+        for p in captured:
+            own = F.array_compact(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), as_double))
+            found = F.when(F.size(own) > 0, own).otherwise(found)
+        if c.kind == "number":  # a label without a digit goes with the number on the next line
+            follow = number_with_unit(after, c.unit) if c.unit else numbers_in(after)
+            found = F.when((F.size(found) == 0) & ~t.rlike("[0-9]") & after.isNotNull(), follow).otherwise(found)
+        return found
+
+    def hit(x: Column) -> Column:
+        t, i, ok, against = x["t"], x["i"], x["ok"], x["weak"]
         before, after = F.get(lines, i - 1), F.get(lines, i + 1)
         if c.exclude_near:
             ok = ok & ~F.coalesce(any_term(before, c.exclude_near), F.lit(False)) & ~F.coalesce(any_term(after, c.exclude_near), F.lit(False))
@@ -105,7 +122,6 @@ def _marker(c: Criterion):
         else:
             start = F.greatest(i - c.window, F.lit(0))
             near = F.slice(lines, start + 1, i + c.window + 1 - start)
-        against = weak
         if c.contrary_near:
             contrary = F.exists(near, lambda x: any_term(x, c.contrary_near))
             against = against | contrary
@@ -114,24 +130,18 @@ def _marker(c: Criterion):
             ok = ok & (there | contrary if c.contrary_near else there)
         for term in c.all_of:
             against = against | ~_near_has(near, term)
-        denied = any_term(t, c.negative) if c.negative else F.lit(False)
         value = F.lit(None).cast("double")
         if c.kind in ("number", "stats"):
-            captured = [p[3:] for p in c.keywords if p.startswith("re:") and re.compile(p[3:]).groups]
-            found = number_with_unit(t, c.unit) if c.unit else numbers_in(t)
-            for p in captured:
-                own = F.array_compact(F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(1)), as_double))
-                found = F.when(F.size(own) > 0, own).otherwise(found)
-            if c.kind == "number":  # a label without a digit goes with the number on the next line
-                follow = number_with_unit(after, c.unit) if c.unit else numbers_in(after)
-                found = F.when((F.size(found) == 0) & ~t.rlike("[0-9]") & after.isNotNull(), follow).otherwise(found)
-            inside = F.filter(found, lambda v: v.between(c.low, c.high))
-            value = F.coalesce(F.get(inside, F.lit(0)), F.get(found, F.lit(0)) if c.kind == "number" else F.lit(None).cast("double"))
+            value = F.coalesce(F.get(x["inside"], F.lit(0)), F.get(x["found"], F.lit(0)) if c.kind == "number" else F.lit(None).cast("double"))
             ok = ok & value.isNotNull()
-            against = against | (F.size(inside) == 0)
-        return F.struct(F.when(ok & ~denied, F.when(against, AGAINST).otherwise(FOR)).otherwise(NOTHING).alias("says"), value.alias("value"), denied.alias("denied"))
+            against = against | (F.size(x["inside"]) == 0)
+        return F.struct(i.alias("i"), F.when(ok & ~x["denied"], F.when(against, AGAINST).otherwise(FOR)).otherwise(NOTHING).alias("says"), value.alias("value"), x["denied"].alias("denied"))
 
-    return hit
+    if c.kind in ("number", "stats"):
+        kept = ("i", "t", "denied", "weak", "ok")
+        some = F.transform(some, lambda x: F.struct(*[x[k].alias(k) for k in kept], found(x).alias("found")))
+        some = F.transform(some, lambda x: F.struct(*[x[k].alias(k) for k in (*kept, "found")], F.filter(x["found"], lambda v: v.between(c.low, c.high)).alias("inside")))
+    return F.transform(some, hit)
 
 
 def _near_has(near: Column, term: str) -> Column:
@@ -145,18 +155,19 @@ def grid(docs: DataFrame, criteria: list[Criterion], id_col: str = "doc_id", tex
     speaks against; else UNDETERMINED. An inverse criterion is never present: what it finds is contrary. Null texts are never read, so nothing is inferred from them. values are
     the numbers found (of stats those in the range, up to `values`), lines the first `evidences` lines. Criteria of kind field are left to field_criteria.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).isNotNull().alias("_read"), F.split(fold(F.coalesce(F.col(text_col), F.lit(""))), "\n").alias("_l"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).isNotNull().alias("_read"), F.col(text_col).alias("_text"))
+    d = _once(d, _l=F.split(fold(F.coalesce(F.col("_text"), F.lit(""))), "\n")).drop("_text")
+    asked = [c for c in criteria if c.kind != "field"]
+    d = _once(d, **{f"_m{k}": _marks(c) for k, c in enumerate(asked)})
+    d = _once(d, **{f"_a{k}": F.filter(f"_m{k}", lambda m: m["says"] > NOTHING) for k in range(len(asked))})
+    d = _once(d, **{f"_y{k}": F.filter(f"_a{k}", lambda m: m["says"] == FOR) for k in range(len(asked))})
     out = []
-    for c in criteria:
-        if c.kind == "field":
-            continue
-        marks = F.transform("_l", _marker(c))
-        at = F.filter(F.transform(marks, lambda m, i: F.struct(i.alias("i"), m["says"].alias("says"), m["value"].alias("value"))), lambda m: m["says"] > NOTHING)
-        yes = F.filter(at, lambda m: m["says"] == FOR)
+    for k, c in enumerate(asked):
+        at, yes = F.col(f"_a{k}"), F.col(f"_y{k}")
         seen = (F.size(yes) > 0) if not c.inverse else F.lit(False)
         contrary = (F.size(at) > 0) & ((F.size(yes) == 0) if not c.inverse else F.lit(True))
         nothing = F.when(F.lit(c.kind != "presence"), "NOT_GIVEN").when(F.lit(c.inferred and not c.inverse) & F.col("_read") & ~contrary, "ABSENT_INFERRED").otherwise("UNDETERMINED")
-        denied = F.exists(marks, lambda m: m["denied"]) & F.lit(not c.inverse)
+        denied = F.exists(f"_m{k}", lambda m: m["denied"]) & F.lit(not c.inverse)
         status = F.when(seen, "PRESENT").when(denied, "ABSENT_EXPLICIT").otherwise(nothing)
         numbers = F.slice(F.array_compact(F.transform(yes if c.kind == "stats" else at, lambda m: m["value"])), 1, values)
         shown = F.slice(F.transform(at, lambda m: F.get("_l", m["i"])), 1, evidences)

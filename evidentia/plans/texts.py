@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import register, table
+from ..catalog import register, spread, table
 from ..functions import numbers
 from ..functions.text import fold
 from ..operators import extract, search
@@ -105,7 +105,7 @@ g AS (SELECT doc_id, min(i) FILTER (a) AS a, min(i) FILTER (b) AS b, min(i) FILT
 SELECT doc_id, 'licence' AS criterion, CASE WHEN a IS NULL THEN 'ABSENT_INFERRED' ELSE 'PRESENT' END AS status, CAST(a AS INTEGER) AS first_line FROM g
 UNION ALL SELECT doc_id, 'version', CASE WHEN b IS NULL THEN 'NOT_GIVEN' ELSE 'PRESENT' END, CAST(b AS INTEGER) FROM g UNION ALL SELECT doc_id, 'near', CASE WHEN c IS NULL THEN 'UNDETERMINED' ELSE 'PRESENT' END, CAST(c AS INTEGER) FROM g""")
 def search_grid_status(spark, sf_dir):
-    return search.grid(table(spark, sf_dir, "documents"), GRID).select("doc_id", "criterion", "status", "first_line")
+    return search.grid(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), GRID).select("doc_id", "criterion", "status", "first_line")
 
 
 @register("text_quality", rf"""WITH d AS (SELECT doc_id, {_FOLDED} AS n, length(regexp_replace(text, '\s', '', 'g')) AS solid, list_filter(string_split_regex({_FOLDED}, '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
