@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..operators.layouts import _once
 
 _LIST = "array<struct<{}>>"
 _ZONES_OUT = "Sortie_Zone_D_Collection struct<Sortie_Zone_D: array<struct<Index: int, Sortie_Groupe_D_Collection: struct<Sortie_Groupe_D: array<struct<Name: string, O_NbDegresHeures: double, O_NbDegresHeures_max: double>>>>>>"
@@ -37,7 +38,8 @@ CEP_BY_VECTOR = {"gaz": "cep_gas", "elec": "cep_electricity", "bois": "cep_bioma
 def parse(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
     """(id, x): the studies as structs; x is null for null or unreadable XML and for other documents."""
     x = F.from_xml(F.col(xml_col), SCHEMA, {"mode": "PERMISSIVE", "rowTag": "projet"})
-    parsed = docs.select(F.col(id_col).alias("id"), x.alias("x"))
+    # Read once a row: what filters and takes apart the result would else hold the reading itself, each time anew.
+    parsed = _once(docs, x=x).select(F.col(id_col).alias("id"), "x")
     return parsed.withColumn("x", F.when(F.col("x.RSET").isNotNull() | F.col("x.RSEnv").isNotNull(), F.col("x")))
 
 
@@ -128,7 +130,7 @@ CERTIFICATE = "administratif struct<date_etablissement_dpe: string, dpe_a_rempla
 def certificates(docs: DataFrame, id_col: str, xml_col: str) -> DataFrame:
     """(id, reference, study_date, address, postcode, city, construction_year, shab, housing_count, energy, carbon, energy_class, carbon_class) of certificates in XML; the classes are read, null where they are not there."""
     x = F.from_xml(F.col(xml_col), CERTIFICATE, {"mode": "PERMISSIVE", "rowTag": "dpe"})
-    d = docs.select(F.col(id_col).alias("id"), x.alias("x")).filter("x.logement is not null")
+    d = _once(docs, x=x).select(F.col(id_col).alias("id"), "x").filter("x.logement is not null")
     a, g, s = "x.administratif.geolocalisation.adresses.adresse_bien", "x.logement.caracteristique_generale", "x.logement.sortie"
     return d.select(
         "id", F.col("x.administratif.reference_interne_projet").alias("reference"), F.to_date("x.administratif.date_etablissement_dpe").alias("study_date"), F.col(f"{a}.ban_label").alias("address"), F.col(f"{a}.ban_postcode").alias("postcode"), F.col(f"{a}.ban_city").alias("city"),
