@@ -70,8 +70,8 @@ def tagged_sheets(cells: DataFrame, catalog: DataFrame, aliases: DataFrame | Non
     known = head.join(match_headers(head, catalog, aliases, "text"), F.col("text") == F.col("header")).select(by, "row", "col", "field")
     rows = known.groupBy(by, "row").agg(F.countDistinct("field").alias("n")).filter(F.col("n") >= least)
     top = rows.groupBy(by).agg(F.max_by("row", F.struct("n", (-F.col("row")).alias("r"))).alias("_head"))
-    cols = known.join(top, by).filter("row = _head").groupBy(by, "_head", "field").agg(F.min("col").alias("col"))
-    return cells.join(cols, [by, "col"]).filter((F.col("row") > F.col("_head")) & (F.trim("text") != "")).select(by, "row", "field", F.trim("text").alias("value"), F.lit(TABLE_CONFIDENCE).alias("confidence"))
+    cols = known.join(top.hint("merge"), by).filter("row = _head").groupBy(by, "_head", "field").agg(F.min("col").alias("col"))
+    return cells.join(cols.hint("merge"), [by, "col"]).filter((F.col("row") > F.col("_head")) & (F.trim("text") != "")).select(by, "row", "field", F.trim("text").alias("value"), F.lit(TABLE_CONFIDENCE).alias("confidence"))
 
 
 def operation_rows(values: DataFrame, existing: DataFrame, by: str = "doc_id") -> DataFrame:
@@ -84,7 +84,7 @@ def operation_rows(values: DataFrame, existing: DataFrame, by: str = "doc_id") -
     keys = values.groupBy(by, "row").agg(at("contract_number").alias("c"), at("internal_code").alias("i"), at("building").alias("building"))
     contract = F.when(F.char_length(digits(F.col("c"))).between(1, 8), F.lpad(digits(F.col("c")), 8, "0"))
     keys = keys.select(by, "row", F.coalesce(contract, "i").alias("operation"), F.coalesce("building", F.lit("Bâtiment unique")).alias("building")).filter("operation is not null")
-    new = values.filter(~F.col("field").isin("contract_number", "internal_code", "building")).join(keys, [by, "row"]).groupBy("operation", "building", "field").agg(F.min_by("value", F.struct(by, "row")).alias("new"))
+    new = values.filter(~F.col("field").isin("contract_number", "internal_code", "building")).join(keys.hint("merge"), [by, "row"]).groupBy("operation", "building", "field").agg(F.min_by("value", F.struct(by, "row")).alias("new"))
     j = new.join(existing.select("operation", "building", "field", F.col("value").alias("old")), ["operation", "building", "field"], "full")
     change = F.when(F.col("new").isNull(), "kept").when(F.col("old").isNull() | (F.trim("old") == ""), "filled").when(F.col("old") == F.col("new"), "kept").otherwise("conflict")
     return j.select("operation", "building", "field", F.when(change == "filled", F.col("new")).otherwise(F.col("old")).alias("value"), change.alias("change"))
@@ -113,8 +113,9 @@ def export_records(cells: DataFrame, by: str = "doc_id", within: int = 40) -> Da
     """
     r = cells.withColumn("role", role(F.col("text")))
     head = r.filter(F.col("row") < within).groupBy(by).agg(F.min(F.when(F.col("role").isin("contract", "code"), F.col("row"))).alias("h"), F.min("row").alias("first")).select(by, F.coalesce("h", "first").alias("_head"))
-    cols = r.join(head, by).filter("row = _head and role is not null").groupBy(by, "_head", "role").agg(F.min("col").alias("col"))
-    held = cells.join(cols, [by, "col"]).filter("row > _head").groupBy(by, "row").pivot("role", list(ROLES)).agg(F.first("text"))
+    # A sheet is many cells of a small table, so estimates would broadcast rows for every sheet: these joins are merged.
+    cols = r.join(head.hint("merge"), by).filter("row = _head and role is not null").groupBy(by, "_head", "role").agg(F.min("col").alias("col"))
+    held = cells.join(cols.hint("merge"), [by, "col"]).filter("row > _head").groupBy(by, "row").pivot("role", list(ROLES)).agg(F.first("text"))
     solid = lambda c: F.regexp_replace(c, "\\s", "")
     tidy = lambda c: F.nullif(F.trim(F.regexp_replace(c, "\\s+", " ")), F.lit(""))
     code = F.lpad(solid(F.col("postcode")), 5, "0")
@@ -130,4 +131,4 @@ def contract_column(cells: DataFrame, by: str = "doc_id") -> DataFrame:
     key = F.when(F.regexp_replace("text", "\\s", "").rlike("^[0-9]{3,8}$"), F.lpad(F.regexp_replace("text", "\\s", ""), 8, "0"))
     k = cells.withColumn("contract", key).filter("contract is not null")
     col = k.groupBy(by, "col").agg(F.countDistinct("contract").alias("n")).groupBy(by).agg(F.max_by("col", F.struct("n", (-F.col("col")).alias("c"))).alias("_col"))
-    return k.join(col, by).filter("col = _col").select(by, "contract").distinct()
+    return k.join(col.hint("merge"), by).filter("col = _col").select(by, "contract").distinct()
