@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import fold
 
@@ -88,9 +89,10 @@ def prune_shadowed(facts: DataFrame) -> DataFrame:
     m = F.coalesce("method", F.lit(""))
     strong = F.when(F.col("doc_type") == "RSENV", m.rlike("^rsenv:(?:building|lot)-summary")).when(F.col("doc_type") == "RT2012", m.rlike("^rt2012:chapter2-|^rset:(?:chapter2-|bbio-table|rt2012-cep-table)"))
     weak = F.when(F.col("doc_type") == "RSENV", ~m.rlike("^rsenv:(?:building|lot)-summary")).when(F.col("doc_type") == "RT2012", m.rlike("rset:(?:bbio|cep|cepnr)-summary-row|generic:regulatory-label"))
-    marked = facts.withColumn("_weak", F.coalesce(weak, F.lit(False)) & ~F.coalesce("validated", F.lit(False)))
-    held = facts.filter(F.coalesce(strong, F.lit(False))).select("doc_id", "field").distinct()
-    return marked.filter("not _weak").unionByName(marked.filter("_weak").join(held, ["doc_id", "field"], "left_anti")).drop("_weak")
+    # By a window and not by a join of the facts with themselves, which would put all that they come from into the plan three times.
+    of = Window.partitionBy("doc_id", "field")
+    shadowed = F.coalesce(weak, F.lit(False)) & ~F.coalesce("validated", F.lit(False)) & F.max(F.coalesce(strong, F.lit(False))).over(of) & F.col("doc_id").isNotNull() & F.col("field").isNotNull()
+    return facts.withColumn("_shadowed", shadowed).filter("not _shadowed").drop("_shadowed")
 
 
 def learned_fill(candidates: DataFrame, finals: DataFrame, least: float = 0.85) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import names
 from ..functions.numbers import fr_number
@@ -297,8 +298,11 @@ def clean_facts(docs: DataFrame, whitelist: dict[str, tuple[str, ...]], id_col:
     staged = read(docs, LAYOUTS, id_col, text_col).withColumnRenamed(id_col, "doc_id").withColumnRenamed("rule", "method")
     staged = staged.groupBy("doc_id", "building", "field").agg(F.max_by(F.struct("value_num", "value_text", "confidence", "method"), F.struct("confidence", "method")).alias("w")).select("doc_id", "building", "field", "w.*")
     cols = ["doc_id", "building", "field", "value_num", "value_text", "confidence", "method"]
-    found = staged.select(cols).unionByName(packs.select(cols).join(staged.select("doc_id", "building", "field"), ["doc_id", "building", "field"], "left_anti"))
-    found = found.join(kinds, "doc_id")
+    both = staged.select(*cols, F.lit(True).alias("_staged")).unionByName(packs.select(*cols, F.lit(False).alias("_staged")))
+    told = F.max("_staged").over(Window.partitionBy("doc_id", "building", "field"))
+    found = both.withColumn("_told", told).filter("_staged or not _told").drop("_staged", "_told")
+    # A row for each document, however small the table is that it is made from: never broadcast.
+    found = found.join(kinds.hint("merge"), "doc_id")
     known = F.create_map(*[x for f, fields in whitelist.items() for x in (F.lit(f), F.array(*map(F.lit, fields)))]) if whitelist else F.create_map().cast("map<string,array<string>>")
     found = found.filter(F.exists("families", lambda f: known[f].isNull() | F.array_contains(known[f], F.col("field")))).drop("families")
     found = found.withColumn("excerpt", F.lit(None).cast("string")).withColumn("validated", F.lit(False)).withColumn("structured", F.lit(False))
@@ -328,7 +332,6 @@ def pages_to_ask(pages: DataFrame, tags: dict[str, list[str]], labels: dict[str,
     """(doc_id, page, text) of pages (doc_id, page, text): the best pages of each document, up to `most`, in order; a document of few pages without any match gives its first ones. Texts are cut as asked for."""
     p = pages.filter(F.trim("text") != "").withColumn("norm", fold(plain(F.col("text"))))
     p = p.withColumn("score", page_scores(p, tags, labels))
-    from pyspark.sql.window import Window
 
     w = Window.partitionBy("doc_id")
     p = p.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_hits", F.count_if(F.col("score") > 0).over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.col("score").desc(), "page")))
