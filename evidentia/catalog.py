@@ -31,3 +31,8 @@ def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as the session runs tasks at once: a small file is one split, and what is read from it may be dear to work on."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def small_methods(spark: SparkSession) -> None:
+    """Has the session cut generated code at the size of a method that the JVM still compiles; many patterns in one projection would run interpreted."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..catalog import small_methods
 from ..functions.numbers import as_double
+from ..functions.text import bears
 
 WHOLE = "Bâtiment unique"
 _NUMBER = "-?[0-9]+(?: [0-9]{3})*(?:[.,][0-9]+)?(?![0-9])"
@@ -86,125 +88,197 @@ class Layout:
 
 
 def _numbers(text: Column, cells: bool) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(f"({_CELLS if cells else _NUMBER})"), F.lit(1)), as_double)
+    """The numbers of a text as they are written."""
+    return F.regexp_extract_all(text, F.lit(f"({_CELLS if cells else _NUMBER})"), F.lit(1))
 
 
-def _value(part: Part, line: Column, numbers: Column, pattern: str) -> tuple[Column, Column]:
+def _at(numbers: Column, at: int) -> Column:
+    return as_double(F.try_element_at(numbers, F.lit(at)))
+
+
+def _value(part: Part, line: Column, low: Column, numbers: Column, pattern: str) -> tuple[Column, Column]:
     """The number and the text of a part."""
     none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
     if part.kind == "number":
-        v = F.try_element_at(numbers, F.lit(part.at))
+        v = _at(numbers, part.at)
         v = F.round(v * part.factor, 6) if part.factor != 1.0 else v
         return F.when((v >= part.low) & (v <= part.high), v), none_s
     if part.kind == "gain":
-        a, b = F.try_element_at(numbers, F.lit(part.at)), F.try_element_at(numbers, F.lit(part.of))
+        a, b = _at(numbers, part.at), _at(numbers, part.of)
         return F.when(b > 0, F.round((b - a) / b * 100, 1)), none_s
     if part.kind == "text":
         found = F.trim(F.regexp_extract(line, f"(?i){pattern}", part.at))
         return none_d, F.when(found != "", found)
     if part.kind == "choice":
-        told = F.coalesce(*[F.when(line.rlike(f"(?i){p}"), F.lit(v)) for p, v in part.choices])
+        told = F.coalesce(*[F.when(bears(line, low, p), F.lit(v)) for p, v in part.choices])
         return none_d, told
     return none_d, F.lit(part.text) if part.kind == "constant" else none_s
 
 
-def _hit(r: Reading, line: Column) -> Column:
-    """What a reading finds in a line, or null."""
-    bare = F.regexp_replace(line, f"(?i){r.strip}", "") if r.strip else line
-    numbers = _numbers(bare, r.cells)
+def _bare(r: Reading, line: Column) -> Column:
+    return _numbers(F.regexp_replace(line, f"(?i){r.strip}", "") if r.strip else line, r.cells)
+
+
+def _fine(r: Reading, line: Column, low: Column) -> Column:
+    """Whether a line is one of a reading."""
+    fine = bears(line, low, r.pattern)
+    if r.unless:
+        fine = fine & ~bears(line, low, r.unless)
+    return fine & (F.size(_bare(r, line)) >= r.least) if r.least else fine
+
+
+def _hit(at: int, r: Reading, line: Column, low: Column) -> Column:
+    """What a reading, known by its place among all, finds in its line. What its parts say whatever the line is not in it."""
+    numbers = _bare(r, line)
     found = []
     for p in r.parts:
-        num, text = _value(p, line, numbers, r.pattern)
+        num, text = _value(p, line, low, numbers, r.pattern)
+        found.append(F.struct(num.alias("num"), text.alias("text")))
+    # Other picks don't compare numbers.
+    key = _at(numbers, r.key) if r.pick in ("max", "min", "share") else F.lit(None).cast("double")
+    return F.struct(F.lit(at).alias("at"), key.alias("key"), F.array(*found).alias("parts"))
+
+
+def _hits(first: int, layout: Layout) -> Column:
+    """Arrays of what the readings of a layout find in a line, null where they find nothing; readings of the same lines try their pattern once."""
+    same: dict[tuple, list[int]] = {}
+    for k, r in enumerate(layout.readings):
+        same.setdefault((r.pattern, r.unless, r.strip, r.cells, r.least, r.over), []).append(k)
+    found = []
+    for of in same.values():
+        line, low = map(F.col, ("text", "low") if layout.readings[of[0]].over == 1 else ("more", "low_more"))
+        found.append(F.when(_fine(layout.readings[of[0]], line, low), F.array(*[_hit(first + k, layout.readings[k], line, low) for k in of])))
+    return F.array(*found)
+
+
+def _readings(layouts: tuple[Layout, ...]) -> list[Reading]:
+    return [r for x in layouts for r in x.readings]
+
+
+def _per_reading(layouts: tuple[Layout, ...], of) -> Column:
+    """What `of` gives for the reading of column at."""
+    return F.element_at(F.array(*[of(r) for r in _readings(layouts)]), F.col("at") + 1)
+
+
+def _of_parts(r: Reading) -> Column:
+    """What a reading's parts say whatever the line is."""
+    parts = []
+    for p in r.parts:
         fields = F.create_map(*[F.lit(x) for pair in ((("", p.field),) if isinstance(p.field, str) else p.field) for x in pair])
-        found.append(F.struct(fields.alias("fields"), num.alias("num"), text.alias("text"), F.lit(p.text if p.kind == "state" else "").alias("state"), F.lit(p.confidence).alias("confidence")))
-    fine = line.rlike(f"(?i){r.pattern}")
-    if r.unless:
-        fine = fine & ~line.rlike(f"(?i){r.unless}")
-    if r.least:
-        fine = fine & (F.size(numbers) >= r.least)
-    wanted = F.array(*[F.struct(F.lit(s).alias("state"), F.array(*map(F.lit, v)).alias("values")) for s, v in r.states]).cast("array<struct<state:string,values:array<string>>>")
-    key = F.try_element_at(numbers, F.lit(r.key))
-    return F.when(fine, F.struct(F.lit(r.id).alias("rule"), F.lit(r.pick).alias("pick"), F.lit(r.within).alias("within"), F.lit(r.by_phase).alias("by_phase"), F.lit(r.everywhere).alias("everywhere"), wanted.alias("wanted"), key.alias("key"), F.array(*found).alias("parts")))
+        parts.append(F.struct(fields.alias("fields"), F.lit(p.kind == "state").alias("by_state"), F.lit(p.confidence).alias("confidence")))
+    return F.array(*parts)
+
+
+def _held(layouts: tuple[Layout, ...]) -> Column:
+    """The value of the state that a reading's parts give; null for none."""
+    given = {(k, p.text) for k, r in enumerate(_readings(layouts)) for p in r.parts if p.kind == "state"}
+    return F.coalesce(F.lit(None).cast("string"), *[F.when(F.col("at").isin(*[k for k, t in given if t == s]), F.col(f"s_{s}")) for s in sorted({t for _, t in given})])
+
 
+def _fits(layouts: tuple[Layout, ...]) -> Column:
+    """Whether the states of a line are those that its reading wants."""
+    fine = F.lit(False)
+    readings = _readings(layouts)
+    for states in sorted({r.states for r in readings}):
+        here = F.col("at").isin(*[k for k, r in enumerate(readings) if r.states == states])
+        for name, values in states:
+            here = here & F.lower(F.coalesce(F.col(f"s_{name}"), F.lit(""))).isin(*values)
+        fine = fine | here
+    return fine
 
-def _marked(layout: Layout, line: Column) -> Column:
-    """(state, value) of each state that a line sets or clears."""
+
+def _set(layout: Layout, state: str, line: Column, low: Column) -> Column:
+    """The value that the last of a line's marks gives a state, empty where it clears it; null where no mark does either."""
     found = []
-    for m in layout.marks:
-        value = F.lit(m.value) if m.value else F.concat(F.lit(m.prefix), F.trim(F.regexp_extract(line, f"(?i){m.pattern}", 1)))
-        set_ = F.array(F.struct(F.lit(m.state).alias("state"), value.alias("value")), *[F.struct(F.lit(c).alias("state"), F.lit("").alias("value")) for c in m.clears])
-        found.append(F.when(line.rlike(f"(?i){m.pattern}"), set_))
-    return F.flatten(F.array_compact(F.array(*found)))
+    for m in reversed(layout.marks):
+        if state in m.clears:
+            value = F.lit("")
+        elif state == m.state:
+            value = F.lit(m.value) if m.value else F.concat(F.lit(m.prefix), F.trim(F.regexp_extract(line, f"(?i){m.pattern}", 1)))
+        else:
+            continue
+        found.append(F.when(bears(line, low, m.pattern), value))
+    return F.coalesce(F.lit(None).cast("string"), *found)
+
+
+def _states(layouts: tuple[Layout, ...]) -> list[str]:
+    return sorted({"phase", "building", "block"} | {s for x in layouts for m in x.marks for s in (m.state, *m.clears)})
 
 
-def layout_of(text: Column, layouts: tuple[Layout, ...]) -> Column:
-    """The first layout all of whose signature a text bears; null for none."""
+def layout_of(text: Column, layouts: tuple[Layout, ...], low: Column | None = None) -> Column:
+    """The first layout all of whose signature a text bears; null for none. low is the text in lower case."""
+    low = F.lower(text) if low is None else low
     tests = []
     for x in layouts:
         fine = F.lit(True)
         for s in x.signature:
-            fine = fine & text.rlike(f"(?i){s}")
-        tests.append(F.when(fine & ~text.rlike(f"(?i){x.never}") if x.never else fine, F.lit(x.name)))
+            fine = fine & bears(text, low, s)
+        tests.append(F.when(fine & ~bears(text, low, x.never) if x.never else fine, F.lit(x.name)))
     return F.coalesce(*tests)
 
 
 def lines(docs: DataFrame, layouts: tuple[Layout, ...], id_col: str, text_col: str) -> DataFrame:
-    """(id, layout, line, marks, hits): the lines that bear marks or readings of their document's layout."""
-    from .layouts import plain
-
-    text = plain(F.col(text_col))
-    d = docs.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("layout", layout_of(F.col("t"), layouts)).filter("layout is not null")
+    """(id, layout, line, marks, hits): the lines that bear marks or readings of their document's layout; marks has a field for each state, null where it isn't set."""
+    from .layouts import _once, plain
+
+    small_methods(docs.sparkSession)
+    d = _once(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), t=plain(F.col("_text"))).drop("_text")
+    d = _once(d, low=F.lower("t"))
+    # No filter on the layout: it would be pushed to where the documents are read and evaluated a second time there.
+    d = d.select("id", layout_of(F.col("t"), layouts, F.col("low")).alias("layout"), F.transform(F.split("t", "\n"), lambda x: F.trim(x)).alias("all"))
     over = max(r.over for x in layouts for r in x.readings)
-    d = d.withColumn("all", F.transform(F.split("t", "\n"), lambda x: F.trim(x))).select("id", "layout", "all", F.posexplode("all").alias("line", "text"))
-    d = d.withColumn("more", F.concat_ws(" ", F.slice("all", F.col("line") + 1, over))) if over > 1 else d.withColumn("more", F.col("text"))
-    d = d.select("id", "layout", "line", "text", "more").filter("text <> ''")
-    marks, hits = F.array().cast("array<struct<state:string,value:string>>"), None
+    more = lambda x, i: F.concat_ws(" ", F.slice("all", i + 1, over)) if over > 1 else x
+    each = F.transform(F.when(F.col("layout").isNotNull(), F.col("all")), lambda x, i: F.struct(x.alias("text"), more(x, i).alias("more")))
+    low = F.transform(each, lambda x: F.struct(x["text"].alias("text"), x["more"].alias("more"), F.lower(x["text"]).alias("low"), F.lower(x["more"]).alias("low_more")))
+    d = d.select("id", "layout", F.posexplode(low).alias("line", "x")).select("id", "layout", "line", "x.*").filter("text <> ''")
+    states = dict.fromkeys(_states(layouts), F.lit(None).cast("string"))
+    hits = F.lit(None)
+    first = 0
     for x in layouts:
         own = F.col("layout") == x.name
-        marks = F.when(own, _marked(x, F.col("text"))).otherwise(marks)
-        told = F.array_compact(F.array(*[_hit(r, F.col("text" if r.over == 1 else "more")) for r in x.readings]))
-        hits = F.when(own, told) if hits is None else hits.when(own, told)
-    # Behind an explode, a filter can't be pushed below it, where it would evaluate all patterns a second time.
-    found = d.select("id", "layout", "line", F.explode(F.array(F.struct(marks.alias("marks"), hits.alias("hits")))).alias("f"))
-    return found.filter("size(f.marks) > 0 or size(f.hits) > 0").select("id", "layout", "line", "f.marks", "f.hits")
-
-
-def _last_set(state: str) -> Column:
-    """The value that the line's last mark of a state gives it; null without one."""
-    return F.try_element_at(F.filter("marks", lambda m: m["state"] == state), F.lit(-1))["value"]
+        states = {s: F.when(own, _set(x, s, F.col("text"), F.col("low"))).otherwise(c) for s, c in states.items()}
+        hits = F.when(own, _hits(first, x)).otherwise(hits)
+        first += len(x.readings)
+    # The patterns are tried in a projection, which is compiled, where a generator or a function with a lambda would interpret them; behind an explode a filter can't
+    # be pushed below it, where it would try all patterns a second time.
+    found = d.select("id", "layout", "line", F.struct(*[c.alias(s) for s, c in states.items()]).alias("marks"), hits.alias("hits"))
+    found = found.select("id", "layout", "line", F.explode(F.array(F.struct("marks", F.flatten(F.array_compact("hits")).alias("hits")))).alias("f"))
+    some = F.size("f.hits") > 0
+    for s in states:
+        some = some | F.col(f"f.marks.{s}").isNotNull()
+    return found.filter(some).select("id", "layout", "line", "f.marks", "f.hits")
 
 
 def read(docs: DataFrame, layouts: tuple[Layout, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, layout, building, phase, field, value_num, value_text, rule, line, confidence)."""
     found = lines(docs, layouts, id_col, text_col)
-    names = sorted({"phase", "building", "block"} | {s for x in layouts for m in x.marks for s in (m.state, *m.clears)})
     upto = Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for s in names:
-        # The last mark of a line counts; an empty value clears.
-        here = _last_set(s)
-        found = found.withColumn(f"s_{s}", F.nullif(F.last(here, ignorenulls=True).over(upto), F.lit("")))
-        if s == "block":
-            found = found.withColumn("block_at", F.last(F.when(here.isNotNull(), F.col("line")), ignorenulls=True).over(upto))
+    # An empty value clears.
+    held = [F.nullif(F.last(f"marks.{s}", ignorenulls=True).over(upto), F.lit("")).alias(f"s_{s}") for s in _states(layouts)]
+    block_at = F.last(F.when(F.col("marks.block").isNotNull(), F.col("line")), ignorenulls=True).over(upto)
+    found = found.select("id", "layout", "line", "hits", *held, block_at.alias("block_at"))
     found = found.withColumn("buildings", F.collect_set("s_building").over(Window.partitionBy("id")))
-    held = F.create_map(*[x for s in names for x in (F.lit(s), F.coalesce(F.col(f"s_{s}"), F.lit("")))])
-    hits = found.withColumn("states", held).select("id", "layout", "line", "states", "block_at", "buildings", F.posexplode("hits").alias("order", "h"))
-    fits = F.forall("h.wanted", lambda w: F.array_contains(w["values"], F.lower(F.col("states")[w["state"]])))
-    fits = fits & ((F.col("h.within") == 0) | (F.col("line") - F.col("block_at") <= F.col("h.within")))
-    told = F.exists("h.parts", lambda p: p["num"].isNotNull() | p["text"].isNotNull() | (p["state"] != ""))
-    hits = hits.filter(fits & told).withColumn("phase", F.when(F.col("h.by_phase"), F.nullif(F.col("states")["phase"], F.lit(""))))
-    building = F.when(F.col("h.everywhere"), F.lit(None)).otherwise(F.coalesce(F.nullif(F.col("states")["building"], F.lit("")), F.lit(WHOLE)))
-    hits = hits.withColumn("building", building)
-
-    by = ["id", "layout", "building", "phase", F.col("h.rule").alias("rule"), F.col("h.pick").alias("pick"), F.when(F.col("h.pick") == "all", F.col("line")).alias("each")]
-    rank = F.when(F.col("h.pick").isin("max", "share"), -F.col("h.key")).when(F.col("h.pick") == "min", F.col("h.key")).otherwise(F.lit(0.0))
+    hits = found.filter("size(hits) > 0").select("*", F.explode("hits").alias("h")).drop("hits").select("*", F.col("h.at").alias("at"))
+    within, by_phase, everywhere = (_per_reading(layouts, lambda r, k=k: F.lit(getattr(r, k))) for k in ("within", "by_phase", "everywhere"))
+    fits = _fits(layouts) & ((within == 0) | (F.col("line") - F.col("block_at") <= within))
+    told = _per_reading(layouts, lambda r: F.lit(any(p.kind == "state" for p in r.parts))) | F.exists("h.parts", lambda p: p["num"].isNotNull() | p["text"].isNotNull())
+    building = F.when(~everywhere, F.coalesce(F.col("s_building"), F.lit(WHOLE)))
+    hits = hits.filter(fits & told).select(
+        "id", "layout", "line", "at", "h", building.alias("building"), F.when(by_phase, F.col("s_phase")).alias("phase"), _held(layouts).alias("held"), F.when(everywhere, F.col("buildings")).alias("buildings")
+    )
+
+    pick = _per_reading(layouts, lambda r: F.lit(r.pick))
+    by = ["id", "layout", "building", "phase", "at", F.when(pick == "all", F.col("line")).alias("each")]
+    rank = F.when(pick.isin("max", "share"), -F.col("h.key")).when(pick == "min", F.col("h.key")).otherwise(F.lit(0.0))
     best = hits.groupBy(*by).agg(
-        F.min_by(F.struct("line", F.col("h.parts").alias("parts"), F.col("h.everywhere").alias("everywhere"), "states", "buildings"), F.struct(F.coalesce(rank, F.lit(float("inf"))).alias("rank"), "line", "order")).alias("b"),
+        F.min_by(F.struct("line", F.col("h.parts").alias("parts"), "held", "buildings"), F.struct(F.coalesce(rank, F.lit(float("inf"))).alias("rank"), "line")).alias("b"),
         F.max("h.key").alias("most"), F.sum(F.greatest("h.key", F.lit(0.0))).alias("total"),
-    ).filter("pick <> 'share' or (most > 0 and most >= 0.6 * total)")
-    parts = best.select("id", "layout", "building", "phase", "rule", "b.line", "b.everywhere", "b.states", "b.buildings", F.explode("b.parts").alias("p"))
-    text = F.coalesce("p.text", F.when(F.col("p.state") != "", F.nullif(F.col("states")[F.col("p.state")], F.lit(""))))
-    facts = parts.select("id", "layout", "building", "phase", "rule", "line", "everywhere", "buildings", F.coalesce(F.try_element_at("p.fields", F.coalesce("phase", F.lit(""))), F.try_element_at("p.fields", F.lit(""))).alias("field"),
-                         F.col("p.num").alias("value_num"), text.alias("value_text"), "p.confidence").filter("field is not null and (value_num is not null or value_text is not null)")
+    ).withColumn("pick", pick).filter("pick <> 'share' or (most > 0 and most >= 0.6 * total)")
+    zipped = F.arrays_zip(F.col("b.parts").alias("found"), _per_reading(layouts, _of_parts).alias("told"))
+    parts = best.select("id", "layout", "building", "phase", _per_reading(layouts, lambda r: F.lit(r.id)).alias("rule"), everywhere.alias("everywhere"), "b.line", "b.held", "b.buildings", F.explode(zipped).alias("p"))
+    text = F.coalesce("p.found.text", F.when(F.col("p.told.by_state"), F.col("held")))
+    facts = parts.select("id", "layout", "building", "phase", "rule", "line", "everywhere", "buildings", F.coalesce(F.try_element_at("p.told.fields", F.coalesce("phase", F.lit(""))), F.try_element_at("p.told.fields", F.lit(""))).alias("field"),
+                         F.col("p.found.num").alias("value_num"), text.alias("value_text"), "p.told.confidence").filter("field is not null and (value_num is not null or value_text is not null)")
     # Values for the whole document go to each of its buildings.
     names_of = F.when(~F.col("everywhere"), F.array("building")).when(F.size("buildings") > 0, F.col("buildings")).otherwise(F.array(F.lit(WHOLE)))
     done = facts.withColumn("building", F.explode(names_of))

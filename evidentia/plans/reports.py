@@ -66,7 +66,7 @@ _ENERGY = ("Gaz", "Fioul", "Bois", "Electricite")
 )
 def phased_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A notice for each order: its chapters before and after the works stand in either order, with other chapters between them."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_totalprice").alias("p"))
+    o = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_totalprice").alias("p")))
     dec = lambda c: F.translate(F.format_string("%.1f", F.round(c, 1)), ".", ",")
     pick = lambda i: F.element_at(F.array(*map(F.lit, _ENERGY)), i.cast("int"))
     lines = lambda *x: F.concat_ws("\n", *[F.lit(v) if isinstance(v, str) else v for v in x])
@@ -77,7 +77,7 @@ def phased_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Tableau 4", "Production de chauffage", F.concat(F.lit("Combustible : "), pick(1 + F.floor(F.col("k") / 7) % 4)), F.when(F.col("k") % 3 == 0, "Mode Chauffage + ECS").otherwise("Mode Chauffage"),
     )
     text = lines("Notice thermique RT existant", F.when(F.col("c") % 2 == 0, before).otherwise(after), "4. Annexes", F.when(F.col("c") % 2 == 0, after).otherwise(before))
-    return phases.read(spread(o.select(F.col("k").alias("doc_id"), text.alias("text"))), phased_layouts.LAYOUTS).select("doc_id", "building", "phase", "field", "value_num", "value_text")
+    return phases.read(o.select(F.col("k").alias("doc_id"), text.alias("text")), phased_layouts.LAYOUTS).select("doc_id", "building", "phase", "field", "value_num", "value_text")
 
 
 def _building_id(k):

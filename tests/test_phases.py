@@ -144,3 +144,24 @@ def test_presence_and_negation(spark):
         (0, "vmc", 0): ("Non", 0.82), (0, "cta", 0): ("Oui", 0.82), (1, "vmc", 0): ("Non", 0.82), (1, "lift", 0): ("Non", 0.82), (2, "lift", 0): ("Oui", 0.9), (3, "lift", 0): ("Non", 0.82), (3, "vmc", 0): ("Oui", 0.82),
         (4, "vmc", 0): ("Oui", 0.82), (5, "vmc", 0): ("Oui", 0.82), (5, "cta", 1): ("Non", 0.82),
     }
+
+
+def test_patterns_are_compiled_and_tried_once(spark):
+    """A generator would interpret the patterns, and a filter on the layout would be pushed to the reading of the documents and try the signatures there too."""
+    import re
+
+    from evidentia.operators import phased_layouts, phases
+
+    df = phases.read(spark.createDataFrame([(1, "x")], "doc_id long, text string").repartition(3), phased_layouts.LAYOUTS)
+    plan = str(df._jdf.queryExecution().optimizedPlan().numberedTreeString())
+    nodes = [x.lstrip(" 0123456789:+-") for x in plan.split("\n")]
+    assert not [x for x in nodes if re.match("Generate|Filter", x) and "RLIKE" in x]
+
+
+def test_needed_words():
+    from evidentia.functions.text import needed
+
+    assert needed("^tableau [0-9]+") == ("tableau ",)
+    assert set(needed("\\b(?:murs?|pignon)\\b")) == {"mur", "pignon"}
+    assert needed("[0-9]|m²") == needed("x?") == needed("\\p{L}abc") == ()
+    assert needed("Éta(?:t|ge) (?!neuf)b+c*") == ("éta",)
