@@ -34,6 +34,11 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(fold(c), "[^a-z0-9]+"), lambda t: t != ""))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it: as a plain column it would be put into each place that does."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def share(part: Column, whole: Column) -> Column:
     """The share of the tokens of whole that are in part."""
     return F.when(F.size(whole) > 0, F.size(F.array_intersect(part, whole)) / F.size(whole)).otherwise(0.0)

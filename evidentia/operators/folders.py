@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, normalize
+from ..functions.text import fold, let, normalize
 
 # Words of folders that are out of date, and words that may stand beside 'ancien' in such a name.
 OBSOLETE = ("old", "obsolete", "perime", "perimee", "caduc", "caduque", "archive", "archivee", "archivage", "superseded", "outdated", "deprecated", "remplace", "remplacee")
@@ -68,13 +68,18 @@ def _plain(name: Column) -> Column:
 
 def read_lot(name: Column, wanted: list[str]) -> Column:
     """(read, reason): a file of a tender is read when it names a wanted lot or none that can be told; without wanted lots all are."""
-    plain = _plain(name)
-    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: plain.contains(F.concat(F.lit(" "), w, F.lit(" "))) | plain.contains(F.concat(F.lit(" "), w, F.lit("s "))))
     ours = [x for w in wanted for k in [" ".join(w.lower().split())] for x in (k, *ABBREVIATIONS.get(k, ()))]
     if not ours:
         return F.struct(F.lit(True).alias("read"), F.lit("").alias("reason"))
-    lot = has(TRADES) | plain.rlike(" lot ?n?°? ?[0-9]")
-    return F.struct((has(ours) | ~lot).alias("read"), F.when(has(ours), "wanted lot").when(~lot, "").otherwise("other lot").alias("reason"))
+
+    def has(plain: Column, words) -> Column:
+        found = F.lit(False)
+        for w in words:
+            found = found | plain.contains(f" {w} ") | plain.contains(f" {w}s ")
+        return found
+
+    said = let(_plain(name), lambda plain: F.struct(has(plain, ours).alias("own"), (has(plain, TRADES) | plain.rlike(" lot ?n?°? ?[0-9]")).alias("lot")))
+    return let(said, lambda x: F.struct((x["own"] | ~x["lot"]).alias("read"), F.when(x["own"], "wanted lot").when(~x["lot"], "").otherwise("other lot").alias("reason")))
 
 
 def reread(name: Column, old_family: Column, tabs: list[str], lots: list[str]) -> Column:

@@ -116,7 +116,7 @@ def folder_rules(spark, sf_dir):
 def lots_to_read(spark, sf_dir):
     n = F.element_at(F.array(*map(F.lit, ["CCTP_lot 05 Plomberies.pdf", "CCTP lot 3 - Peinture.pdf", "CCTP compilé.pdf", "CCTP-PLB.pdf"])), (F.col("event_id") % 4 + 1).cast("int"))
     d = folders.read_lot(n, ["plomberie"])
-    return table(spark, sf_dir, "events").select("event_id", d["read"].alias("read"), d["reason"].alias("reason"))
+    return spread(table(spark, sf_dir, "events").select("event_id")).withColumn("d", d).select("event_id", F.col("d.read").alias("read"), F.col("d.reason").alias("reason"))
 
 
 @register("loadable_files", "SELECT event_id FROM events WHERE event_id % 2 = 0 AND event_id % 3 > 0 AND (event_id % 5 = 0 OR (event_id % 5 = 1 AND event_id % 7 = 0))")
