@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import register, table
+from ..catalog import register, spread, table
 from ..operators import completeness, economics, layouts, measures
 from ..sources import pages
 from ..sources.store import work_path
@@ -105,7 +105,7 @@ def layer_quality(spark, sf_dir):
     good = "Le bâtiment est isolé par l'extérieur et les logements sont chauffés par une chaudière au gaz dans la cave. "
     texts = ["", "@@ ## && ++ == << >> %% $$ !! " * 8, "Chapitre deux, résultats du calcul", good * 6, "xqz wvk jjq zzx qqw " * 8]
     k = (F.col("event_id") % 5 + 1).cast("int")
-    e = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, texts)), k).alias("t"), F.element_at(F.array(*map(F.lit, [0, 40, 2, 60, 40])), k).alias("n"))
+    e = spread(table(spark, sf_dir, "events").select("event_id")).select("event_id", F.element_at(F.array(*map(F.lit, texts)), k).alias("t"), F.element_at(F.array(*map(F.lit, [0, 40, 2, 60, 40])), k).alias("n"))
     e = e.withColumn("q", pages.layer_quality(F.col("t"), F.col("n")))
     return e.select("event_id", pages.needs_recognition(F.col("q"), F.col("n")).alias("ocr"), pages.clean_dense(F.col("q"), F.col("n")).alias("dense"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import fold
+from ..functions.text import fold, let
 from .formats import COMMON
 
 
@@ -25,18 +25,26 @@ def layer_quality(text: Column, items: Column) -> Column:
     of eighty or more characters) scores .05, an empty one 0.
     """
     raw = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "\\s+", " "))
-    n = F.char_length(raw)
-    part = lambda pattern: F.char_length(F.regexp_replace(raw, f"[^{pattern}]", "")) / F.greatest(n, F.lit(1))
-    alnum, weird = part("A-Za-zÀ-ÿ0-9"), part("�□■◆◇▯-")
-    tokens = F.filter(F.split(raw, " "), lambda t: t != "")
-    fragments = F.size(F.filter(tokens, lambda t: t.rlike("^[^0-9A-Za-zÀ-ÿ]$"))) / F.greatest(F.size(tokens), F.lit(1))
-    words = F.filter(F.split(fold(raw), "[^a-z]+"), lambda w: w != "")
-    common = F.size(F.filter(words, lambda w: w.isin(*COMMON))) / F.greatest(F.size(words), F.lit(1))
-    solid = F.regexp_replace(raw, "\\s+", "")
-    symbols = F.char_length(F.regexp_replace(solid, "[^!\"#$%&()*+/:;<=>?@\\[\\]^_`{|}~]", "")) / F.greatest(F.char_length(solid), F.lit(1))
-    garbled = (F.size(words) >= 20) & (common < 0.02) | (F.char_length(solid) >= 80) & (symbols > 0.12)
-    score = F.least(F.lit(1.0), n / 520) * 0.28 + alnum * 0.38 + F.least(F.lit(1.0), items / 65) * 0.20 + (1 - F.least(F.lit(1.0), weird * 7)) * 0.09 + (1 - F.least(F.lit(1.0), fragments * 4)) * 0.05
-    return F.struct(F.when(n == 0, 0.0).when(garbled, 0.05).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).alias("score"), n.alias("chars"), alnum.alias("alnum"), F.when(n == 0, 1.0).otherwise(weird).alias("weird"), F.when(n == 0, 1.0).otherwise(fragments).alias("fragments"), garbled.alias("garbled"))
+
+    def cut(raw: Column) -> Column:
+        part = lambda pattern: F.char_length(F.regexp_replace(raw, f"[^{pattern}]", ""))
+        tokens, words = F.filter(F.split(raw, " "), lambda t: t != ""), F.filter(F.split(fold(raw), "[^a-z]+"), lambda w: w != "")
+        return F.struct(F.char_length(raw).alias("n"), part("A-Za-zÀ-ÿ0-9").alias("alnum"), part("�□■◆◇▯-").alias("weird"), tokens.alias("tokens"), words.alias("words"), F.regexp_replace(raw, "\\s+", "").alias("solid"))
+
+    def counted(x: Column) -> Column:
+        over = lambda part, whole: part / F.greatest(whole, F.lit(1))
+        fragments = over(F.size(F.filter(x["tokens"], lambda t: t.rlike("^[^0-9A-Za-zÀ-ÿ]$"))), F.size(x["tokens"]))
+        common = over(F.size(F.filter(x["words"], lambda w: w.isin(*COMMON))), F.size(x["words"]))
+        symbols = over(F.char_length(F.regexp_replace(x["solid"], "[^!\"#$%&()*+/:;<=>?@\\[\\]^_`{|}~]", "")), F.char_length(x["solid"]))
+        garbled = (F.size(x["words"]) >= 20) & (common < 0.02) | (F.char_length(x["solid"]) >= 80) & (symbols > 0.12)
+        return F.struct(x["n"].alias("n"), over(x["alnum"], x["n"]).alias("alnum"), over(x["weird"], x["n"]).alias("weird"), fragments.alias("fragments"), garbled.alias("garbled"))
+
+    def scored(x: Column) -> Column:
+        n, alnum, weird, fragments, garbled = (x[k] for k in ("n", "alnum", "weird", "fragments", "garbled"))
+        score = F.least(F.lit(1.0), n / 520) * 0.28 + alnum * 0.38 + F.least(F.lit(1.0), items / 65) * 0.20 + (1 - F.least(F.lit(1.0), weird * 7)) * 0.09 + (1 - F.least(F.lit(1.0), fragments * 4)) * 0.05
+        return F.struct(F.when(n == 0, 0.0).when(garbled, 0.05).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).alias("score"), n.alias("chars"), alnum.alias("alnum"), F.when(n == 0, 1.0).otherwise(weird).alias("weird"), F.when(n == 0, 1.0).otherwise(fragments).alias("fragments"), garbled.alias("garbled"))
+
+    return let(let(let(raw, cut), counted), scored)
 
 
 def clean_dense(q: Column, items: Column) -> Column:

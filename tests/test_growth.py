@@ -14,3 +14,12 @@ def test_lots_fold_a_name_once(spark):
     d = df.withColumn("d", folders.read_lot(F.col("n"), ["plomberie"])).select("d.read", "d.reason")
     assert _plan(d).count("translate(") == 1
     assert {tuple(r) for r in d.collect()} == {(False, "other lot")}
+
+
+def test_layer_quality_cleans_a_text_once(spark):
+    from evidentia.sources import pages
+
+    df = spark.createDataFrame([("Le bâtiment est isolé " * 30, 60), (None, 0)], "t string, n int").repartition(2)
+    df = df.withColumn("q", pages.layer_quality(F.col("t"), F.col("n"))).select(pages.needs_recognition(F.col("q"), F.col("n")).alias("ocr"), pages.clean_dense(F.col("q"), F.col("n")).alias("dense"))
+    assert _plan(df).count("coalesce(t#") == 1
+    assert {tuple(r) for r in df.collect()} == {(False, True), (True, False)}
