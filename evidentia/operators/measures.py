@@ -102,7 +102,8 @@ def plan_quantities(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """rows of kind count whose keyword (ref) has the words of a label of the catalog (field, label), as facts: (rows' columns, field, value, confidence, method). The first field of equal labels counts."""
     known = catalog.select(keyword_tokens(F.col("label")).alias("_k"), "field").groupBy("_k").agg(F.min("field").alias("field"))
     r = rows.filter((F.col("kind") == "count") & F.col("total").isNotNull()).withColumn("_k", keyword_tokens(F.col("ref"))).filter("size(_k) > 0")
-    return r.join(known, "_k").drop("_k").withColumn("value", F.col("total").cast("double")).withColumn("confidence", F.lit(0.99)).withColumn("method", F.lit("plan:quantity"))
+    # A few labels against all rows: dealt by label, the rows of one keyword would meet in one task.
+    return r.join(F.broadcast(known), "_k").drop("_k").withColumn("value", F.col("total").cast("double")).withColumn("confidence", F.lit(0.99)).withColumn("method", F.lit("plan:quantity"))
 
 
 # Rooms by a word of a label.

@@ -23,3 +23,16 @@ def test_layer_quality_cleans_a_text_once(spark):
     df = df.withColumn("q", pages.layer_quality(F.col("t"), F.col("n"))).select(pages.needs_recognition(F.col("q"), F.col("n")).alias("ocr"), pages.clean_dense(F.col("q"), F.col("n")).alias("dense"))
     assert _plan(df).count("coalesce(t#") == 1
     assert {tuple(r) for r in df.collect()} == {(False, True), (True, False)}
+
+
+def test_plan_quantities_deal_no_rows_by_label(spark):
+    from evidentia.operators import measures
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(100).select("id", F.lit("logements").alias("ref"), F.lit("count").alias("kind"), F.col("id").cast("double").alias("total"))
+        df = measures.plan_quantities(rows, spark.createDataFrame([("housing_count", "Nombre de logements")], "field string, label string"))
+        assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+        assert df.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
