@@ -36,3 +36,14 @@ def test_plan_quantities_deal_no_rows_by_label(spark):
         assert df.count() == 100
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pages_are_walked_once_and_in_bulk(spark):
+    from evidentia.operators import tables
+
+    rows = [(d, 1, x, y, 40.0, 8.0, t) for d in range(3) for x, y, t in ((50.0, 100.0, "Designation"), (150.0, 100.0, "Price"), (50.0, 80.0, "Part 1"), (150.0, 80.0, f"{d},5"))]
+    found = tables.cells(spark.createDataFrame(rows, "doc long, page int, x double, y double, width double, height double, text string"), "designation|price")
+    facts = tables.table_facts(found, [("^part", "^price", "price")])
+    plan = _plan(facts)
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan and "UDTF" not in plan
+    assert {(r.doc, r.row, r.value_num) for r in facts.collect()} == {(0, 1, 0.5), (1, 1, 1.5), (2, 1, 2.5)}
