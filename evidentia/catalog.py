@@ -27,9 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as the session runs tasks at once: a small file is one split, and what is read from it may be dear to work on."""
-    n = df.sparkSession.sparkContext.defaultParallelism
+def spread(df: DataFrame, rounds: int = 1) -> DataFrame:
+    """df over at least as many partitions as the session runs tasks at once, or rounds times as many: a small file is one split, and what is read from it may be dear to work on."""
+    n = rounds * df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 

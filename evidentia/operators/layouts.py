@@ -30,12 +30,17 @@ _NO_NAME = "(?i)^(?:de la valeur du batiment|(?:non )?conforme|etiquettes?(?: dp
 def plain(text: Column) -> Column:
     """A text without accents, with plain quotes and single spaces within its lines."""
     t = F.translate(F.replace(F.coalesce(text, F.lit("")), F.lit("\0"), F.lit("fi")), _SOURCE + _MARKS, _TARGET + _PLAIN)
-    return F.regexp_replace(F.regexp_replace(t, "\\r", ""), "[ \\t]+", " ")
+    # Single spaces stay as they are, so that only what changes is matched.
+    return F.regexp_replace(F.replace(t, F.lit("\r"), F.lit("")), "[ \\t]{2,}|\\t", " ")
 
 
 def expected_buildings(text: Column) -> Column:
     """The number of buildings a text announces; null for none."""
-    return F.regexp_extract(plain(text), "(?i)nombre de batiments?(?: ?/ ?zones?)? du projet ?[:-]? ?([0-9]+)", 1).try_cast("int")
+    return _expected(plain(text))
+
+
+def _expected(text: Column) -> Column:
+    return F.regexp_extract(text, "(?i)nombre de batiments?(?: ?/ ?zones?)? du projet ?[:-]? ?([0-9]+)", 1).try_cast("int")
 
 
 _HEADING = "^ ?(?:[0-9]+(?:\\.[0-9]+)*\\.? )?(?:[Ii]dentifiant )?[Bb](?:[Aa][Tt]\\.?|[Aa][Tt][Ii][Mm][Ee][Nn][Tt])(?![A-Za-z]) ?([:-]?) ?\"?([^\"].{0,100}?)\"? ?$"
@@ -75,9 +80,10 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias("_o")).select(*df.columns, "_o.*")
 
 
-def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, part, building, first_line, text, keep): a document cut at the headings of its buildings; one part named 'Bâtiment unique' where it has none. Null texts are empty."""
-    d = _once(docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text")), _l=F.split(plain(F.col("_text")), "\n")).drop("_text")
+def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), cleaned: bool = False) -> DataFrame:
+    """(doc_id, part, building, first_line, text, keep): a document cut at the headings of its buildings; one part named 'Bâtiment unique' where it has none. Null texts are empty; cleaned texts went through plain already."""
+    text = F.col("_text") if cleaned else plain(F.col("_text"))
+    d = _once(docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text")), _l=F.split(text, "\n")).drop("_text")
     d = _once(d, _m=headings(F.col("_l")))
     first = F.coalesce(F.get("_m", F.lit(0))["name"], F.lit(names.UNIQUE))
     d = _once(d, _c=F.when(F.coalesce(F.get("_m", F.lit(0))["at"], F.lit(1)) == 0, F.col("_m")).otherwise(F.concat(F.array(F.struct(F.lit(0).alias("at"), first.alias("name"))), F.col("_m")))).drop("_m")
@@ -88,10 +94,12 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
 def detect_buildings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, building, first_line, complete): the buildings that a document's headings name, and whether they are as many as it announces; the single one where none is named."""
-    p = parts(docs.withColumn("_n", expected_buildings(F.col(text_col))), id_col, text_col, ("_n",))
+    d = _once(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_whole")), _plain=plain(F.col("_whole"))).drop("_whole")
+    # A document's parts are dealt by its id once, for all that follows.
+    p = parts(_once(d, _n=_expected(F.col("_plain"))), "doc_id", "_plain", ("_n",), cleaned=True).select("doc_id", "building", "_n", "first_line").repartition("doc_id")
     per = p.groupBy("doc_id", "building", "_n").agg(F.min("first_line").alias("first_line"))
-    n = per.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k"))
-    return per.join(n, "doc_id").select("doc_id", "building", "first_line", (F.coalesce("_n", "_k") == F.col("_k")).alias("complete"))
+    named = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    return per.withColumn("_k", named).select("doc_id", "building", "first_line", (F.coalesce("_n", "_k") == F.col("_k")).alias("complete"))
 
 
 def resultless(facts_: DataFrame, results: list[str], manual: DataFrame | None = None) -> DataFrame:
@@ -269,10 +277,11 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", type_
 
     docs has the columns named; a null type is none. packs limits what may run.
     """
-    d = _once(docs.select(id_col, F.col(type_col).alias("_type"), F.col(text_col).alias("_whole")), _raw=F.col("_whole")).drop("_whole")
-    d = _once(d, _norm=fold(plain(F.col("_raw"))))
-    d = _once(d, _packs=dispatch(F.col("_type"), F.col("_norm"))).select(id_col, F.col("_type").alias(type_col), F.col("_raw").alias(text_col), "_packs")
-    p = parts(d, id_col, text_col, (type_col, "_packs")).withColumn("_key", F.struct("doc_id", "part", "building", type_col))
+    d = _once(docs.select(id_col, F.col(type_col).alias("_type"), F.col(text_col).alias("_whole")), _plain=plain(F.col("_whole"))).drop("_whole")
+    # Without accents already, so folded once it is in lower case.
+    d = _once(d, _norm=F.lower("_plain"))
+    d = _once(d, _packs=dispatch(F.col("_type"), F.col("_norm"))).select(id_col, F.col("_type").alias(type_col), F.col("_plain").alias(text_col), "_packs")
+    p = parts(d, id_col, text_col, (type_col, "_packs"), cleaned=True).withColumn("_key", F.struct("doc_id", "part", "building", type_col))
     held = p.withColumn("_pack", F.concat(F.lit(" "), F.array_join("_packs", " "), F.lit(" ")))
     found = facts(held, rules(packs), "_key", "text", "_pack", among=True)
     found = found.select("doc_id.*", "field", "value_num", F.trim("value_text").alias("value_text"), "confidence", F.col("rule").alias("method"))

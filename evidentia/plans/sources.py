@@ -150,7 +150,7 @@ def _reports(spark, sf_dir):
     cctp = F.concat_ws("\n", F.lit("Descriptif"), F.concat(F.lit("Murs : laine de verre "), n(100 + p % 90), F.lit(" mm")), F.lit("Menuiseries extérieures PVC, double vitrage"), F.lit("Chauffage par pompe à chaleur"))
     other = F.concat_ws("\n", F.lit("Notice"), F.lit("Label bâtiment biosourcé, niveau 2 du label 2012"))
     kind = k % 4
-    return spread(table(spark, sf_dir, "orders")).select(k.alias("doc_id"), F.when(kind == 0, rset).when(kind == 1, carbon).when(kind == 2, cctp).otherwise(other).alias("text"), F.when(kind == 0, "RT2012").when(kind == 1, "CARBON").when(kind == 2, "CCTP").alias("doc_type"), kind.alias("kind"))
+    return spread(table(spark, sf_dir, "orders"), rounds=8).select(k.alias("doc_id"), F.when(kind == 0, rset).when(kind == 1, carbon).when(kind == 2, cctp).otherwise(other).alias("text"), F.when(kind == 0, "RT2012").when(kind == 1, "CARBON").when(kind == 2, "CCTP").alias("doc_type"), kind.alias("kind"))
 
 
 @register("layout_facts", """WITH o AS (SELECT o_orderkey AS d, o_orderkey % 4 AS k, o_custkey AS p, 40 + o_custkey % 20 AS v FROM orders), b AS (SELECT d, v + i AS v, 'Bâtiment ' || n AS b FROM o, (VALUES (0, 'A'), (1, 'B2')) x(i, n) WHERE k = 0)

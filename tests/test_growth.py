@@ -47,3 +47,28 @@ def test_pages_are_walked_once_and_in_bulk(spark):
     plan = _plan(facts)
     assert plan.count("MapInArrow") == 1 and "Join" not in plan and "UDTF" not in plan
     assert {(r.doc, r.row, r.value_num) for r in facts.collect()} == {(0, 1, 0.5), (1, 1, 1.5), (2, 1, 2.5)}
+
+
+def test_buildings_are_detected_in_one_pass(spark):
+    from evidentia.operators import layouts
+
+    docs = spark.createDataFrame([(1, "Nombre de bâtiments : 2\nBâtiment A\nx\nBâtiment B2"), (2, None)], "doc_id long, text string").repartition(2)
+    found = layouts.detect_buildings(docs)
+    plan = _plan(found)
+    assert "Join" not in plan and plan.count("translate(coalesce(replace(") + plan.count("translate(replace(coalesce(") == 1
+    assert {tuple(r) for r in found.collect()} == {(1, "Bâtiment A", 0, True), (1, "Bâtiment B2", 3, True), (2, "Bâtiment unique", 0, True)}
+
+
+def test_reports_are_dealt_to_more_tasks_than_run_at_once(spark):
+    from evidentia.plans import sources
+
+    assert sources._reports(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
+
+
+def test_layouts_clean_a_text_once_and_rules_share_their_gate(spark):
+    from evidentia.operators import layouts
+
+    docs = spark.createDataFrame([(1, "Coefficient Bbio 41,5 80,0 10 %", "RT2012")], "doc_id long, text string, doc_type string").repartition(2)
+    found = layouts.parse(docs, packs=("rt2012",))
+    assert _plan(found).count(" rt2012 ") == 1
+    assert {(r.field, r.value_num) for r in found.collect()} == {("bbio", 41.5), ("bbio_max", 80.0), ("bbio_gain", 10.0)}
