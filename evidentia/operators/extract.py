@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,10 +111,14 @@ def facts(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
         raise ValueError("; ".join(wrong))
     doc_type = F.col(type_col) if type_col else F.lit("")
     d = docs.filter(F.col(text_col).isNotNull())
-    # Behind an explode, the folded text and the type are computed once a row and not once a rule.
-    d = d.select(F.col(id_col).alias("doc_id"), F.explode(F.array(F.struct(F.col(text_col).alias("_t"), fold(F.col(text_col)).alias("_n"), doc_type.alias("_d")))).alias("_o")).select("doc_id", "_o.*")
+    # Behind an explode, the folded text and the type are computed once a row and not once a rule; the folded text only for rules that look at it.
+    norm = fold(F.col(text_col)) if any(r.require_any or r.forbid_any for r in rules) else F.lit("")
+    d = d.select(F.col(id_col).alias("doc_id"), F.explode(F.array(F.struct(F.col(text_col).alias("_t"), norm.alias("_n"), doc_type.alias("_d")))).alias("_o")).select("doc_id", "_o.*")
     nothing = F.array().cast(FACT)
-    found = F.array(*[F.when(_gate(F.col("_n"), F.col("_d"), r, among), _matches(F.col("_t"), r).cast(FACT)).otherwise(nothing) for r in rules])
+    # Rules in a row that have the same gate pass it together.
+    gates = groupby(rules, lambda r: (r.doc_types, r.require_any, r.forbid_any))
+    packs = [list(g) for _, g in gates]
+    found = F.array(*[F.when(_gate(F.col("_n"), F.col("_d"), g[0], among), F.flatten(F.array(*[_matches(F.col("_t"), r).cast(FACT) for r in g]))).otherwise(nothing) for g in packs])
     return d.select("doc_id", F.posexplode(F.flatten(found)).alias("seq", "_f")).select("doc_id", "seq", "_f.*")
 
 
