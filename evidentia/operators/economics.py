@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import NUMBER, as_double, money, percent
-from ..functions.text import fold, normalize
+from ..functions.text import fold, let, normalize
 
 # States of an aid that count as secured.
 SECURED = ("Versée", "Accordée")
@@ -91,13 +91,18 @@ def questionnaires(docs: DataFrame, id_col: str, json_col: str) -> tuple[DataFra
 def questionnaire_cells(lines: DataFrame, by: str) -> DataFrame:
     """(by, section, label, amount) of the lines (by, idx, text) of a questionnaire printed as a table: cells parted by |, the amount in the last, under the last section heading (costs or aids)."""
     low = fold(normalize(F.col("text")))
-    section = F.when(low.rlike("donnees financieres validees"), "costs").when(low.rlike("aides mobilisees"), "aids").when(low.rlike("^(?:identite|controle|transmission)\\b"), "other")
+    section = let(low, lambda t: F.when(t.rlike("donnees financieres validees"), "costs").when(t.rlike("aides mobilisees"), "aids").when(t.rlike("^(?:identite|controle|transmission)\\b"), "other"))
     w = Window.partitionBy(by).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     cells = F.split(F.col("text"), "\\s*\\|\\s*")
     last = F.try_element_at(cells, F.lit(-1))
     amount = F.when(last.rlike("[0-9]"), as_double(F.regexp_extract(normalize(last), NUMBER, 0)))
-    r = lines.withColumn("section", F.last(section, ignorenulls=True).over(w)).filter(F.col("section").isin("costs", "aids") & (F.size(cells) >= 2))
-    return r.select(by, "section", F.trim(F.get(cells, F.lit(0))).alias("label"), amount.alias("amount")).filter("amount >= 0 and label <> ''")
+    # What a row says is read before rows are sorted, so that no text is; a row that neither begins a section nor can be a cell is no more needed.
+    # Behind an explode, it is read once.
+    read = F.struct(section.alias("_begins"), F.when(F.size(cells) >= 2, F.trim(F.get(cells, F.lit(0)))).alias("label"), amount.alias("amount"))
+    read = lines.select(by, "idx", F.explode(F.array(read)).alias("_r")).select(by, "idx", "_r.*")
+    can = "amount >= 0 and label <> ''"
+    r = read.filter(f"_begins is not null or {can}").withColumn("section", F.last("_begins", ignorenulls=True).over(w)).filter(can)
+    return r.filter(F.col("section").isin("costs", "aids")).select(by, "section", "label", "amount")
 
 
 def result(identity: DataFrame, costs_: DataFrame, bills: DataFrame, aids_: DataFrame, op: str, manual: DataFrame | None = None) -> DataFrame:

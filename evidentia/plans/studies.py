@@ -50,7 +50,7 @@ def economic_results(spark, sf_dir):
 @register("questionnaire_cells", """SELECT o_orderkey AS op, 'costs' AS section, 'Travaux' AS label, CAST(o_custkey AS DOUBLE) AS amount FROM orders UNION ALL SELECT o_orderkey, 'aids', 'Prime', 12.5 FROM orders""")
 def questionnaire_cells(spark, sf_dir):
     lines = F.array(F.lit("Questionnaire financier"), F.lit("Identité | 5"), F.lit("Données financières validées"), _t("Travaux | HT | ", F.col("o_custkey"), " €"), F.lit("sans montant | ?"), F.lit("Aides mobilisées"), F.lit("Prime | 12,5"), F.lit("Contrôle"), F.lit("x | 9"))
-    return economics.questionnaire_cells(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("op"), F.posexplode(lines).alias("idx", "text")), "op")
+    return economics.questionnaire_cells(spread(table(spark, sf_dir, "orders"), rounds=8).select(F.col("o_orderkey").alias("op"), F.posexplode(lines).alias("idx", "text")), "op")
 
 
 _CATS = ["visible", "hidden", "recess", "path", "access", "hall", "frame"]

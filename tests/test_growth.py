@@ -72,3 +72,13 @@ def test_layouts_clean_a_text_once_and_rules_share_their_gate(spark):
     found = layouts.parse(docs, packs=("rt2012",))
     assert _plan(found).count(" rt2012 ") == 1
     assert {(r.field, r.value_num) for r in found.collect()} == {("bbio", 41.5), ("bbio_max", 80.0), ("bbio_gain", 10.0)}
+
+
+def test_questionnaires_sort_no_texts(spark):
+    from evidentia.operators import economics
+
+    rows = [(1, k, t) for k, t in enumerate(["Identité | 5", "Données financières validées", "Travaux | 12 €", "sans montant | ?", None, "Aides mobilisées", "Prime | 12,5", "Contrôle", "x | 9"])]
+    found = economics.questionnaire_cells(spark.createDataFrame(rows, "op long, idx int, text string").repartition(2), "op")
+    plan = _plan(found)
+    assert "text#" not in plan[plan.index("Window") : plan.index("Generate")]
+    assert {tuple(r) for r in found.collect()} == {(1, "costs", "Travaux", 12.0), (1, "aids", "Prime", 12.5)}
