@@ -176,3 +176,21 @@ def test_a_source_beside_one_ten_thousand_times_its_size(spark, tmp_path, monkey
         part = [r for r in got if r.doc_id in ids]
         assert abs(sum(r.taken for r in part) - part[0].target) <= 0.05 * part[0].target and all(r.taken <= 2 * r.size for r in part)
     assert {r.source_size for r in got} == {3_200_000, 320}
+
+
+def test_near_duplicates_take_simhash_candidates_and_verify_them(spark):
+    """With no min-hash pair let through, SimHash alone links near copies; equal fingerprints of sets that are not similar stay apart."""
+    import random
+
+    from evidentia.llm import near_dedup, simhash
+
+    rng = random.Random(5)
+    long_ = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    texts = [" ".join(long_), " ".join([*long_, "end"]), " ".join(["x"] * 30 + ["p", "q", "r"]), " ".join(["x"] * 30 + ["s", "t", "u"])]
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 and fps[2] == fps[3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_dedup.signatures(docs)
+    ids = {bytes(r.digest): r.id for r in found.collect()}
+    edges = near_dedup.links(docs, found, agree=81).collect()
+    assert {frozenset((ids[bytes(r.a)], ids[bytes(r.b)])) for r in edges} == {frozenset((0, 1))}
