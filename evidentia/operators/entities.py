@@ -126,6 +126,7 @@ def match_names(found: DataFrame, reference: DataFrame, by: str, name: str = "na
     """
     ref = reference.select(by, names.canonical(F.col(target)).alias("target")).filter("target is not null").distinct()
     ref = ref.withColumn("r_key", names.key(F.col("target"))).withColumn("r_core", names.core(F.col("target"))).withColumn("r_match", names.match_key(F.col("target")))
+    ref = written(ref, "references")
     kinds = ref.groupBy(by).agg(F.count(F.lit(1)).alias("n_ref"), F.bool_and(F.col("r_core").rlike("^[a-z]$")).alias("letters"), F.bool_and(F.col("r_core").rlike("^[0-9]{1,3}$")).alias("numbers"), F.min("target").alias("only"))
     n = found.select(by, F.col(name).alias("name")).filter("name is not null").distinct().withColumn("shown", names.canonical(F.col("name")))
     n = n.withColumn("n_key", names.key(F.col("shown"))).withColumn("n_match", names.match_key(F.col("shown"))).withColumn("last", names.last_id(F.col("shown")))

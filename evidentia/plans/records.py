@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalog import register, table
+from ..catalog import register, spread, table
 from ..operators import checks, economics, entities, learning, measures, versions
 from ..sources.store import work_path
 from ..streaming import journal
@@ -40,7 +40,7 @@ SELECT CASE v WHEN 0 THEN 'Customer#' || lpad(k::VARCHAR, 9, '0') WHEN 1 THEN 'b
 def name_match(spark, sf_dir):
     op, k = F.lit("op").alias("op"), F.col("c_custkey")
     v = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
     spelled = F.when(k % 6 == 0, F.col("c_name")).when(k % 6 == 1, v("bât. customer ", k)).when(k % 6 == 2, v("Customer ", k, " - 40 lgts")).when(k % 6 == 3, v("Custommers ", k)).when(k % 6 == 4, v("Lot n ", k)).otherwise(v("Mairie ", k, " et ", k + 1))
     return entities.match_names(c.select(op, spelled.alias("name")), c.select(op, F.col("c_name").alias("target")), "op").select("name", "target", "rule")
 

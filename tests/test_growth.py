@@ -104,3 +104,19 @@ def test_boosts_score_pairs_where_they_meet(spark):
     found = learning.boosted(df, known, ["u"])
     assert sum(line.lstrip(" :+-").startswith("Join") for line in _plan(found).splitlines()) == 5  # use of words twice, words, cells, readings
     assert {(r.id, round(r.match, 6)) for r in found.collect()} == {(k, 1.0) for k in range(6)}
+
+
+def test_name_queries_spread_a_small_table(spark):
+    from evidentia.operators import entities, grouping
+    from evidentia.plans import records, reports
+
+    seen = []
+    old = entities.match_names, grouping.building_groups
+    entities.match_names = lambda found, reference, by: seen.extend((found, reference)) or found.selectExpr("name", "name as target", "'x' as rule")
+    grouping.building_groups = lambda rows, by, splits, apart: seen.append(rows) or rows.selectExpr("op", "name", "name as target", "'x' as mode")
+    try:
+        records.name_match(spark, "/root/testdata/sf0.001")
+        reports.building_name_groups(spark, "/root/testdata/sf0.001")
+    finally:
+        entities.match_names, grouping.building_groups = old
+    assert len(seen) == 3 and all(df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism for df in seen)
