@@ -100,7 +100,7 @@ def _building_id(k):
 )
 def building_name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of each customer's building by rule, with splits made by hand, and no group with two qualifiers."""
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal"))
     k = F.col("c_custkey")
     c = c.select((F.col("c_nationkey") + 100 * F.floor(k / 26000)).alias("op"), _building_id(k).alias("id"), (F.col("c_acctbal") > 0).alias("auth"), (F.floor(F.abs("c_acctbal")) % 10 == 3).alias("split"))
     full, short = F.concat(F.lit("Bâtiment "), "id"), F.concat(F.lit("bat. "), "id")
