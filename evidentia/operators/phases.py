@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..catalog import small_methods
 from ..functions.numbers import as_double
-from ..functions.text import bears
+from ..functions.text import bears, let
 
 WHOLE = "Bâtiment unique"
 _NUMBER = "-?[0-9]+(?: [0-9]{3})*(?:[.,][0-9]+)?(?![0-9])"
@@ -96,23 +96,12 @@ def _at(numbers: Column, at: int) -> Column:
     return as_double(F.try_element_at(numbers, F.lit(at)))
 
 
-def _value(part: Part, line: Column, low: Column, numbers: Column, pattern: str) -> tuple[Column, Column]:
-    """The number and the text of a part."""
-    none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
-    if part.kind == "number":
-        v = _at(numbers, part.at)
-        v = F.round(v * part.factor, 6) if part.factor != 1.0 else v
-        return F.when((v >= part.low) & (v <= part.high), v), none_s
-    if part.kind == "gain":
-        a, b = _at(numbers, part.at), _at(numbers, part.of)
-        return F.when(b > 0, F.round((b - a) / b * 100, 1)), none_s
+def _text(part: Part, line: Column, low: Column, pattern: str) -> Column:
+    """The text of a part that is read from its line."""
     if part.kind == "text":
         found = F.trim(F.regexp_extract(line, f"(?i){pattern}", part.at))
-        return none_d, F.when(found != "", found)
-    if part.kind == "choice":
-        told = F.coalesce(*[F.when(bears(line, low, p), F.lit(v)) for p, v in part.choices])
-        return none_d, told
-    return none_d, F.lit(part.text) if part.kind == "constant" else none_s
+        return F.when(found != "", found)
+    return F.coalesce(*[F.when(bears(line, low, p), F.lit(v)) for p, v in part.choices])
 
 
 def _bare(r: Reading, line: Column) -> Column:
@@ -120,37 +109,70 @@ def _bare(r: Reading, line: Column) -> Column:
 
 
 def _fine(r: Reading, line: Column, low: Column) -> Column:
-    """Whether a line is one of a reading."""
+    """Whether a line may be one of a reading; how many numbers it has is seen later."""
     fine = bears(line, low, r.pattern)
-    if r.unless:
-        fine = fine & ~bears(line, low, r.unless)
-    return fine & (F.size(_bare(r, line)) >= r.least) if r.least else fine
+    return fine & ~bears(line, low, r.unless) if r.unless else fine
 
 
-def _hit(at: int, r: Reading, line: Column, low: Column) -> Column:
-    """What a reading, known by its place among all, finds in its line. What its parts say whatever the line is not in it."""
-    numbers = _bare(r, line)
-    found = []
-    for p in r.parts:
-        num, text = _value(p, line, low, numbers, r.pattern)
-        found.append(F.struct(num.alias("num"), text.alias("text")))
-    # Other picks don't compare numbers.
-    key = _at(numbers, r.key) if r.pick in ("max", "min", "share") else F.lit(None).cast("double")
-    return F.struct(F.lit(at).alias("at"), key.alias("key"), F.array(*found).alias("parts"))
+@dataclass(frozen=True)
+class _Group:
+    """Readings of the same lines, by their places among all, and the parts whose texts are read from the line (by kind, place and choices)."""
+
+    readings: tuple[tuple[int, Reading], ...]
+    texts: tuple[Part, ...]
 
 
-def _hits(first: int, layout: Layout) -> Column:
-    """Arrays of what the readings of a layout find in a line, null where they find nothing; readings of the same lines try their pattern once."""
-    same: dict[tuple, list[int]] = {}
+def _groups(layout: Layout, first: int) -> list[_Group]:
+    same: dict[tuple, list[tuple[int, Reading]]] = {}
     for k, r in enumerate(layout.readings):
-        same.setdefault((r.pattern, r.unless, r.strip, r.cells, r.least, r.over), []).append(k)
+        same.setdefault((r.pattern, r.unless, r.strip, r.cells, r.least, r.over), []).append((first + k, r))
+    return [_Group(tuple(of), tuple({_text_key(p): p for _, r in of for p in r.parts if p.kind in ("text", "choice")}.values())) for of in same.values()]
+
+
+def _text_key(p: Part) -> tuple:
+    return p.kind, p.at, p.choices
+
+
+def _all_groups(layouts: tuple[Layout, ...]) -> list[list[_Group]]:
+    """The groups of each layout."""
+    firsts = [sum(len(x.readings) for x in layouts[:k]) for k in range(len(layouts))]
+    return [_groups(x, n) for x, n in zip(layouts, firsts)]
+
+
+def _hits(first: int, groups: list[_Group]) -> Column:
+    """An array of what groups of readings, known by their places among all, find in a line: its numbers as they are written and its texts. Each pattern is tried once; what
+    readings make of the numbers is worked out where they are few."""
     found = []
-    for of in same.values():
-        line, low = map(F.col, ("text", "low") if layout.readings[of[0]].over == 1 else ("more", "low_more"))
-        found.append(F.when(_fine(layout.readings[of[0]], line, low), F.array(*[_hit(first + k, layout.readings[k], line, low) for k in of])))
+    for k, g in enumerate(groups):
+        r = g.readings[0][1]
+        line, low = map(F.col, ("text", "low") if r.over == 1 else ("more", "low_more"))
+        texts = F.array(*[_text(p, line, low, r.pattern) for p in g.texts]) if g.texts else F.array().cast("array<string>")
+        numbers = any(x.least or x.pick in ("max", "min", "share") or any(p.kind in ("number", "gain") for p in x.parts) for _, x in g.readings)
+        hit = F.struct(F.lit(first + k).alias("at"), (_bare(r, line) if numbers else F.array().cast("array<string>")).alias("numbers"), texts.alias("texts"))
+        found.append(F.when(_fine(r, line, low), hit))
     return F.array(*found)
 
 
+def _specs(r: Reading, g: _Group) -> Column:
+    """What a reading's parts take of a line's numbers and texts."""
+    at = {_text_key(p): k for k, p in enumerate(g.texts)}
+    return F.array(*[
+        F.struct(
+            F.lit(p.kind).alias("kind"), F.lit(p.at if p.kind in ("number", "gain") else 1).alias("at"), F.lit(p.of if p.kind == "gain" else 1).alias("of"), F.lit(float(p.factor)).alias("factor"), F.lit(float(p.low)).alias("low"),
+            F.lit(float(p.high)).alias("high"), F.lit(at.get(_text_key(p), -1) if p.kind in ("text", "choice") else -1).alias("text"), F.lit(p.text if p.kind == "constant" else None).cast("string").alias("constant"),
+        )
+        for p in r.parts
+    ])
+
+
+def _part(p: Column, numbers: Column, texts: Column) -> Column:
+    """The number and the text of a part by its spec."""
+    at = lambda k: as_double(F.try_element_at(numbers, p[k]))
+    number = let(F.when(p["factor"] != 1.0, F.round(at("at") * p["factor"], 6)).otherwise(at("at")), lambda v: F.when((v >= p["low"]) & (v <= p["high"]), v))
+    gain = F.when(at("of") > 0, F.round((at("of") - at("at")) / at("of") * 100, 1))
+    return F.struct(F.when(p["kind"] == "number", number).when(p["kind"] == "gain", gain).alias("num"), F.when(p["text"] >= 0, F.get(texts, p["text"])).otherwise(p["constant"]).alias("text"))
+
+
 def _readings(layouts: tuple[Layout, ...]) -> list[Reading]:
     return [r for x in layouts for r in x.readings]
 
@@ -218,7 +240,8 @@ def layout_of(text: Column, layouts: tuple[Layout, ...], low: Column | None = No
 
 
 def lines(docs: DataFrame, layouts: tuple[Layout, ...], id_col: str, text_col: str) -> DataFrame:
-    """(id, layout, line, marks, hits): the lines that bear marks or readings of their document's layout; marks has a field for each state, null where it isn't set."""
+    """(id, layout, line, marks, hits): the lines that bear marks or readings of their document's layout; marks has a field for each state, null where it isn't set; hits has the
+    groups of readings (at) with the line's numbers and texts."""
     from .layouts import _once, plain
 
     small_methods(docs.sparkSession)
@@ -233,24 +256,27 @@ def lines(docs: DataFrame, layouts: tuple[Layout, ...], id_col: str, text_col: s
     d = d.select("id", "layout", F.posexplode(low).alias("line", "x")).select("id", "layout", "line", "x.*").filter("text <> ''")
     states = dict.fromkeys(_states(layouts), F.lit(None).cast("string"))
     hits = F.lit(None)
-    first = 0
-    for x in layouts:
+    groups = _all_groups(layouts)
+    for k, x in enumerate(layouts):
         own = F.col("layout") == x.name
         states = {s: F.when(own, _set(x, s, F.col("text"), F.col("low"))).otherwise(c) for s, c in states.items()}
-        hits = F.when(own, _hits(first, x)).otherwise(hits)
-        first += len(x.readings)
+        hits = F.when(own, _hits(sum(map(len, groups[:k])), groups[k])).otherwise(hits)
     # The patterns are tried in a projection, which is compiled, where a generator or a function with a lambda would interpret them; behind an explode a filter can't
     # be pushed below it, where it would try all patterns a second time.
     found = d.select("id", "layout", "line", F.struct(*[c.alias(s) for s, c in states.items()]).alias("marks"), hits.alias("hits"))
-    found = found.select("id", "layout", "line", F.explode(F.array(F.struct("marks", F.flatten(F.array_compact("hits")).alias("hits")))).alias("f"))
-    some = F.size("f.hits") > 0
+    found = found.select("id", "layout", "line", F.explode(F.array(F.struct("marks", F.array_compact("hits").alias("hits")))).alias("f"))
+    least = F.array(*[F.lit(g.readings[0][1].least) for of in groups for g in of])
+    found = found.withColumn("hits", F.filter("f.hits", lambda h: F.size(h["numbers"]) >= F.element_at(least, h["at"] + 1)))
+    some = F.size("hits") > 0
     for s in states:
         some = some | F.col(f"f.marks.{s}").isNotNull()
-    return found.filter(some).select("id", "layout", "line", "f.marks", "f.hits")
+    return found.filter(some).select("id", "layout", "line", "f.marks", "hits")
 
 
 def read(docs: DataFrame, layouts: tuple[Layout, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, layout, building, phase, field, value_num, value_text, rule, line, confidence)."""
+    from .layouts import _once
+
     found = lines(docs, layouts, id_col, text_col)
     upto = Window.partitionBy("id").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # An empty value clears.
@@ -258,21 +284,28 @@ def read(docs: DataFrame, layouts: tuple[Layout, ...], id_col: str = "doc_id", t
     block_at = F.last(F.when(F.col("marks.block").isNotNull(), F.col("line")), ignorenulls=True).over(upto)
     found = found.select("id", "layout", "line", "hits", *held, block_at.alias("block_at"))
     found = found.withColumn("buildings", F.collect_set("s_building").over(Window.partitionBy("id")))
-    hits = found.filter("size(hits) > 0").select("*", F.explode("hits").alias("h")).drop("hits").select("*", F.col("h.at").alias("at"))
+    groups = [g for of in _all_groups(layouts) for g in of]
+    hits = found.filter("size(hits) > 0").select("*", F.explode("hits").alias("h")).drop("hits")
+    hits = hits.withColumn("at", F.explode(F.element_at(F.array(*[F.array(*[F.lit(k) for k, _ in g.readings]) for g in groups]), F.col("h.at") + 1)))
     within, by_phase, everywhere = (_per_reading(layouts, lambda r, k=k: F.lit(getattr(r, k))) for k in ("within", "by_phase", "everywhere"))
     fits = _fits(layouts) & ((within == 0) | (F.col("line") - F.col("block_at") <= within))
-    told = _per_reading(layouts, lambda r: F.lit(any(p.kind == "state" for p in r.parts))) | F.exists("h.parts", lambda p: p["num"].isNotNull() | p["text"].isNotNull())
+    told = _per_reading(layouts, lambda r: F.lit(any(p.kind == "state" for p in r.parts))) | F.exists("parts", lambda p: p["num"].isNotNull() | p["text"].isNotNull())
+    pick = _per_reading(layouts, lambda r: F.lit(r.pick))
+    specs = {k: _specs(r, g) for g in groups for k, r in g.readings}
+    spec = F.element_at(F.array(*[specs[k] for k in sorted(specs)]), F.col("at") + 1)
+    # Other picks don't compare numbers.
+    key = F.when(pick.isin("max", "min", "share"), as_double(F.try_element_at("h.numbers", _per_reading(layouts, lambda r: F.lit(r.key)))))
+    hits = _once(hits.filter(fits), parts=F.transform(spec, lambda p: _part(p, F.col("h.numbers"), F.col("h.texts"))), key=key)
     building = F.when(~everywhere, F.coalesce(F.col("s_building"), F.lit(WHOLE)))
-    hits = hits.filter(fits & told).select(
-        "id", "layout", "line", "at", "h", building.alias("building"), F.when(by_phase, F.col("s_phase")).alias("phase"), _held(layouts).alias("held"), F.when(everywhere, F.col("buildings")).alias("buildings")
+    hits = hits.filter(told).select(
+        "id", "layout", "line", "at", "parts", "key", building.alias("building"), F.when(by_phase, F.col("s_phase")).alias("phase"), _held(layouts).alias("held"), F.when(everywhere, F.col("buildings")).alias("buildings")
     )
 
-    pick = _per_reading(layouts, lambda r: F.lit(r.pick))
     by = ["id", "layout", "building", "phase", "at", F.when(pick == "all", F.col("line")).alias("each")]
-    rank = F.when(pick.isin("max", "share"), -F.col("h.key")).when(pick == "min", F.col("h.key")).otherwise(F.lit(0.0))
+    rank = F.when(pick.isin("max", "share"), -F.col("key")).when(pick == "min", F.col("key")).otherwise(F.lit(0.0))
     best = hits.groupBy(*by).agg(
-        F.min_by(F.struct("line", F.col("h.parts").alias("parts"), "held", "buildings"), F.struct(F.coalesce(rank, F.lit(float("inf"))).alias("rank"), "line")).alias("b"),
-        F.max("h.key").alias("most"), F.sum(F.greatest("h.key", F.lit(0.0))).alias("total"),
+        F.min_by(F.struct("line", "parts", "held", "buildings"), F.struct(F.coalesce(rank, F.lit(float("inf"))).alias("rank"), "line")).alias("b"),
+        F.max("key").alias("most"), F.sum(F.greatest("key", F.lit(0.0))).alias("total"),
     ).withColumn("pick", pick).filter("pick <> 'share' or (most > 0 and most >= 0.6 * total)")
     zipped = F.arrays_zip(F.col("b.parts").alias("found"), _per_reading(layouts, _of_parts).alias("told"))
     parts = best.select("id", "layout", "building", "phase", _per_reading(layouts, lambda r: F.lit(r.id)).alias("rule"), everywhere.alias("everywhere"), "b.line", "b.held", "b.buildings", F.explode(zipped).alias("p"))
