@@ -67,7 +67,8 @@ _ENERGY = ("Gaz", "Fioul", "Bois", "Electricite")
 def phased_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A notice for each order: its chapters before and after the works stand in either order, with other chapters between them."""
     o = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_totalprice").alias("p")))
-    dec = lambda c: F.translate(F.format_string("%.1f", F.round(c, 1)), ".", ",")
+    # Rounded as the twin does, by the doubles themselves: 460.05 is a little less in binary, but ten times it is 4600.5.
+    dec = lambda c: F.translate(F.format_string("%.1f", F.floor(c * 10 + 0.5) / 10), ".", ",")
     pick = lambda i: F.element_at(F.array(*map(F.lit, _ENERGY)), i.cast("int"))
     lines = lambda *x: F.concat_ws("\n", *[F.lit(v) if isinstance(v, str) else v for v in x])
     before = lines("2. Etat existant", F.concat(F.lit("Cep (kWh/(m²SRT.an)) "), dec(200 + F.col("p") % 300)), "Descriptif des parois", "Mur en pierre", "laine de roche 0,040 4 1,0", "Chauffage - Generation", F.concat(F.lit("Combustible "), pick(1 + (F.col("k") + F.col("c")) % 4)))
